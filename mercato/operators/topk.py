@@ -102,14 +102,15 @@ def histogram_to_quantile(df: DataFrame, col: str, bins: int, q: float = 0.99,
 TAKE_ORDERED_MAX = 100_000
 
 
-def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
+def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42,
+             take_ordered_max: int = TAKE_ORDERED_MAX) -> DataFrame:
     """Exact-n sample without replacement: the n rows with the smallest
     seeded hash of their key (independent of partitioning). Small n is a
     TakeOrdered top-k; large n keeps rows whose global rank (range-partitioned
     running count) is <= n, so no single task holds the sample."""
     u = uniform(list(keys), f"sample:{seed}")
     base = df.withColumn("_u", u)
-    if n <= TAKE_ORDERED_MAX:
+    if n <= take_ordered_max:
         return base.orderBy("_u", *keys).limit(n).drop("_u")
     cum = running_totals(base.withColumn("_one", F.lit(1).cast("long")), ["_u", *keys], ["_one"])
     return cum.where(F.col("cum__one") <= n).drop("_u", "_one", "cum__one", "total__one")

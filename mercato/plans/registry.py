@@ -6,7 +6,7 @@ import importlib
 
 from . import catalog
 
-_MODULES = ["q_features"]
+_MODULES = ["q_features", "q_profile"]
 _loaded = False
 
 
