@@ -119,10 +119,14 @@ def label_to_id(label) -> Column:
 
 
 # K1 / K2 / E9 ----------------------------------------------------------------
-def equal_width_bin(c, lo: float, hi: float, bins: int) -> Column:
-    """1-based equal-width bin of [lo, hi]; the top edge falls in the last bin."""
-    return F.least(F.lit(bins), F.width_bucket(col(c), F.lit(float(lo)), F.lit(float(hi)),
-                                               F.lit(bins)))
+def equal_width_bin(c, lo, hi, bins: int) -> Column:
+    """1-based equal-width bin of [lo, hi]: floor((x - lo) / (hi - lo) * n) + 1,
+    the top edge joining the last bin; one bin when hi == lo. ``lo`` / ``hi``
+    may be literals or columns."""
+    lo = F.lit(float(lo)) if isinstance(lo, (int, float)) else lo
+    hi = F.lit(float(hi)) if isinstance(hi, (int, float)) else hi
+    pos = F.floor(F.try_divide(col(c) - lo, hi - lo) * F.lit(float(bins))).cast("int") + F.lit(1)
+    return F.when(hi == lo, F.lit(1)).otherwise(F.least(F.lit(bins), pos))
 
 
 def right_closed_bin(c, step, bins: int) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from . import catalog
 
-_MODULES = ["q_features", "q_profile"]
+_MODULES = ["q_features", "q_profile", "q_forecast"]
 _loaded = False
 
 
