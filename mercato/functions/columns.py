@@ -135,11 +135,16 @@ def right_closed_bin(c, step, bins: int) -> Column:
 
 
 # Output rounding -------------------------------------------------------------
+ROUND_NUDGE = 1e-3
+
+
 def stable_round(c, digits: int = 6) -> Column:
-    """floor(x*10^d + .5)/10^d: the same IEEE steps as the SQL oracle, so two
-    engines agree unless the sums themselves differ across a rounding edge."""
+    """floor(x*10^d + 0.5 + nudge)/10^d: the same IEEE steps as the SQL
+    oracle. The small nudge moves the rounding edge off exact decimal ties
+    (averages of decimal data often land exactly on ...5), where two engines
+    whose sums differ in the last bit would otherwise round apart."""
     s = float(10 ** digits)
-    return (F.floor(col(c) * F.lit(s) + F.lit(0.5)) / F.lit(s)).cast("double")
+    return (F.floor(col(c) * F.lit(s) + F.lit(0.5 + ROUND_NUDGE)) / F.lit(s)).cast("double")
 
 
 def round_doubles(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFrame:

@@ -42,5 +42,5 @@ def sql_uniform(keys_sql: list[str], salt: str) -> str:
 def sql_normal(keys_sql: list[str], salt: str, mean: float = 0.0, std: float = 1.0) -> str:
     u1 = sql_uniform(keys_sql, salt + "#1")
     u2 = sql_uniform(keys_sql, salt + "#2")
-    return (f"({float(mean)!r} + {float(std)!r} * sqrt(-2.0 * ln({u1})) * "
-            f"cos({2 * math.pi!r} * {u2}))")
+    return (f"({float(mean)!r} + {float(std)!r} * (sqrt(-2.0 * ln({u1})) * "
+            f"cos({2 * math.pi!r} * {u2})))")

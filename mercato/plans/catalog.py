@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.columns import round_doubles
+from ..functions.columns import ROUND_NUDGE, round_doubles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,7 +23,7 @@ ROUND_DIGITS = 6
 def R(x: str, digits: int = ROUND_DIGITS) -> str:
     """SQL text of the oracle's rounding (mirrors ``stable_round``)."""
     s = float(10 ** digits)
-    return f"CAST(floor(({x}) * {s!r} + 0.5) / {s!r} AS DOUBLE)"
+    return f"CAST(floor(({x}) * {s!r} + {0.5 + ROUND_NUDGE!r}) / {s!r} AS DOUBLE)"
 
 
 def query(name: str, sql: str | None = None, digits: int = ROUND_DIGITS):
