@@ -22,7 +22,9 @@ REALLOC_CAP = 2.5
 REALLOC_ROUNDS = 5
 REALLOC_SCORE_FLOOR = 0.01
 ALPHA_OPTIMAL = 0.1
-ALPHA_GRID = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+# α grid: 11 evenly spaced points on [0, 1], computed as k * 0.1 (k < 10) and 1.0,
+# the same doubles an evenly spaced grid of 11 points gives.
+ALPHA_GRID = [k * 0.1 for k in range(10)] + [1.0]
 RANDOM_SEED = 42
 DEFAULT_RETURN_RATE = 0.18
 PRICE_FACTOR_HIGH = 1.15

@@ -19,10 +19,11 @@ from .q_features import SQL_LAGS, SQL_WEEKLY
 VE = P.STANDIN_VAL_END
 TE = P.STANDIN_TRAIN_END
 
-PRED_CTE = sql_with("transactions", "articles") + f""",
+PRED_BODY = f""",
 weekly AS ({SQL_WEEKLY}), f AS ({SQL_LAGS}),
 pred AS (SELECT article_id, week, units_sold, avg_price, lag_1, rolling_mean_4, rolling_mean_4 AS y_pred
          FROM f WHERE week > DATE '{VE}' AND lag_4 IS NOT NULL)"""
+PRED_CTE = sql_with("transactions", "articles") + PRED_BODY
 
 
 def _pred(spark, sf_dir):

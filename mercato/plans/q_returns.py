@@ -24,7 +24,7 @@ def _rates_sql(col):
     return f"CASE {col} {cases} ELSE CAST({LP.default_rate!r} AS DOUBLE) END"
 
 
-LT_CTE = sql_with("transactions_c", "articles", "customers") + f""",
+LT_BODY = f""",
 lt0 AS (SELECT t.*, {", ".join("a." + c for c in RT.ATTRS)}, c.age, c.club_member_status, c.fashion_news_frequency
         FROM transactions_c t LEFT JOIN articles a ON t.article_id = a.article_id
         LEFT JOIN customers c ON t.customer_id = c.customer_id
@@ -40,6 +40,7 @@ lt3 AS (SELECT *, least(greatest(return_prob_clean + {sql_normal(['tx_key'], f'n
 lt AS (SELECT * EXCLUDE (returned), returned AS returned_flag,
               CAST({sql_uniform(['tx_key'], f'label:{LP.seed}')} < return_prob AS INTEGER) AS returned FROM lt3),
 test AS (SELECT * FROM lt WHERE t_dat > DATE '{VE}')"""
+LT_CTE = sql_with("transactions_c", "articles", "customers") + LT_BODY
 
 
 def _lt(spark, sf_dir):
