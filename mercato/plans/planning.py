@@ -23,9 +23,19 @@ def planning_base(tx: DataFrame, tx_with_customer: DataFrame, articles: DataFram
     return J.planning_base(demand, risk)
 
 
-def production_plan(base: DataFrame, alpha: float = P.ALPHA_OPTIMAL) -> DataFrame:
-    """The four policies per article plus the naive -> optimized delta (P10)."""
-    b = PL.with_policies(base)
+def policy_table(base: DataFrame) -> DataFrame:
+    """Policies per article, checkpointed once: the budget total, the
+    reallocation rounds and every scenario read this stored table instead
+    of recomputing the demand and return-risk jobs behind it."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(base.sparkSession)
+    return PL.with_policies(base).checkpoint(eager=True)
+
+
+def production_plan(base: DataFrame, alpha: float = P.ALPHA_OPTIMAL, stored: bool = False) -> DataFrame:
+    """The four policies per article plus the naive -> optimized delta (P10).
+    ``stored``: ``base`` already is a :func:`policy_table`."""
+    b = base if stored else policy_table(base)
     budget = PL.total(b, "prod_oracle")
     opt = PL.reallocate(b, budget, [alpha]).withColumnRenamed("production", "prod_optimized").drop("alpha")
     return PL.with_reallocation_delta(opt)

@@ -157,7 +157,7 @@ def q_reallocation(spark, sf_dir):
 SELECT article_id, {R('production')} AS production FROM ra""")
 def q_reallocation_alpha1(spark, sf_dir):
     """P6 at α = 1.0, where caps bind and the redistribution rounds run."""
-    b = PL.with_policies(_base(spark, sf_dir))
+    b = PP.policy_table(_base(spark, sf_dir))
     return PL.reallocate(b, PL.total(b, "prod_oracle"), [1.0]).select("article_id", "production")
 
 
@@ -212,7 +212,7 @@ SELECT {R('alpha')} AS alpha, {R('margin_M')} AS margin_M, {R('production_M')} A
        {R('(SELECT alpha FROM sw ORDER BY margin_M DESC, alpha LIMIT 1)')} AS best_alpha FROM sw""")
 def q_alpha_sweep(spark, sf_dir):
     """α sweep over 11 points with the best α."""
-    b = PL.with_policies(_base(spark, sf_dir))
+    b = PP.policy_table(_base(spark, sf_dir))
     return PL.alpha_sweep(b, PL.total(b, "prod_oracle"))
 
 
@@ -302,7 +302,7 @@ def q_declared_policies(spark, sf_dir):
 @query("executive_summary")
 def q_executive_summary(spark, sf_dir):
     """Nested executive summary (scenarios, impact, sensitivity, assumptions)."""
-    b = PL.with_policies(_base(spark, sf_dir))
-    plan = PP.production_plan(_base(spark, sf_dir))
+    b = PP.policy_table(_base(spark, sf_dir))
+    plan = PP.production_plan(b, stored=True)
     sweep = PL.alpha_sweep(b, PL.total(b, "prod_oracle"))
     return PP.executive_summary(plan, sweep)
