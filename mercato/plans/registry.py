@@ -6,7 +6,7 @@ import importlib
 
 from . import catalog
 
-_MODULES = ["q_features", "q_profile", "q_forecast", "q_returns", "q_planning", "q_style"]
+_MODULES = ["q_features", "q_profile", "q_forecast", "q_returns", "q_planning", "q_style", "q_ml"]
 _loaded = False
 
 
