@@ -203,9 +203,10 @@ def train_returns(train_val: DataFrame, num: Sequence[str], cat: Sequence[str],
                         maxBins=max_bins, seed=seed, validationIndicatorCol="is_val", validationTol=0.0)
     data = train_val
     if balance:
+        # weights on the class-count table (one row per class), then broadcast
         cnt = data.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-        data = data.join(F.broadcast(cnt), label).withColumn(
-            "_w", F.sum("_nc").over(W.partitionBy()) / (F.lit(2.0) * F.col("_nc")))
+        wts = cnt.select(label, (F.sum("_nc").over(W.partitionBy()) / (F.lit(2.0) * F.col("_nc"))).alias("_w"))
+        data = data.join(F.broadcast(wts), label)
         est = est.setWeightCol("_w")
     stages = [StringIndexer(inputCols=list(cat), outputCols=idx, handleInvalid="keep"),
               VectorAssembler(inputCols=[*num, *idx], outputCol="features", handleInvalid="keep"), est]

@@ -258,3 +258,16 @@ def q_drop_incomplete(spark, sf_dir):
     """rows with lag_4 and rolling_mean_8 present."""
     f = FS.lag_features(A.weekly_sales(Inputs(spark, sf_dir).transactions()))
     return Fi.drop_incomplete(f, ["lag_4", "rolling_mean_8"]).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("weekly_sales_stream", sql_with("transactions") + f"""
+SELECT article_id, week, units_sold, {R('avg_price')} AS avg_price FROM ({SQL_WEEKLY})""")
+def q_weekly_sales_stream(spark, sf_dir):
+    """A1 as a Structured Streaming job (availableNow over the lineitem
+    files, update mode, batch-tagged output, latest version per group)."""
+    from ..session import checkpoint_dir
+    from ..streaming.weekly import latest_weekly_sales, run_weekly_sales
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/weekly_{uuid.uuid4().hex[:8]}"
+    run_weekly_sales(spark, sf_dir, f"{base}/out", f"{base}/checkpoint")
+    return latest_weekly_sales(spark, f"{base}/out")

@@ -1 +1 @@
-
+"""Structured Streaming versions of the pipeline jobs."""
