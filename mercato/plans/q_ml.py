@@ -40,6 +40,7 @@ def comparison_sets(spark, sf_dir, sample: int = 100_000):
     s = Fi.with_holdout(f, P.HOLDOUT_WEEKS)
     s = group_rare(s.where(F.col("split") == "train"), s, ML.DEMAND_CAT, 50)
     s = s.cache()
+    s.count()  # materialise once so model fit times exclude data preparation
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
 
 
