@@ -271,3 +271,48 @@ def q_weekly_sales_stream(spark, sf_dir):
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/weekly_{uuid.uuid4().hex[:8]}"
     run_weekly_sales(spark, sf_dir, f"{base}/out", f"{base}/checkpoint")
     return latest_weekly_sales(spark, f"{base}/out")
+
+
+def _scratch(spark, name):
+    import uuid
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}_{uuid.uuid4().hex[:8]}"
+
+
+@query("stage_roundtrip", sql_with("transactions", "articles") + f""",
+weekly AS ({SQL_WEEKLY})
+SELECT w.article_id, w.week, w.units_sold, {R('w.avg_price')} AS avg_price, {ATTRS}
+FROM weekly w LEFT JOIN articles a ON w.article_id = a.article_id""")
+def q_stage_roundtrip(spark, sf_dir):
+    """S6 + S4: write the weekly table as a Parquet stage table (partitioned
+    by product group) under the shared folder and read it back."""
+    inp = Inputs(spark, sf_dir)
+    d = _scratch(spark, "weekly")
+    io.write_stage(FS.weekly_sales_enriched(inp.transactions(), inp.articles()), d, "weekly_sales",
+                   partition_by="product_group_name")
+    back = io.read_stage(spark, d, "weekly_sales")
+    return back.select("article_id", "week", "units_sold", "avg_price", *P.ARTICLE_ATTRS)
+
+
+@query("csv_roundtrip", sql_with("transactions_c") + f"""
+SELECT t_dat, customer_id, article_id, {R('CAST(CAST(price AS FLOAT) AS DOUBLE)')} AS price
+FROM transactions_c""")
+def q_csv_roundtrip(spark, sf_dir):
+    """S7 + S1: write transactions in the raw CSV layout (header), read them
+    back with the fixed raw schema (dates parsed, ids as text)."""
+    tx = Inputs(spark, sf_dir).transactions(with_customer=True)
+    d = _scratch(spark, "tx_csv")
+    raw = tx.select(F.col("t_dat").cast("string").alias("t_dat"), "customer_id", "article_id", "price",
+                    F.lit(None).cast("byte").alias("sales_channel_id"))
+    io.write_csv(raw, d)
+    back = io.read_transactions(spark, d, fmt="csv")
+    return back.select("t_dat", "customer_id", "article_id", F.col("price").cast("double").alias("price"))
+
+
+@query("metrics_json_roundtrip")
+def q_metrics_json_roundtrip(spark, sf_dir):
+    """The nested executive summary written as JSON and read back."""
+    from .q_planning import q_executive_summary
+    d = _scratch(spark, "summary")
+    io.write_metrics(q_executive_summary(spark, sf_dir), d)
+    return spark.read.json(d)
