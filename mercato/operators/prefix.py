@@ -34,17 +34,26 @@ def _order_cols(order: Sequence) -> list[Column]:
 
 def running_totals(df: DataFrame, order: Sequence, sums: Sequence[str],
                    by: Sequence[str] = (), buckets: int | None = None,
-                   prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_", materialize: bool = True) -> DataFrame:
     """Add ``{prefix}{s}`` = Σ s over rows up to and including this one in
     ``order`` (within ``by`` groups), plus ``total_{s}`` per group.
 
     Rows must be distinct on (by, order) — collapse ties first (aggregate to
     one row per distinct key), which is what every caller does.
+
+    The input feeds two branches (range totals and in-range sums) whose
+    pruned plans differ, so Spark would compute it twice; ``materialize``
+    stores it once with ``checkpoint()`` in the shared checkpoint folder
+    (it is the collapsed table, not the fact table) and both branches read it.
     """
     spark = df.sparkSession
     by = list(by)
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = _order_cols(order)
+    if materialize:
+        from ..session import checkpoint_dir
+        checkpoint_dir(spark)
+        df = df.checkpoint(eager=True)
     ranged = (df.repartitionByRange(nb, *[F.col(b) for b in by], *ocols)
                 .withColumn(_BKT, F.spark_partition_id()))
     # one row per (group, range): bounded by buckets + number of groups
