@@ -118,10 +118,22 @@ def prob_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def classifier_summary(df: DataFrame, y: str, p: str) -> DataFrame:
-    """ROC-AUC, average precision, Brier score and positive rate in one row."""
-    from .prefix import join_one_row
-    return join_one_row(join_one_row(roc_auc(df, y, p), average_precision(df, y, p)),
-                        prob_metrics(df, y, p))
+    """ROC-AUC, average precision, Brier score, positive rate and n in one
+    row, all from one pass over the rows: per-score positive / negative
+    counts, one ascending running total (descending counts are
+    total - ascending + own), and Brier = Σ pos·(s-1)² + neg·s² over them."""
+    cum = running_totals(score_counts(df, y, p), ["score"], ["pos", "neg"])
+    P_, N_ = F.max("total_pos"), F.max("total_neg")
+    desc_pos = F.col("total_pos") - F.col("cum_pos") + F.col("pos")
+    desc_neg = F.col("total_neg") - F.col("cum_neg") + F.col("neg")
+    sc = F.col("score")
+    return cum.agg(
+        F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0))),
+                     P_ * N_).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("pos") * desc_pos / (desc_pos + desc_neg)), P_).alias("average_precision"),
+        (F.sum(F.col("pos") * (sc - 1) * (sc - 1) + F.col("neg") * sc * sc) / (P_ + N_)).alias("brier_score"),
+        (P_ / (P_ + N_)).alias("positive_rate"),
+        (P_ + N_).alias("n"))
 
 
 # E7 -------------------------------------------------------------------------

@@ -77,3 +77,14 @@ def test_right_closed_bins_edges(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (0.1000001,), (1.0,)], "x double")
     got = [r.b for r in df.select(C.right_closed_bin("x", 0.1, 10).alias("b")).collect()]
     assert got == [1, 1, 2, 10]
+
+
+def test_classifier_summary_matches_separate_metrics(spark):
+    rnd = random.Random(5)
+    rows = [(float(rnd.random() < 0.3), round(rnd.random(), 3)) for _ in range(500)]
+    df = _df(spark, rows)
+    s = E.classifier_summary(df, "y", "p").first()
+    assert s.roc_auc == pytest.approx(_brute_auc(rows))
+    assert s.average_precision == pytest.approx(_brute_ap(rows))
+    assert s.brier_score == pytest.approx(sum((p - y) ** 2 for y, p in rows) / len(rows))
+    assert s.positive_rate == pytest.approx(sum(y for y, _ in rows) / len(rows)) and s.n == len(rows)
