@@ -47,8 +47,8 @@ def fill_median(df: DataFrame, col: str, fit_on: DataFrame | None = None,
     """Fill nulls of ``col`` with the exact median of ``col`` in ``fit_on``
     (default: ``df`` itself)."""
     src = df if fit_on is None else fit_on
-    med = group_percentile(src.withColumn("_g", F.lit(1)), col, 0.5, ["_g"], "_median")
-    out = df.withColumn("_g", F.lit(1)).join(F.broadcast(med), "_g", "left").drop("_g")
+    from .prefix import percentile_row, with_scalars
+    out = with_scalars(df, percentile_row(src, col, {"_median": 0.5}))
     return out.withColumn(name or col, F.coalesce(F.col(col), F.col("_median"))).drop("_median")
 
 

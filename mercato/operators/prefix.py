@@ -121,15 +121,15 @@ def group_percentile(df: DataFrame, value: str, prob: float, by: Sequence[str],
     return exact_percentiles(df, value, [prob], by=by).select(*by, F.col("value").alias(name))
 
 
-def join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put the columns of two single-row global aggregates side by side
-    (equi-join on a constant key; both sides are exactly one row)."""
-    return (a.withColumn("_one", F.lit(1))
-             .join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row of ``df`` as a
+    scalar subquery (Spark runs it once and inlines the result; no join)."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_s")).scalar()
+    return df.select("*", packed.alias("_scalars")).select(
+        *[F.col(c) for c in df.columns], *[F.col(f"_scalars.{c}").alias(c) for c in cols])
 
 
-def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``df``
-    (broadcast of exactly one row)."""
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+def join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Put the columns of two single-row global aggregates side by side."""
+    return with_scalars(a, b)
