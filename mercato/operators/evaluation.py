@@ -94,20 +94,48 @@ def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
     return cum.agg(F.try_divide(F.sum(F.col("pos") * prec), F.max("total_pos")).alias("average_precision"))
 
 
-def roc_points(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, descending thresholds."""
-    cum = running_totals(score_counts(df, y, p), [("score", False)], ["pos", "neg"])
-    return cum.select(F.col("score").alias("threshold"),
-                      F.try_divide(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
-                      F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("tpr"))
+def _desc_points(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Distinct scores in descending order with their global rank and
+    inclusive cumulative positive / negative counts."""
+    sc = score_counts(df, y, p).withColumn("_one", F.lit(1).cast("long"))
+    cum = running_totals(sc, [("score", False)], ["pos", "neg", "_one"])
+    return cum.select("score", "pos", "neg", F.col("cum__one").alias("rank"), "cum_pos", "cum_neg",
+                      "total_pos", "total_neg", F.col("total__one").alias("n_points"))
+
+
+def roc_points(df: DataFrame, y: str, p: str, drop_intermediate: bool = True) -> DataFrame:
+    """ROC curve (threshold, fpr, tpr): a (0, 0) start point (threshold
+    null, i.e. above every score), then one point per distinct score in
+    descending order. With ``drop_intermediate`` a point is kept only when
+    it is the first or last, or when the next score's positive / negative
+    counts differ from its own (otherwise it lies on a straight segment).
+    The next row comes from an equi-join on the global rank (1:1, no skew)."""
+    pts = _desc_points(df, y, p)
+    if drop_intermediate:
+        nxt = pts.select((F.col("rank") - 1).alias("rank"), F.col("pos").alias("_npos"),
+                         F.col("neg").alias("_nneg"))
+        pts = pts.join(nxt, "rank", "left").where(
+            (F.col("rank") == 1) | (F.col("rank") == F.col("n_points"))
+            | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
+    curve = pts.select(F.col("score").alias("threshold"),
+                       F.try_divide(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
+                       F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("tpr"))
+    start = pts.agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                    F.lit(0.0).alias("tpr"))
+    return start.unionByName(curve)
 
 
 def pr_points(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(threshold, precision, recall) at every distinct score."""
-    cum = running_totals(score_counts(df, y, p), [("score", False)], ["pos", "neg"])
-    return cum.select(F.col("score").alias("threshold"),
-                      (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                      F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("recall"))
+    """Precision-recall curve (threshold, precision, recall): distinct
+    scores from the highest down to the first one reaching full recall,
+    then the end point (precision 1, recall 0, threshold null)."""
+    pts = _desc_points(df, y, p).where(F.col("cum_pos") - F.col("pos") < F.col("total_pos"))
+    curve = pts.select(F.col("score").alias("threshold"),
+                       (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+                       F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("recall"))
+    end = pts.agg(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                  F.lit(0.0).alias("recall"))
+    return curve.unionByName(end)
 
 
 # E6 -------------------------------------------------------------------------

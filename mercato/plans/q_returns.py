@@ -195,22 +195,29 @@ def q_classification_report(spark, sf_dir):
 
 @query("roc_points", LT_CTE + f""",
 s AS (SELECT return_prob_clean AS score, sum(returned) AS pos, sum(1 - returned) AS neg FROM test GROUP BY 1),
-d AS (SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cpos,
+d AS (SELECT score, pos, neg, row_number() OVER (ORDER BY score DESC) AS rk,
+             sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cpos,
              sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cneg,
-             sum(pos) OVER () AS tp, sum(neg) OVER () AS tn FROM s)
-SELECT {R('score')} AS threshold, {R('cneg / tn')} AS fpr, {R('cpos / tp')} AS tpr FROM d""")
+             lead(pos) OVER (ORDER BY score DESC) AS npos, lead(neg) OVER (ORDER BY score DESC) AS nneg,
+             sum(pos) OVER () AS tp, sum(neg) OVER () AS tn, count(*) OVER () AS n FROM s)
+SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT {R('score')}, {R('cneg / tn')}, {R('cpos / tp')} FROM d
+WHERE rk = 1 OR rk = n OR npos <> pos OR nneg <> neg""")
 def q_roc_points(spark, sf_dir):
-    """ROC curve points at every distinct threshold."""
+    """ROC curve points (start point, collinear points dropped)."""
     return E.roc_points(_test(spark, sf_dir), "returned", "return_prob_clean")
 
 
 @query("pr_points", LT_CTE + f""",
 s AS (SELECT return_prob_clean AS score, sum(returned) AS pos, sum(1 - returned) AS neg FROM test GROUP BY 1),
-d AS (SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cpos,
+d AS (SELECT score, pos, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cpos,
              sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cneg, sum(pos) OVER () AS tp FROM s)
-SELECT {R('score')} AS threshold, {R('cpos / (cpos + cneg)')} AS precision, {R('cpos / tp')} AS recall FROM d""")
+SELECT {R('score')} AS threshold, {R('cpos / (cpos + cneg)')} AS precision, {R('cpos / tp')} AS recall
+FROM d WHERE cpos - pos < tp
+UNION ALL SELECT CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE""")
 def q_pr_points(spark, sf_dir):
-    """Precision-recall points at every distinct threshold."""
+    """Precision-recall points down to full recall, plus the end point."""
     return E.pr_points(_test(spark, sf_dir), "returned", "return_prob_clean")
 
 

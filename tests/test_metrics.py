@@ -88,3 +88,44 @@ def test_classifier_summary_matches_separate_metrics(spark):
     assert s.average_precision == pytest.approx(_brute_ap(rows))
     assert s.brier_score == pytest.approx(sum((p - y) ** 2 for y, p in rows) / len(rows))
     assert s.positive_rate == pytest.approx(sum(y for y, _ in rows) / len(rows)) and s.n == len(rows)
+
+
+def _brute_roc(rows):
+    thr = sorted({p for _, p in rows}, reverse=True)
+    P_, N_ = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+    fps = [sum(1 for y, p in rows if p >= t and y == 0) for t in thr]
+    tps = [sum(1 for y, p in rows if p >= t and y == 1) for t in thr]
+    keep = [0] + [i for i in range(1, len(thr) - 1)
+                  if (fps[i + 1] - 2 * fps[i] + fps[i - 1]) or (tps[i + 1] - 2 * tps[i] + tps[i - 1])] + [len(thr) - 1]
+    return [(None, 0.0, 0.0)] + [(thr[i], fps[i] / N_, tps[i] / P_) for i in keep]
+
+
+def _brute_pr(rows):
+    thr = sorted({p for _, p in rows}, reverse=True)
+    P_ = sum(y for y, _ in rows)
+    out = []
+    for t in thr:
+        tp = sum(1 for y, p in rows if p >= t and y == 1)
+        fp = sum(1 for y, p in rows if p >= t and y == 0)
+        out.append((t, tp / (tp + fp), tp / P_))
+        if tp == P_:
+            break
+    return out + [(None, 1.0, 0.0)]
+
+
+def test_curve_points_match_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(float(rnd.random() < 0.35), round(rnd.random(), 1)) for _ in range(300)]
+    rows += [(0.0, 0.95), (0.0, 0.96), (0.0, 0.97)]  # a straight segment to drop
+    df = _df(spark, rows)
+    key = lambda r: (-1 if r[0] is None else r[0])
+    got = sorted([tuple(r) for r in E.roc_points(df, "y", "p").collect()], key=key)
+    want = sorted(_brute_roc(rows), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
+    got = sorted([tuple(r) for r in E.pr_points(df, "y", "p").collect()], key=key)
+    want = sorted(_brute_pr(rows), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
