@@ -144,8 +144,8 @@ def q_weeks_in_catalog(spark, sf_dir):
 
 
 SQL_FEATURES = f"""
-  SELECT f.*, month(week) AS month, CAST(weekofyear(week) AS INTEGER) AS week_of_year,
-         quarter(week) AS quarter,
+  SELECT f.*, CAST(month(week) AS INTEGER) AS month, CAST(weekofyear(week) AS INTEGER) AS week_of_year,
+         CAST(quarter(week) AS INTEGER) AS quarter,
          sin(2 * pi() * month(week) / 12.0) AS month_sin, cos(2 * pi() * month(week) / 12.0) AS month_cos,
          CAST(floor(datediff('day', min(week) OVER (PARTITION BY f.article_id), week) / 7) AS INTEGER) AS weeks_in_catalog,
          ln(1 + units_sold) AS log_units, ln(1 + lag_1) AS log_lag_1, ln(1 + lag_2) AS log_lag_2,

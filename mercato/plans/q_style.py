@@ -106,7 +106,7 @@ def q_style_kpis(spark, sf_dir):
 
 
 @query("top_risk_in_group", STYLE_CTE + f""",
-k AS (SELECT *, row_number() OVER (PARTITION BY garment_group_name ORDER BY avg_return_prob DESC, article_id) AS rank
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY garment_group_name ORDER BY avg_return_prob DESC, article_id) AS INTEGER) AS rank
       FROM sb WHERE garment_group_name IS NOT NULL)
 SELECT garment_group_name, article_id, colour_group_name, department_name, {R('avg_return_prob')} AS avg_return_prob, rank
 FROM k WHERE rank <= 10""")
