@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -93,6 +94,22 @@ def fit_predict(cfg: ModelConfig, params: Mapping, train: DataFrame, score: Data
 
 
 # M7 -------------------------------------------------------------------------
+class WapeEvaluator(Evaluator):
+    """MLlib evaluator for WAPE = Σ|y - ŷ| / Σ|y| (smaller is better), one
+    distributed aggregate per call."""
+
+    def __init__(self, labelCol: str = "units_sold", predictionCol: str = "y_pred"):
+        super().__init__()
+        self.labelCol, self.predictionCol = labelCol, predictionCol
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        v = dataset.agg(E.wape(self.labelCol, self.predictionCol)).first()[0]
+        return float("inf") if v is None else float(v)
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
 def week_blocks(df: DataFrame, n_folds: int = 3, week: str = "week") -> DataFrame:
     """Assign each week to one of n_folds + 1 consecutive blocks of about
     equal row count (expanding-window folds cut on week boundaries). The
@@ -123,13 +140,13 @@ def grid_search(cfg: ModelConfig, train: DataFrame, n_folds: int = 3, target: st
         folds.append((prep.transform(tr).select("features", "_label").cache(),
                       prep.transform(va).select("features", target).cache()))
 
+    ev = WapeEvaluator(target, "y_pred")
+
     def cv_score(params):
         scores = []
         for trx, vax in folds:
             m = _estimator(cfg.kind, params, "_label").fit(trx)
-            w = _to_units(cfg, m.transform(vax)).agg(E.wape(target, "y_pred")).first()[0]
-            if w is not None:
-                scores.append(w)
+            scores.append(ev.evaluate(_to_units(cfg, m.transform(vax))))
         return sum(scores) / len(scores) if scores else float("inf")
 
     with ThreadPoolExecutor(max(1, min(parallelism, len(cfg.grid)))) as ex:
