@@ -186,20 +186,41 @@ def compare_models(configs: Sequence[ModelConfig], train: DataFrame, test: DataF
 
 # M8 -------------------------------------------------------------------------
 def train_demand(train_val: DataFrame, features_num: Sequence[str], features_cat: Sequence[str],
-                 label: str = "log_units", max_iter: int = 60, depth: int = 6, step: float = 0.1,
-                 max_bins: int = 256, seed: int = 42) -> PipelineModel:
+                 label: str = "log_units", max_iter: int = 60, depths: Sequence[int] = (4, 6),
+                 step: float = 0.1, max_bins: int = 256, seed: int = 42) -> PipelineModel:
     """Gradient-boosted demand model on the log target with native
-    categoricals (indexed, nominal metadata) and early stopping on the rows
-    flagged ``is_val``."""
-    idx = [f"_idx_{c}" for c in features_cat]
+    categoricals (indexed, nominal metadata), early-stopped on the rows
+    flagged ``is_val``: the full round budget is fitted on the training rows,
+    the validation loss of every round is read with ``evaluateEachIteration``
+    and the model is refitted with the best round count (same seed, so the
+    same trees). Unlike MLlib's built-in validation stop, a round that does
+    not improve does not end the search (the reference's patience). The
+    tree depth is chosen on the same validation loss."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
-    stages = [StringIndexer(inputCols=list(features_cat), outputCols=idx, handleInvalid="keep"),
-              VectorAssembler(inputCols=[*features_num, *idx], outputCol="features", handleInvalid="keep"),
-              GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth,
-                           stepSize=step, maxBins=max_bins, subsamplingRate=0.9, seed=seed,
-                           validationIndicatorCol="is_val", validationTol=0.0, lossType="squared")]
+    idx = [f"_idx_{c}" for c in features_cat]
     data = train_val.na.fill("missing", subset=list(features_cat))
-    return Pipeline(stages=stages).fit(data)
+    prep = Pipeline(stages=[
+        StringIndexer(inputCols=list(features_cat), outputCols=idx, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*features_num, *idx], outputCol="features", handleInvalid="keep"),
+    ]).fit(data.where(~F.col("is_val")))
+    tr = prep.transform(data.where(~F.col("is_val"))).select("features", label).cache()
+    va = prep.transform(data.where(F.col("is_val"))).select("features", label)
+
+    def gbt(n, depth):
+        return GBTRegressor(featuresCol="features", labelCol=label, maxIter=n, maxDepth=depth, stepSize=step,
+                            maxBins=max_bins, subsamplingRate=0.9, seed=seed, lossType="squared")
+
+    best = None  # (validation loss, rounds, depth, fitted full model)
+    for depth in depths:
+        full = gbt(max_iter, depth).fit(tr)
+        losses = full.evaluateEachIteration(va, "squared")
+        i = min(range(len(losses)), key=lambda j: losses[j])
+        if best is None or losses[i] < best[0]:
+            best = (losses[i], i + 1, depth, full)
+    _, rounds, depth, full = best
+    model = full if rounds == max_iter else gbt(rounds, depth).fit(tr)
+    tr.unpersist()
+    return PipelineModel(stages=[*prep.stages, model])
 
 
 def score_demand(model: PipelineModel, df: DataFrame, features_cat: Sequence[str]) -> DataFrame:
@@ -210,24 +231,44 @@ def score_demand(model: PipelineModel, df: DataFrame, features_cat: Sequence[str
 
 # M9 -------------------------------------------------------------------------
 def train_returns(train_val: DataFrame, num: Sequence[str], cat: Sequence[str], label: str = "returned",
-                  max_iter: int = 40, depth: int = 5, step: float = 0.1, balance: bool = False,
+                  max_iter: int = 30, depths: Sequence[int] = (5,), step: float = 0.1, balance: bool = False,
                   max_bins: int = 256, seed: int = 42) -> PipelineModel:
     """Binary GBT on observable features only (the label-generating columns
-    are never inputs); optional class weights N / (2 N_class)."""
+    are never inputs); rounds and depth chosen on the ``is_val`` rows by
+    log-loss (same scheme as :func:`train_demand`); optional class weights
+    N / (2 N_class)."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     idx = [f"_idx_{c}" for c in cat]
-    est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step,
-                        maxBins=max_bins, seed=seed, validationIndicatorCol="is_val", validationTol=0.0)
     data = train_val
     if balance:
         # weights on the class-count table (one row per class), then broadcast
         cnt = data.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
         wts = cnt.select(label, (F.sum("_nc").over(W.partitionBy()) / (F.lit(2.0) * F.col("_nc"))).alias("_w"))
         data = data.join(F.broadcast(wts), label)
-        est = est.setWeightCol("_w")
-    stages = [StringIndexer(inputCols=list(cat), outputCols=idx, handleInvalid="keep"),
-              VectorAssembler(inputCols=[*num, *idx], outputCol="features", handleInvalid="keep"), est]
-    return Pipeline(stages=stages).fit(data)
+    prep = Pipeline(stages=[
+        StringIndexer(inputCols=list(cat), outputCols=idx, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*num, *idx], outputCol="features", handleInvalid="keep"),
+    ]).fit(data.where(~F.col("is_val")))
+    keep = ["features", label] + (["_w"] if balance else [])
+    tr = prep.transform(data.where(~F.col("is_val"))).select(*keep).cache()
+    va = prep.transform(data.where(F.col("is_val"))).select(*keep)
+
+    def gbt(n, depth):
+        est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=n, maxDepth=depth, stepSize=step,
+                            maxBins=max_bins, seed=seed)
+        return est.setWeightCol("_w") if balance else est
+
+    best = None
+    for depth in depths:
+        full = gbt(max_iter, depth).fit(tr)
+        losses = full.evaluateEachIteration(va)
+        i = min(range(len(losses)), key=lambda j: losses[j])
+        if best is None or losses[i] < best[0]:
+            best = (losses[i], i + 1, depth, full)
+    _, rounds, depth, full = best
+    model = full if rounds == max_iter else gbt(rounds, depth).fit(tr)
+    tr.unpersist()
+    return PipelineModel(stages=[*prep.stages, model])
 
 
 def score_returns(model: PipelineModel, df: DataFrame) -> DataFrame:

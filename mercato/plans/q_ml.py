@@ -61,10 +61,23 @@ def _demand_frames(spark, sf_dir):
     return s.withColumn("is_val", F.col("split") == "val")
 
 
+_FITTED: dict = {}
+
+
+def _memo(kind, spark, sf_dir, fit):
+    """Fit once per (session, folder, model kind); later queries of the same
+    session reuse the fitted model instead of refitting it."""
+    key = (kind, id(spark), sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def _demand_model(spark, sf_dir):
-    s = _demand_frames(spark, sf_dir).cache()
-    model = ML.train_demand(s.where(F.col("split") != "test"), FEATS_18_NUM, P.CATEGORY_COLS)
-    return s, model
+    def fit():
+        s = _demand_frames(spark, sf_dir).cache()
+        return s, ML.train_demand(s.where(F.col("split") != "test"), FEATS_18_NUM, P.CATEGORY_COLS)
+    return _memo("demand", spark, sf_dir, fit)
 
 
 @query("demand_model_predictions")
@@ -109,11 +122,14 @@ def q_model_roundtrip(spark, sf_dir):
 
 
 def _returns(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
-    lt = RT.labelled_transactions(inp.transactions(with_customer=True), inp.articles(), inp.customers())
-    f = RT.return_features(lt)
-    s = Fi.with_split(f, "t_dat", TE, VE).withColumn("is_val", F.col("split") == "val").cache()
-    model = ML.train_returns(s.where(F.col("split") != "test"), RET_NUM, P.RETURN_CAT_FEATURES)
+    def fit():
+        inp = Inputs(spark, sf_dir)
+        lt = RT.labelled_transactions(inp.transactions(with_customer=True), inp.articles(), inp.customers())
+        f = RT.return_features(lt)
+        s = Fi.with_split(f, "t_dat", TE, VE).withColumn("is_val", F.col("split") == "val").cache()
+        model = ML.train_returns(s.where(F.col("split") != "test"), RET_NUM, P.RETURN_CAT_FEATURES)
+        return s, model
+    s, model = _memo("returns", spark, sf_dir, fit)
     return s, ML.score_returns(model, s.where(F.col("split") == "test"))
 
 
