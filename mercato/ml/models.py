@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import params as P
 from ..functions import columns as C
 from ..operators import evaluation as E
 from .preprocess import preprocess_stages
@@ -198,7 +199,7 @@ def train_demand(train_val: DataFrame, features_num: Sequence[str], features_cat
     tree depth is chosen on the same validation loss."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     idx = [f"_idx_{c}" for c in features_cat]
-    data = train_val.na.fill("missing", subset=list(features_cat))
+    data = train_val.na.fill(P.MISSING_CATEGORY, subset=list(features_cat))
     prep = Pipeline(stages=[
         StringIndexer(inputCols=list(features_cat), outputCols=idx, handleInvalid="keep"),
         VectorAssembler(inputCols=[*features_num, *idx], outputCol="features", handleInvalid="keep"),
@@ -225,7 +226,7 @@ def train_demand(train_val: DataFrame, features_num: Sequence[str], features_cat
 
 def score_demand(model: PipelineModel, df: DataFrame, features_cat: Sequence[str]) -> DataFrame:
     """Predictions in units (expm1, clipped at 0)."""
-    out = model.transform(df.na.fill("missing", subset=list(features_cat)))
+    out = model.transform(df.na.fill(P.MISSING_CATEGORY, subset=list(features_cat)))
     return out.withColumn("y_pred", C.invert_log("prediction"))
 
 

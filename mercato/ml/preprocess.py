@@ -10,11 +10,13 @@ from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import params as P
+
 INFREQUENT = "infrequent"
 
 
 def group_rare(train: DataFrame, df: DataFrame, cols: Sequence[str], min_count: int = 50,
-               missing: str = "missing") -> DataFrame:
+               missing: str = P.MISSING_CATEGORY) -> DataFrame:
     """M2 (+ C14): categories seen fewer than ``min_count`` times in ``train``
     share one bucket; nulls become ``missing`` first. Counts are one
     aggregate per column joined back (AQE broadcasts the small side)."""
@@ -62,6 +64,6 @@ def style_vectors(articles: DataFrame, cols: Sequence[str], out: str = "features
         StringIndexer(inputCols=list(cols), outputCols=idx, handleInvalid="keep"),
         OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=False),
         VectorAssembler(inputCols=ohe, outputCol=out)])
-    filled = articles.na.fill("missing", subset=list(cols))
+    filled = articles.na.fill(P.MISSING_CATEGORY, subset=list(cols))
     model = pipe.fit(filled)
     return model.transform(filled), model

@@ -121,7 +121,7 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster", risk: str | None =
     aggs = [F.count(F.lit(1)).alias("n_products")]
     if risk:
         aggs.append(F.avg(risk).alias("return_rate"))
-    aggs += [F.coalesce(F.mode(F.col(c), True), F.lit("N/A")).alias(name) for name, c in modes.items()]
+    aggs += [F.coalesce(F.mode(F.col(c), True), F.lit(P.NO_MODE)).alias(name) for name, c in modes.items()]
     return _nn(df, cluster).groupBy(cluster).agg(*aggs)
 
 

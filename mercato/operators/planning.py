@@ -179,12 +179,7 @@ def evaluate_scenarios(df: DataFrame, scenarios: Mapping[str, str], demand: str
     return portfolio_pnl(with_pnl(stacked, demand, "_qty", p, price, params), ["scenario"])
 
 
-SCENARIO_NAMES = {
-    "prod_oracle": "Oracle (perfect info)",
-    "prod_naive": "Naive baseline",
-    "prod_forecast": "Forecast-only (ML)",
-    "prod_optimized": f"Optimized (smart, α={P.ALPHA_OPTIMAL})",
-}
+SCENARIO_NAMES = P.SCENARIO_NAMES
 
 
 # P8 -------------------------------------------------------------------------

@@ -45,6 +45,17 @@ TRAIN_END = "2020-06-22"
 VAL_END = "2020-08-22"
 TEST_END = "2020-09-22"
 
+# Fill labels and scenario names.
+UNKNOWN_CATEGORY = "Unknown"      # missing categories in the returns features
+MISSING_CATEGORY = "missing"      # missing categories in the demand preprocessing
+NO_MODE = "N/A"                   # profile column when a group has no value
+SCENARIO_NAMES = {
+    "prod_oracle": "Oracle (perfect info)",
+    "prod_naive": "Naive baseline",
+    "prod_forecast": "Forecast-only (ML)",
+    "prod_optimized": f"Optimized (smart, α={ALPHA_OPTIMAL})",
+}
+
 # Return rate by product group (the reference's table, as it maps H&M groups).
 RETURN_RATES_BY_GROUP = {
     "Garment Full body": 0.35,

@@ -106,7 +106,7 @@ def q_feature_importance(spark, sf_dir):
     """Top 15 importances of the demand model with feature names."""
     s, model = _demand_model(spark, sf_dir)
     return ML.feature_importance(model, s.where(F.col("split") == "train").na.fill(
-        "missing", subset=P.CATEGORY_COLS))
+        P.MISSING_CATEGORY, subset=P.CATEGORY_COLS))
 
 
 @query("model_roundtrip")

@@ -50,7 +50,7 @@ def return_features(labelled: DataFrame) -> DataFrame:
     """Model features: categories filled with 'Unknown' (C14), age filled with
     its median (C15), day of week (Monday = 0) and month (C4)."""
     from ..operators.evaluation import fill_median
-    t = labelled.na.fill("Unknown", subset=P.RETURN_CAT_FEATURES)
+    t = labelled.na.fill(P.UNKNOWN_CATEGORY, subset=P.RETURN_CAT_FEATURES)
     t = fill_median(t, "age")
     return t.withColumn("day_of_week", C.day_of_week_monday0("t_dat")).withColumn("month", F.month("t_dat"))
 
