@@ -50,8 +50,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh scratch
-    folder is created and registered so ``DataFrame.checkpoint()`` works.
+    Read from the session. Only in local mode, when it is unset (tests), a
+    fresh scratch folder is created; on a cluster an unset value is an error,
+    because a driver-local folder is not visible to the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder (HDFS / object store) "
+                               "on a cluster")
         configured = tempfile.mkdtemp(prefix="mercato-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
