@@ -56,7 +56,7 @@ SCENARIO_NAMES = {
     "prod_optimized": f"Optimized (smart, α={ALPHA_OPTIMAL})",
 }
 
-# Return rate by product group (the reference's table, as it maps H&M groups).
+# Return rate by product group (the reference's table of garment-group rates).
 RETURN_RATES_BY_GROUP = {
     "Garment Full body": 0.35,
     "Garment Lower body": 0.30,
