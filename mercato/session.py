@@ -67,3 +67,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="mercato-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def sized_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+               expansion: float = 1.0) -> dict:
+    """Shuffle / scan sizing for a job reading ``input_bytes`` on a cluster
+    with ``total_cores`` executor cores.
+
+    Shuffle partitions are chosen so one post-shuffle partition holds about
+    ``target_partition_bytes`` of (``expansion`` x input) data — at least two
+    waves of tasks, rounded up to a multiple of the core count — and AQE
+    coalesces towards the same size. Scan splits are capped at the same size
+    so a task never reads more than it can hold.
+    E.g. 100 TB on 1000 executors x 8 cores: ~409,600 shuffle partitions of
+    ~256 MB."""
+    cores = max(1, int(total_cores))
+    by_size = int((input_bytes * expansion) // target_partition_bytes) + 1
+    n = max(2 * cores, by_size)
+    n = ((n + cores - 1) // cores) * cores
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
