@@ -67,7 +67,7 @@ _FITTED: dict = {}
 def _memo(kind, spark, sf_dir, fit):
     """Fit once per (session, folder, model kind); later queries of the same
     session reuse the fitted model instead of refitting it."""
-    key = (kind, id(spark), sf_dir)
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
         _FITTED[key] = fit()
     return _FITTED[key]
