@@ -99,6 +99,10 @@ FROM top LEFT JOIN articles a ON top.article_id = a.article_id""")
 def q_best_sellers(spark, sf_dir):
     """T-g + J7 + C20: 200 best sellers of the prediction period with
     attributes joined after the limit, and their selector label."""
+    return _best_sellers(spark, sf_dir)
+
+
+def _best_sellers(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
     s = A.article_forecast_summary(_pred(spark, sf_dir))
     top = K.top_k(s, 200, "total_sold")
@@ -114,12 +118,7 @@ l AS (SELECT concat_ws('  ·  ', top.article_id, coalesce(a.product_type_name, '
 SELECT label, split_part(label, '  ·  ', 1) AS article_id FROM l""")
 def q_label_to_id(spark, sf_dir):
     """C20: split a selector label back to its article id."""
-    inp = Inputs(spark, sf_dir)
-    s = A.article_forecast_summary(_pred(spark, sf_dir))
-    top = K.top_k(s, 200, "total_sold")
-    lab = J.attach_after_topk(top, inp.articles(), ["product_type_name", "colour_group_name"]).select(
-        C.product_label("article_id", "product_type_name", "colour_group_name").alias("label"))
-    return lab.select("label", C.label_to_id("label").alias("article_id"))
+    return _best_sellers(spark, sf_dir).select("label", C.label_to_id("label").alias("article_id"))
 
 
 ATTRS_T_H = ["product_type_name", "colour_group_name", "garment_group_name", "department_name"]
