@@ -43,14 +43,10 @@ def chunks_of(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHA
     return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
 
 
-def shared_hashes(chunked: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
-    """(h, chunk, rank): the distinct chunks whose hash another distinct
-    chunk has as well, numbered within the hash. Usually empty."""
-    distinct = (chunked.select(F.explode("_chunks").alias("_chunk"))
-                .select(chunk_hash(F.col("_chunk")).alias("_h"), "_chunk").distinct())
-    shared = distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
-    rank = F.row_number().over(W.partitionBy("_h").orderBy("_chunk"))
-    return distinct.join(shared, "_h", "left_semi").withColumn("_rank", rank.cast("long"))
+def distinct_chunks(chunked: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
+    """(h, chunk): each distinct chunk once, with its hash."""
+    return (chunked.select(F.explode("_chunks").alias("_chunk"))
+            .select(chunk_hash(F.col("_chunk")).alias("_h"), "_chunk").distinct())
 
 
 def chunk_recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64,
@@ -63,17 +59,18 @@ def chunk_recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xx
     recipes = stored(chunked.select(
         F.col("doc_id"), F.sha2(F.col("_text"), 256).alias("text_sha256"),
         F.transform("_chunks", lambda c: chunk_hash(c)).alias("recipe")), "recipes")
-    shared = stored(shared_hashes(chunked, chunk_hash), "shared")
+    distinct = distinct_chunks(chunked, chunk_hash)
+    shared = stored(distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "shared")
     if shared.isEmpty():  # every hash stands for one chunk text
         return recipes.withColumn("ties", F.array().cast("array<long>"))
+    # number the chunks of a shared hash; per text, list its numbered chunks as position and number in turn
+    rank = F.row_number().over(W.partitionBy("_h").orderBy("_chunk")).cast("long")
+    ranks = stored(distinct.join(shared, "_h", "left_semi").withColumn("_rank", rank), "ranks")
     pieces = (chunked.select(F.sha2(F.col("_text"), 256).alias("text_sha256"), "_chunks").distinct()
               .select("text_sha256", F.posexplode("_chunks").alias("_pos", "_chunk"))
               .withColumn("_h", chunk_hash(F.col("_chunk"))))
-    numbered = (pieces.join(shared, ["_h", "_chunk"])
-                .groupBy("text_sha256", F.col("_pos").alias("_at"), "_rank").agg(F.first("_h").alias("_h")))
-    # per text: its numbered chunks in order, as position and number in turn
-    ties = (numbered.groupBy("text_sha256")
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("_at").cast("long"), "_rank"))).alias("_t"))
+    ties = (pieces.join(ranks, ["_h", "_chunk"]).groupBy("text_sha256")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").cast("long").alias("_at"), "_rank"))).alias("_t"))
             .select("text_sha256", F.flatten(F.transform("_t", lambda t: F.array(t["_at"], t["_rank"]))).alias("ties")))
     return (recipes.join(ties, "text_sha256", "left")
             .withColumn("ties", F.coalesce("ties", F.array().cast("array<long>"))))
