@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["exact_dedup", "mixing", "packing"]
+_MODULES = ["exact_dedup", "substring_dedup", "mixing", "language_id", "simhash", "license_scan",
+            "html_text", "imatch", "chat_format", "packing"]
 
 
 def queries():

@@ -3,8 +3,14 @@ that cut a long plan, and the fixed white-space and word classes."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +21,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that tasks
+    can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[2]
+        packed = Path(tempfile.mkdtemp(prefix="mercato-")) / "mercato.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted((root / "mercato").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(packed))
+
+
+_SHIPPED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,3 +76,38 @@ def text_or_empty(col: str = "text") -> Column:
 
 def sort_key(col: str) -> Column:
     return F.col(col).asc_nulls_last()
+
+
+_SPACE_BYTES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text in lists of bounded size; ``bytes.split``
+    splits at exactly the white space of ``SPACE``."""
+    start = 0
+    while start < len(data):
+        end = start + size
+        cut = _SPACE_BYTES.search(data, end) if end < len(data) else None
+        end = cut.start() if cut else len(data)
+        yield data[start:end].split()
+        start = end
+
+
+def sorted_groups(batches: Iterator, key: str, *values: str) -> Iterator[tuple]:
+    """Groups of a partition that is sorted by ``key`` (a whole number): per
+    step the arrays of key starts, group sizes and each value column, for the
+    groups that are complete. Holds one batch and one unfinished group."""
+    held = None
+    for batch in batches:
+        cols = [np.asarray(batch.column(c)) for c in (key, *values)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        last = starts[-1]
+        held = [c[last:] for c in cols]
+        if last:
+            yield (starts[:-1], np.diff(starts), *[c[:last] for c in cols[1:]])
+    if held is not None and len(held[0]):
+        yield (np.array([0]), np.array([len(held[0])]), *held[1:])
