@@ -9,8 +9,9 @@ their mark and indent, table cells aligned in columns, preformatted text as
 it is, other white space collapsed.
 
 Cases: a null or empty page has an empty text; broken markup is read as far
-as it goes and never fails; depth and length are not limited (the walk does
-not recurse; cells wider than ``MAX_PAD`` do not widen their column);
+as it goes and never fails; length is not limited and the walk does not recurse; below
+``MAX_DEPTH`` elements stand side by side; cell lines over ``MAX_PAD`` do not
+widen their column;
 repeated rows are rendered alike; an empty table gives an empty result.
 Other columns are not read.
 """
@@ -63,6 +64,7 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 MAX_PAD, MAX_SPAN = 60, 1000
+MAX_DEPTH = 512  # elements below are kept, side by side, as browsers do
 
 
 class Node:
@@ -88,14 +90,13 @@ def parse(source: str) -> Node:
         if text:
             stack[-1].inside.append(html.unescape(text))
 
-    def close(ended: set, fence: set) -> bool:
+    def close(ended: set, fence: set) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in ended:
                 del stack[i:]
-                return True
+                return
             if stack[i].tag in fence:
-                return False
-        return False
+                return
 
     last = source.rfind(">")  # nothing after it is a tag
     while at < n:
@@ -118,8 +119,8 @@ def parse(source: str) -> Node:
             if tag == "br":
                 stack[-1].inside.append(Node("br", {}))
             elif tag not in VOID:
-                inline = tag not in BLOCKS and tag not in ("td", "th")
-                close({tag}, {"td", "th", "table", "button"} if inline else {"table"} - {tag})
+                inline = tag not in BLOCKS and tag not in ("td", "th", "tbody", "thead", "tfoot")
+                close({tag}, BLOCKS | {"td", "th"} if inline else {"table"} - {tag})
             continue
         for ended, fence in _ENDED_BY.get(tag, ()):
             close(ended, fence)
@@ -131,7 +132,7 @@ def parse(source: str) -> Node:
             if raw:
                 node.inside.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end()
-        elif tag not in VOID and not (m["attrs"].endswith("/") and tag in ("path", "circle", "rect", "use")):
+        elif tag not in VOID and len(stack) < MAX_DEPTH and not (m["attrs"].endswith("/") and tag in ("path", "circle", "rect", "use")):
             stack.append(node)
     return root
 
