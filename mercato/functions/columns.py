@@ -161,17 +161,15 @@ def round_doubles(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> D
 # C21 -----------------------------------------------------------------------
 def percent_text(c, decimals: int = 1) -> Column:
     """x as a percentage string with fixed decimals, e.g. 0.3521 -> '35.2%'."""
-    s = float(10 ** decimals)
-    v = F.floor(col(c) * F.lit(100.0 * s) + F.lit(0.5 + ROUND_NUDGE)) / F.lit(s)
-    return F.concat(v.cast("double").cast("string"), F.lit("%"))
+    return F.format_string(f"%.{decimals}f%%", F.bround(col(c) * F.lit(100.0), decimals))
 
 
 def export_view(df: DataFrame, rename: dict, pct: dict | None = None, keep: dict | None = None,
                 round_cols: dict | None = None) -> DataFrame:
     """Pick and rename columns for export; ``pct`` columns become percent
-    text, ``round_cols`` {col: (name, digits)} are rounded."""
+    text, ``round_cols`` {col: (name, digits)} are rounded (half to even)."""
     out = [F.col(k).alias(v) for k, v in rename.items()]
     out += [percent_text(k).alias(v) for k, v in (pct or {}).items()]
-    out += [stable_round(F.col(k), d).alias(v) for k, (v, d) in (round_cols or {}).items()]
+    out += [F.bround(F.col(k), d).alias(v) for k, (v, d) in (round_cols or {}).items()]
     out += [F.col(k).alias(v) for k, v in (keep or {}).items()]
     return df.select(*out)

@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def k_sweep(vecs: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7, 8), seed: int = 42) -> DataFrame:
+def best_of(vecs: DataFrame, k: int, starts: int):
+    """The seeded fit of lowest cost."""
+    fits = [KMeans(k=k, seed=s, featuresCol="features").fit(vecs) for s in range(starts)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def k_sweep(vecs: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7, 8), starts: int = 10) -> DataFrame:
     """Inertia (training cost) and silhouette (all rows, squared Euclidean)
-    per k."""
+    per k, each the best of ``starts`` fits."""
     spark = vecs.sparkSession
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
     for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol="features").fit(vecs)
+        m = best_of(vecs, k, starts)
         rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(vecs)))))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
@@ -27,14 +33,9 @@ def k_sweep(vecs: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7, 8), seed: int =
 def assign_clusters(vecs: DataFrame, k: int = 4, starts: int = 10, key: str = "article_id"):
     """Best of ``starts`` seeded fits (lowest cost); returns (key, cluster)
     and the model."""
-    best = None
-    for s in range(starts):
-        m = KMeans(k=k, seed=s, featuresCol="features").fit(vecs)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    out = best[1].transform(vecs).select(key, F.col("prediction").cast("int").alias("cluster"))
-    return out, best[1]
+    best = best_of(vecs, k, starts)
+    out = best.transform(vecs).select(key, F.col("prediction").cast("int").alias("cluster"))
+    return out, best
 
 
 def pca2(vecs: DataFrame, key: str = "article_id"):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import stored
 
 INFREQUENT = "infrequent"
 
@@ -18,17 +19,22 @@ INFREQUENT = "infrequent"
 def group_rare(train: DataFrame, df: DataFrame, cols: Sequence[str], min_count: int = 50,
                missing: str = P.MISSING_CATEGORY) -> DataFrame:
     """M2 (+ C14): categories seen fewer than ``min_count`` times in ``train``
-    share one bucket; nulls become ``missing`` first. Counts are one
-    aggregate per column joined back (AQE broadcasts the small side)."""
+    share one bucket; nulls become ``missing`` first. One pass counts the
+    values of all columns and stores the frequent ones, a small table whose
+    size the planner knows when it joins it back column by column."""
+    def value(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(missing))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("_col"), value(c).alias("_value")) for c in cols])
+    frequent = stored(train.select(F.explode(pairs).alias("_p")).groupBy("_p._col", "_p._value")
+                      .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
+                      .select("_col", "_value"), "frequent")
     out = df
     for c in cols:
-        counts = (train.select(F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c))
-                       .groupBy(c).agg(F.count(F.lit(1)).alias(f"_n_{c}")))
-        out = (out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(missing)))
-                  .join(counts, c, "left")
-                  .withColumn(c, F.when(F.coalesce(F.col(f"_n_{c}"), F.lit(0)) >= min_count, F.col(c))
-                              .otherwise(F.lit(INFREQUENT)))
-                  .drop(f"_n_{c}"))
+        known = frequent.where(F.col("_col") == c).select(F.col("_value").alias(f"_known_{c}"))
+        out = out.withColumn(c, value(c))
+        out = (out.join(known, out[c] == known[f"_known_{c}"], "left")
+                  .withColumn(c, F.coalesce(F.col(f"_known_{c}"), F.lit(INFREQUENT))).drop(f"_known_{c}"))
     return out
 
 

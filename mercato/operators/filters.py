@@ -73,10 +73,12 @@ def holdout_cutoff(df: DataFrame, k: int = P.HOLDOUT_WEEKS, col: str = "week") -
 
 def with_holdout(df: DataFrame, k: int = P.HOLDOUT_WEEKS, col: str = "week",
                  name: str = "split") -> DataFrame:
-    """Label the last ``k`` distinct weeks 'test', the rest 'train'.
+    """Label the last ``k`` distinct weeks 'test', the rest 'train'; rows
+    without a week are in neither.
     The cutoff is a scalar subquery (a top-k over distinct weeks)."""
     cut = holdout_cutoff(df, k, col).scalar()
-    return df.withColumn(name, F.when(F.col(col) >= cut, "test").otherwise("train"))
+    return (df.where(F.col(col).isNotNull())
+              .withColumn(name, F.when(F.col(col) >= cut, "test").otherwise("train")))
 
 
 # F7 -------------------------------------------------------------------------
@@ -101,3 +103,12 @@ def top_category_filter(df: DataFrame, col: str, n: int) -> DataFrame:
     """Rows whose ``col`` is among the top ``n`` values (semi-join against a
     list of at most ``n`` rows, broadcast)."""
     return df.join(F.broadcast(top_categories(df, col, n)), col, "left_semi")
+
+
+def top_categories_filter(df: DataFrame, tops: dict[str, int]) -> DataFrame:
+    """Rows whose every column of ``tops`` is among that column's top values.
+    All lists are counted on ``df`` itself, none on what another has left."""
+    out = df
+    for col, n in tops.items():
+        out = out.join(F.broadcast(top_categories(df, col, n)), col, "left_semi")
+    return out

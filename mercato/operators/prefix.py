@@ -2,11 +2,17 @@
 single-partition window.
 
 A window without ``partitionBy`` (or partitioned by a hot key) moves every row
-into one task. Instead the rows are range-partitioned on the order key
-(Spark samples the keys, so a hot group is spread over many ranges), each
-range gets its total, the few range totals get a small running sum (one row
-per range, a proven bound), and each row adds its range offset to a running
-sum computed inside its range only. Exact and deterministic.
+into one task. Running totals range-partition the rows on the order key
+(Spark samples the keys, so a hot group is spread over many ranges), write
+each row with the number of its range, and read that table twice: once for
+the total of each range (one row per range, a proven bound), once for running
+sums inside a range. The range of a row is decided once and stored, so both
+readers agree however the plans are pruned, and a lost executor cannot move a
+row to another range.
+
+Exact percentiles bracket each rank between two values of a mergeable
+quantile sketch, then count what lies below the bracket and rank exactly the
+few values inside. Nothing that grows with the input is written.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import stored
+
 _BKT = "_rng_bucket"
 
 
@@ -32,35 +40,36 @@ def _order_cols(order: Sequence) -> list[Column]:
     return out
 
 
+def _same(a: DataFrame, b: DataFrame, cols: Sequence[str], prefix: str) -> Column | None:
+    """Null-safe equality of the group columns (``prefix`` marks those of b)."""
+    cond = None
+    for c in cols:
+        eq = a[c].eqNullSafe(b[f"{prefix}{c}"])
+        cond = eq if cond is None else cond & eq
+    return cond
+
+
 def running_totals(df: DataFrame, order: Sequence, sums: Sequence[str],
                    by: Sequence[str] = (), buckets: int | None = None,
-                   prefix: str = "cum_", materialize: bool = True) -> DataFrame:
+                   prefix: str = "cum_") -> DataFrame:
     """Add ``{prefix}{s}`` = Σ s over rows up to and including this one in
-    ``order`` (within ``by`` groups), plus ``total_{s}`` per group.
+    ``order`` (within ``by`` groups; a null group is a group), plus
+    ``total_{s}`` per group.
 
     Rows must be distinct on (by, order) — collapse ties first (aggregate to
     one row per distinct key), which is what every caller does.
-
-    The input feeds two branches (range totals and in-range sums) whose
-    pruned plans differ, so Spark would compute it twice; ``materialize``
-    stores it once with ``checkpoint()`` in the shared checkpoint folder
-    (it is the collapsed table, not the fact table) and both branches read it.
     """
     spark = df.sparkSession
     by = list(by)
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = _order_cols(order)
-    if materialize:
-        from ..session import checkpoint_dir
-        checkpoint_dir(spark)
-        df = df.checkpoint(eager=True)
-    ranged = (df.repartitionByRange(nb, *[F.col(b) for b in by], *ocols)
-                .withColumn(_BKT, F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(nb, *[F.col(b) for b in by], *ocols)
+                      .withColumn(_BKT, F.spark_partition_id()), "ranges")
     # one row per (group, range): bounded by buckets + number of groups
     totals = ranged.groupBy(*by, _BKT).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     wb = W.partitionBy(*by).orderBy(_BKT) if by else W.orderBy(_BKT)
     offsets = totals.select(
-        *by, _BKT,
+        *[F.col(b).alias(f"_g_{b}") for b in by], F.col(_BKT).alias(f"_g_{_BKT}"),
         *[F.coalesce(F.sum(f"_t_{s}").over(wb.rowsBetween(W.unboundedPreceding, -1)),
                      F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(W.partitionBy(*by) if by else W.partitionBy())
@@ -69,41 +78,80 @@ def running_totals(df: DataFrame, order: Sequence, sums: Sequence[str],
         offsets = F.broadcast(offsets)  # at most `nb` rows
     inner = W.partitionBy(*by, _BKT).orderBy(*ocols).rowsBetween(W.unboundedPreceding, 0)
     within = ranged.select("*", *[F.sum(s).over(inner).alias(f"_i_{s}") for s in sums])
-    out = within.join(offsets, [*by, _BKT], "inner")
+    out = within.join(offsets, _same(within, offsets, [_BKT, *by], "_g_"), "inner")
     return out.select(
-        *[c for c in df.columns],
+        *[within[c] for c in df.columns],
         *[(F.col(f"_o_{s}") + F.col(f"_i_{s}")).alias(f"{prefix}{s}") for s in sums],
         *[F.col(f"total_{s}") for s in sums])
 
 
+# The sketch's rank error is 1 / accuracy of a group's rows; a bracket is four
+# times as wide on either side. Groups of fewer rows than the accuracy are
+# inside whole.
+SKETCH_ACCURACY = 10_000
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
-                      by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                      by: Sequence[str] = (), buckets: int | None = None,
+                      accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Linear-interpolated percentiles (pandas ``quantile`` / SQL
-    ``quantile_cont``) of ``value`` per ``by`` group.
+    ``quantile_cont``) of ``value`` per ``by`` group (a null group is a group).
 
-    Returns one row per (group, prob): ``*by, prob, value``.
-    Values are collapsed to distinct (group, value) counts first (map-side
-    combined), then located by rank with :func:`running_totals`.
+    Returns one row per (group, prob): ``*by, prob, value``. Two passes over
+    the input, both map-side combined: the sketch, then one that collapses
+    values inside a bracket to (group, value) counts and all others to counts
+    by the brackets they lie below.
     """
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(*by, F.col(value).cast("double").alias("_v"))
-                .agg(F.count(F.lit(1)).alias("_n")))
-    cum = running_totals(counts, ["_v"], ["_n"], by=by, buckets=buckets)
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    pos = (F.col("total__n") - 1).cast("double") * F.col("_p")
-    rows = (cum.select(*by, "_v", (F.col("cum__n") - F.col("_n")).alias("_first"),
-                       (F.col("cum__n") - 1).alias("_last"), "total__n",
-                       F.explode(probs_arr).alias("_p"))
-               .select("*", F.floor(pos).alias("_klo"), F.ceil(pos).alias("_khi"),
-                       (pos - F.floor(pos)).alias("_frac"))
-               .where(((F.col("_klo") >= F.col("_first")) & (F.col("_klo") <= F.col("_last")))
-                      | ((F.col("_khi") >= F.col("_first")) & (F.col("_khi") <= F.col("_last")))))
+    probs = [float(p) for p in probs]
+    vals = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    side = 4.0 / accuracy
+    ends = [max(0.0, p - side) for p in probs] + [min(1.0, p + side) for p in probs]
+    sketch = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"),
+                                   F.percentile_approx("_v", ends, accuracy).alias("_q"))
+    k = len(probs)
+    if by:
+        # one row per group; broadcast only if its stored size is under the planner's threshold
+        sketch = stored(sketch.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_rows", "_q"), "sketch")
+        rows = vals.join(sketch, _same(vals, sketch, by, "_g_")).select(*[vals[b] for b in by], "_v", "_rows", "_q")
+        total, lo, hi = F.col("_rows"), [F.col("_q")[j] for j in range(k)], [F.col("_q")[k + j] for j in range(k)]
+    else:
+        one = sketch.first()  # one row of 2 x probs numbers
+        rows, total = vals, F.lit(one["_rows"])
+        q = one["_q"] or [None] * (2 * k)
+        lo, hi = [F.lit(x).cast("double") for x in q[:k]], [F.lit(x).cast("double") for x in q[k:]]
+    small = total <= F.lit(accuracy)
+    inside = [small | ((F.col("_v") >= lo[j]) & (F.col("_v") <= hi[j])) for j in range(k)]
+    below = [~small & (F.col("_v") < lo[j]) for j in range(k)]
+    any_inside = inside[0]
+    for x in inside[1:]:
+        any_inside = any_inside | x
+
+    def flags(x):
+        return F.when(x, F.lit(1)).otherwise(F.lit(0)).cast("byte")
+
+    cells = stored(rows.groupBy(*by, F.when(any_inside, F.col("_v")).alias("_v"),
+                                F.array(*[flags(x) for x in inside]).alias("_in"),
+                                F.array(*[flags(x) for x in below]).alias("_below"))
+                   .agg(F.count(F.lit(1)).alias("_n")), "cells")
+    each = cells.select(*by, "_v", "_n", F.explode(F.array(*[
+        F.struct(F.lit(j).alias("_j"), F.lit(p).alias("_p"), F.col("_in")[j].alias("_inside"),
+                 F.col("_below")[j].alias("_under")) for j, p in enumerate(probs)])).alias("_e"))
+    each = each.select(*by, "_v", "_n", "_e.*")
+    base = each.groupBy(*by, "_j").agg(F.sum(F.col("_n") * F.col("_under")).alias("_base"), F.sum("_n").alias("_rows"))
+    base = base.select(*[F.col(b).alias(f"_g_{b}") for b in by], F.col("_j").alias("_g__j"), "_base", "_rows")
+    counts = each.where("_inside = 1").groupBy(*by, "_j", "_p", "_v").agg(F.sum("_n").alias("_n"))
+    cum = running_totals(counts, ["_v"], ["_n"], by=[*by, "_j"], buckets=buckets)
+    cum = cum.join(base, _same(cum, base, [*by, "_j"], "_g_"))
+    pos = (F.col("_rows") - 1).cast("double") * F.col("_p")
+    rows = cum.select(*[cum[b] for b in by], "_p", "_v", (F.col("_base") + F.col("cum__n") - F.col("_n")).alias("_first"),
+                      (F.col("_base") + F.col("cum__n") - 1).alias("_last"), F.floor(pos).alias("_klo"),
+                      F.ceil(pos).alias("_khi"), (pos - F.floor(pos)).alias("_frac"))
     lo_hit = (F.col("_klo") >= F.col("_first")) & (F.col("_klo") <= F.col("_last"))
     hi_hit = (F.col("_khi") >= F.col("_first")) & (F.col("_khi") <= F.col("_last"))
-    agg = rows.groupBy(*by, "_p").agg(F.max(F.when(lo_hit, F.col("_v"))).alias("_lo"),
-                                      F.max(F.when(hi_hit, F.col("_v"))).alias("_hi"),
-                                      F.max("_frac").alias("_frac"))
+    agg = rows.where(lo_hit | hi_hit).groupBy(*by, "_p").agg(
+        F.max(F.when(lo_hit, F.col("_v"))).alias("_lo"), F.max(F.when(hi_hit, F.col("_v"))).alias("_hi"),
+        F.max("_frac").alias("_frac"))
     return agg.select(*by, F.col("_p").alias("prob"),
                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
 

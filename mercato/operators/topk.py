@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions import columns as C
 from ..functions.random import uniform
+from ..session import stored
 from .prefix import percentile_row, running_totals, with_scalars
 
 
@@ -88,42 +89,59 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float, hi: float) -> DataF
 
 def histogram_to_quantile(df: DataFrame, col: str, bins: int, q: float = 0.99,
                           lo: float = 0.0) -> DataFrame:
-    """Equal-width histogram of [lo, p_q] where p_q is the exact q-quantile
-    (the reference zooms price to its p99)."""
+    """Equal-width bins of which ``bins`` cover [lo, p_q], p_q the exact
+    q-quantile. All rows are binned: those beyond p_q (or below ``lo``) get
+    the bins that follow (or precede) at the same width, so a display zoomed
+    to p_q shows the first ``bins`` and nothing is lost."""
     hi = percentile_row(df, col, {"_hi": q})
     x = with_scalars(df.select(col), hi)
     width = (F.col("_hi") - F.lit(float(lo))) / F.lit(float(bins))
-    b = F.least(F.lit(bins), F.floor((F.col(col) - F.lit(float(lo))) / width).cast("int") + 1)
-    return (x.where((F.col(col) >= lo) & (F.col(col) <= F.col("_hi")))
-             .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    at = F.floor((F.col(col) - F.lit(float(lo))) / width).cast("int") + 1
+    b = F.when(F.col(col) == F.col("_hi"), F.lit(bins)).otherwise(at)
+    return (x.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
 
 
 # X1 -------------------------------------------------------------------------
-TAKE_ORDERED_MAX = 100_000
-
-
-def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42,
-             take_ordered_max: int = TAKE_ORDERED_MAX) -> DataFrame:
+def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exact-n sample without replacement: the n rows with the smallest
-    seeded hash of their key (independent of partitioning). Small n is a
-    TakeOrdered top-k; large n keeps rows whose global rank (range-partitioned
-    running count) is <= n, so no single task holds the sample."""
-    u = uniform(list(keys), f"sample:{seed}")
-    base = df.withColumn("_u", u)
-    if n <= take_ordered_max:
-        return base.orderBy("_u", *keys).limit(n).drop("_u")
-    cum = running_totals(base.withColumn("_one", F.lit(1).cast("long")), ["_u", *keys], ["_one"])
+    seeded hash of their key (independent of partitioning). Rows whose hash is
+    over a threshold that n rows almost surely pass are dropped at the scan;
+    the rest are ranked by range-partitioned running counts, so no single
+    task holds the sample. Should fewer than n pass, all rows are ranked."""
+    total = df.count()
+    base = (df.withColumn("_u", uniform(list(keys), f"sample:{seed}"))
+              .withColumn("_one", F.lit(1).cast("long")))
+    bound = _threshold(n, total)
+    cum = running_totals(base.where(F.col("_u") <= F.lit(bound)), ["_u", *keys], ["_one"])
+    if bound < 1.0 and (cum.agg(F.max("total__one")).first()[0] or 0) < min(n, total):
+        cum = running_totals(base, ["_u", *keys], ["_one"])
     return cum.where(F.col("cum__one") <= n).drop("_u", "_one", "cum__one", "total__one")
 
 
+def _threshold(n: int, total: int) -> float:
+    """A share of ``total`` draws that holds ``n`` but once in 10^15 times."""
+    return min(1.0, (n + 8 * n ** 0.5 + 64) / max(total, 1))
+
+
 # X2 -------------------------------------------------------------------------
 def sample_stratified(df: DataFrame, strata: str, fraction: float, keys: Sequence[str],
                       seed: int = 42) -> DataFrame:
-    """Keep ceil(fraction x stratum size) rows of each stratum, chosen by
-    seeded hash. The rank inside a stratum comes from range-partitioned
+    """Keep ceil(fraction x stratum size) rows of each stratum (a null
+    stratum is one), chosen by seeded hash. Rows far over a stratum's share
+    are dropped first; the rank of the rest comes from range-partitioned
     running counts, so a hot stratum is spread over many tasks."""
-    u = uniform(list(keys), f"strat:{seed}")
-    base = df.withColumn("_u", u).withColumn("_one", F.lit(1).cast("long"))
-    cum = running_totals(base, ["_u", *keys], ["_one"], by=[strata])
-    quota = F.ceil(F.col("total__one") * F.lit(float(fraction)))
-    return cum.where(F.col("cum__one") <= quota).drop("_u", "_one", "cum__one", "total__one")
+    base = (df.withColumn("_u", uniform(list(keys), f"strat:{seed}"))
+              .withColumn("_one", F.lit(1).cast("long")))
+    quota = F.ceil(F.count(F.lit(1)) * F.lit(float(fraction)))
+    sizes = stored(df.groupBy(F.col(strata).alias("_stratum")).agg(
+        F.count(F.lit(1)).alias("_size"), quota.alias("_quota")), "strata")
+    near = (F.col("_quota") + F.lit(8.0) * F.sqrt(F.col("_quota").cast("double")) + 64) / F.col("_size")
+    rows = base.join(sizes, base[strata].eqNullSafe(sizes["_stratum"])).drop("_stratum", "_size")
+    with_near = base.join(sizes, base[strata].eqNullSafe(sizes["_stratum"])).where(F.col("_u") <= near).drop("_stratum", "_size")
+    cum = running_totals(with_near, ["_u", *keys], ["_one"], by=[strata])
+    short = cum.where(F.col("total__one") < F.col("_quota")).limit(1).count()
+    kept = cum.select(strata).distinct().count()
+    if short or kept < sizes.where("_quota > 0").count():
+        cum = running_totals(rows, ["_u", *keys], ["_one"], by=[strata])
+    return (cum.where(F.col("cum__one") <= F.col("_quota"))
+               .drop("_u", "_one", "_quota", "cum__one", "total__one"))

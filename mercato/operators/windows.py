@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from .. import params as P
 from ..functions import columns as C
+from ..session import stored
 from .prefix import running_totals
 
 
@@ -72,11 +73,13 @@ def with_log1p(df: DataFrame, cols: Sequence[str], prefix: str = "log_") -> Data
 # W4 -------------------------------------------------------------------------
 def with_group_median(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
     """Attach the exact median of ``col`` within each ``key`` group to every
-    row. Medians come from the distributed rank search (no group is ever
-    gathered in one task); the per-group result joins back (AQE broadcasts it
-    when small). Rows with a null key get a null median."""
+    row. Medians come from sketch brackets and exact ranks inside them (no
+    group is ever gathered in one task); the stored result has one row per
+    group, so the planner knows its size and broadcasts it under its
+    threshold instead of shuffling the rows on ``key``. Rows with a null key
+    get a null median."""
     from .prefix import group_percentile
-    med = group_percentile(df.where(F.col(key).isNotNull()), col, 0.5, [key], name)
+    med = stored(group_percentile(df.where(F.col(key).isNotNull()), col, 0.5, [key], name), "medians")
     return df.join(med, key, "left")
 
 

@@ -41,7 +41,7 @@ def build_features(weekly: DataFrame, articles: DataFrame, train_end: str,
     if extended:
         w = Wn.with_weeks_in_catalog(w)
     w = Wn.with_calendar(w, "week", quarter=extended, cyclic=extended)
-    w = J.ensure_attributes(w, articles, P.CATEGORY_COLS)
+    w = J.enrich_articles(w, articles, P.CATEGORY_COLS)
     w = w.withColumn("log_units", F.log1p(F.col("units_sold").cast("double")))
     w = Wn.with_log1p(w, ["lag_1", "lag_2", "lag_4", "rolling_mean_4", "rolling_mean_8"])
     return Fi.drop_incomplete(w, ["lag_4", "rolling_mean_8"])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import planning as PL
@@ -67,3 +68,33 @@ def executive_summary(plan: DataFrame, sweep: DataFrame) -> DataFrame:
     return out.select("scenarios", "impact_vs_naive", F.lit(P.ALPHA_OPTIMAL).alias("alpha_optimal"),
                       "gap_to_oracle_eur", "sensitivity", "best_alpha", "budget_units",
                       assumptions.alias("assumptions"))
+
+
+def summary_rows(summary: DataFrame) -> DataFrame:
+    """The nested summary as rows: section, item, metric, value."""
+    def rows(df: DataFrame, section: str, item, struct: str, fields) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(f).alias("metric"), F.col(f"{struct}.{f}").cast("double").alias("value"))
+                          for f in fields])
+        return df.select(F.lit(section).alias("section"), item.alias("item"), F.explode(pairs).alias("_p")).select(
+            "section", "item", "_p.*")
+
+    def fields(column: str) -> list[str]:
+        kind = summary.schema[column].dataType
+        return (kind.elementType if hasattr(kind, "elementType") else kind).names
+
+    scen = summary.select(F.explode("scenarios").alias("s"))
+    sens = summary.select(F.explode("sensitivity").alias("s"))
+    none = F.lit("")
+    top = summary.select(F.struct("alpha_optimal", "gap_to_oracle_eur", "best_alpha", "budget_units").alias("s"))
+    parts = [
+        rows(scen, "scenario", F.col("s.scenario"), "s", [f for f in fields("scenarios") if f != "scenario"]),
+        rows(summary, "impact", none, "impact_vs_naive", fields("impact_vs_naive")),
+        rows(sens, "sensitivity", C.stable_round(F.col("s.alpha")).cast("string"), "s",
+             [f for f in fields("sensitivity") if f != "alpha"]),
+        rows(top, "summary", none, "s", ["alpha_optimal", "gap_to_oracle_eur", "best_alpha", "budget_units"]),
+        rows(summary, "assumptions", none, "assumptions", fields("assumptions")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

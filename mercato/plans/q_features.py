@@ -236,7 +236,7 @@ def q_ensure_attributes(spark, sf_dir):
     """Add only the missing category columns."""
     inp = Inputs(spark, sf_dir)
     w = A.weekly_sales(inp.transactions()).drop("avg_price")
-    return J.ensure_attributes(w, inp.articles(), P.CATEGORY_COLS)
+    return J.enrich_articles(w, inp.articles(), P.CATEGORY_COLS)
 
 
 @query("join_coverage", sql_with("transactions", "articles") + f""",
@@ -309,10 +309,55 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("t_dat", "customer_id", "article_id", F.col("price").cast("double").alias("price"))
 
 
+@query("raw_articles_roundtrip", sql_with("articles") + """
+SELECT article_id, prod_name, product_group_name, garment_group_name,
+       'Part "' || prod_name || '",' || chr(10) || 'second line' AS detail_desc FROM articles""")
+def q_raw_articles_roundtrip(spark, sf_dir):
+    """S2 + S7: articles written in the raw 25-column CSV layout, with quotes
+    and a line break in the description, and read back in the fixed schema."""
+    art = Inputs(spark, sf_dir).articles()
+    desc = F.concat(F.lit('Part "'), F.col("prod_name"), F.lit('",\nsecond line'))
+    have = {**{c: F.col(c) for c in art.columns}, "detail_desc": desc}
+    raw = art.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in io.ARTICLES_SCHEMA])
+    d = _scratch(spark, "articles_csv")
+    io.write_csv(raw, d)
+    return io.read_articles(spark, d, fmt="csv").select("article_id", "prod_name", "product_group_name",
+                                                        "garment_group_name", "detail_desc")
+
+
+@query("raw_customers_roundtrip", sql_with("customers") + """
+SELECT customer_id, club_member_status, fashion_news_frequency, CAST(age AS DOUBLE) AS age FROM customers""")
+def q_raw_customers_roundtrip(spark, sf_dir):
+    """S3 + S7: customers written in the raw 7-column CSV layout and read back."""
+    cust = Inputs(spark, sf_dir).customers()
+    raw = cust.select(*[(F.col(f.name) if f.name in cust.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in io.CUSTOMERS_SCHEMA])
+    d = _scratch(spark, "customers_csv")
+    io.write_csv(raw, d)
+    back = io.read_customers(spark, d, fmt="csv")
+    return back.select("customer_id", "club_member_status", "fashion_news_frequency", F.col("age").cast("double").alias("age"))
+
+
+@query("article_features", sql_with("transactions", "articles") + f"""
+SELECT a.article_id, {ATTRS} FROM articles a
+WHERE a.article_id IN (SELECT article_id FROM transactions WHERE article_id IS NOT NULL AND t_dat IS NOT NULL)""")
+def q_article_features(spark, sf_dir):
+    """J6 + S6 + S4: the article_features stage table, attributes of the
+    articles that the weekly table has, written and read back."""
+    inp = Inputs(spark, sf_dir)
+    d = _scratch(spark, "features")
+    weekly = A.weekly_sales(inp.transactions())
+    io.write_stage(J.semi_by_keys(inp.articles(), weekly).select("article_id", *P.ARTICLE_ATTRS), d, "article_features")
+    return io.read_stage(spark, d, "article_features")
+
+
 @query("metrics_json_roundtrip")
 def q_metrics_json_roundtrip(spark, sf_dir):
-    """The nested executive summary written as JSON and read back."""
-    from .q_planning import q_executive_summary
+    """The nested executive summary written as JSON and read back, as
+    section / item / metric / value rows."""
+    from . import planning as PP
+    from .q_planning import _nested_summary
     d = _scratch(spark, "summary")
-    io.write_metrics(q_executive_summary(spark, sf_dir), d)
-    return spark.read.json(d)
+    nested = _nested_summary(spark, sf_dir)
+    io.write_metrics(nested, d)
+    return PP.summary_rows(spark.read.schema(nested.schema).json(d))

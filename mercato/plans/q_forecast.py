@@ -131,11 +131,31 @@ SELECT top.article_id, n_weeks, total_sold, {R('wape')} AS wape, {", ".join("a."
 FROM top LEFT JOIN articles a ON top.article_id = a.article_id""")
 def q_worst_forecasts(spark, sf_dir):
     """T-h + F7 + J7: 20 worst-forecast articles with >= 4 weeks."""
+    return _worst_forecasts(spark, sf_dir)
+
+
+def _worst_forecasts(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
     s = A.article_forecast_summary(_pred(spark, sf_dir)).where(F.col("n_weeks") >= 4)
     return J.attach_after_topk(K.top_k(s, 20, "wape"), inp.articles(), ATTRS_T_H)
 
 
+@query("worst_forecasts_export", PRED_CTE + f""",
+s AS ({SQL_SUMMARY}),
+top AS (SELECT * FROM s WHERE n_weeks >= 4 ORDER BY wape DESC, article_id LIMIT 20)
+SELECT top.article_id AS "Article ID", a.product_type_name AS "Product type", a.colour_group_name AS "Color",
+       a.garment_group_name AS "Garment", n_weeks AS "N weeks", CAST(total_sold AS BIGINT) AS "Vendido",
+       round_even(wape, 3) AS "WAPE"
+FROM top LEFT JOIN articles a ON top.article_id = a.article_id""")
+def q_worst_forecasts_export(spark, sf_dir):
+    """T-h + C21: the worst-forecast table as exported."""
+    out = C.export_view(_worst_forecasts(spark, sf_dir),
+                        {"article_id": "Article ID", "product_type_name": "Product type", "colour_group_name": "Color",
+                         "garment_group_name": "Garment", "n_weeks": "N weeks", "total_sold": "Vendido"},
+                        round_cols={"wape": ("WAPE", 3)})
+    return out.withColumn("Vendido", F.col("Vendido").cast("long"))
+
+
 @query("error_histogram", PRED_CTE + """,
 e AS (SELECT y_pred - units_sold AS error FROM pred),
 q AS (SELECT quantile_cont(error, 0.01) AS lo, quantile_cont(error, 0.99) AS hi FROM e),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions import columns as FC
 from ..functions.random import sql_normal
 from ..operators import planning as PL
 from ..operators import topk as K
 from ..sources.standin import Inputs, sql_with
 from . import planning as PP
-from .catalog import R, query
+from .catalog import ORACLE, R, query
 from .q_forecast import PRED_BODY
 from .q_returns import LT_BODY
 
@@ -299,10 +300,56 @@ def q_declared_policies(spark, sf_dir):
     return s.select("scenario", "total_production", "total_margin")
 
 
-@query("executive_summary")
-def q_executive_summary(spark, sf_dir):
-    """Nested executive summary (scenarios, impact, sensitivity, assumptions)."""
+def _nested_summary(spark, sf_dir):
     b = PP.policy_table(_base(spark, sf_dir))
     plan = PP.production_plan(b, stored=True)
     sweep = PL.alpha_sweep(b, PL.total(b, "prod_oracle"))
     return PP.executive_summary(plan, sweep)
+
+
+def _long(section: str, item: str, sql: str, drop: tuple[str, ...] = ()) -> str:
+    keep = f"* EXCLUDE ({', '.join(drop)})" if drop else "*"
+    return (f"SELECT '{section}' AS section, {item} AS item, metric, value FROM "
+            f"(UNPIVOT ({sql}) ON COLUMNS({keep}) INTO NAME metric VALUE value)")
+
+
+_ASSUMED = {"gross_margin_pct": G, "return_handling_cost_eur": C, "markdown_pct": M, "destruction_rate": D,
+            "price_to_eur_factor": P.PRICE_TO_EUR}
+SUMMARY_SQL = " UNION ALL ".join([
+    _long("scenario", "scenario", ORACLE["scenario_pnl"], ("scenario",)),
+    _long("impact", "''", f"SELECT * EXCLUDE (gap_to_oracle_eur) FROM ({ORACLE['scenario_comparison']})"),
+    _long("sensitivity", "CAST(alpha AS VARCHAR)", f"SELECT * EXCLUDE (best_alpha) FROM ({ORACLE['alpha_sweep']})", ("alpha",)),
+    _long("summary", "''", f"SELECT {dbl(P.ALPHA_OPTIMAL)} AS alpha_optimal, gap_to_oracle_eur, "
+          f"(SELECT max(best_alpha) FROM ({ORACLE['alpha_sweep']})) AS best_alpha, "
+          f"(SELECT {R('sum(prod_oracle)')} FROM ({PLAN_CTE} SELECT prod_oracle FROM pol)) AS budget_units "
+          f"FROM ({ORACLE['scenario_comparison']})"),
+    _long("assumptions", "''", "SELECT " + ", ".join(f"{dbl(v)} AS {k}" for k, v in _ASSUMED.items())),
+])
+
+
+@query("executive_summary", SUMMARY_SQL)
+def q_executive_summary(spark, sf_dir):
+    """Executive summary (scenarios, impact, sensitivity, assumptions),
+    its nested row as section / item / metric / value rows."""
+    return PP.summary_rows(_nested_summary(spark, sf_dir))
+
+
+_EXPORT_SQL = """
+SELECT article_id AS "Article ID", round_even(avg_price_eur, 2) AS "Price (€)", round_even(return_prob, 3) AS "Return prob",
+       CAST(round_even(prod_naive, 0) AS BIGINT) AS "Naive units", CAST(round_even(prod_optimized, 0) AS BIGINT) AS "Optim units",
+       CAST(round_even(production_diff, 0) AS BIGINT) AS "Δ units", round_even(margin_saved_eur, 2) AS "Margin saved (€)"
+FROM (SELECT * FROM plan ORDER BY abs(production_diff) DESC, article_id LIMIT 10)"""
+
+
+@query("top_changes_export", PLAN_OPT + _EXPORT_SQL)
+def q_top_changes_export(spark, sf_dir):
+    """T-d + C21: the top-10 reallocation table as exported."""
+    p = _plan(spark, sf_dir).withColumn("_abs", F.abs("production_diff"))
+    units = {"prod_naive": "Naive units", "prod_optimized": "Optim units", "production_diff": "Δ units"}
+    out = FC.export_view(K.top_k(p, 10, "_abs"), {"article_id": "Article ID"},
+                         round_cols={"avg_price_eur": ("Price (€)", 2), "return_prob": ("Return prob", 3),
+                                     **{k: (v, 0) for k, v in units.items()}, "margin_saved_eur": ("Margin saved (€)", 2)})
+    return out.withColumns({v: F.col(f"`{v}`").cast("long") for v in units.values()})
+
+
+ORACLE["metrics_json_roundtrip"] = SUMMARY_SQL  # the same rows, through a JSON file

@@ -11,12 +11,14 @@ from ..operators import aggregates as A
 from ..operators import filters as Fi
 from ..operators import joins as J
 from ..operators import topk as K
+from ..session import stored
 from ..sources.standin import Inputs, sql_with
 from . import returns as RT
 from .catalog import R, query
 from .q_returns import LT_BODY, SQL_RISK
 
 VE = P.STANDIN_VAL_END
+TOP_AXES = {"garment_group_name": 12, "colour_group_name": 15}
 
 STYLE_CTE = sql_with("transactions_c", "articles", "customers") + LT_BODY + f""",
 r AS ({SQL_RISK}),
@@ -51,20 +53,39 @@ FROM sub GROUP BY 1, 2 HAVING count(*) >= 20""")
 def q_risk_matrix(spark, sf_dir):
     """F9 + A10 + F7: garment x colour mean risk over the top 12 garments
     and top 15 colours, cells with >= 20 articles."""
-    s = _style(spark, sf_dir)
-    s = Fi.top_category_filter(Fi.top_category_filter(s, "garment_group_name", 12), "colour_group_name", 15)
-    return A.risk_matrix(s, min_n=20)
+    return A.risk_matrix(Fi.top_categories_filter(_style(spark, sf_dir), TOP_AXES), min_n=20)
 
 
-@query("risk_heatmap")
+@query("risk_heatmap", STYLE_CTE + f""",
+sub AS (SELECT * FROM sb WHERE garment_group_name IN {_top_sql('garment_group_name', 12)}
+                         AND colour_group_name IN {_top_sql('colour_group_name', 15)}),
+cells AS (SELECT garment_group_name, colour_group_name, avg(avg_return_prob) AS return_rate
+          FROM sub GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT g.garment_group_name, c.colour_group_name, {R('cells.return_rate')} AS return_rate
+FROM (SELECT DISTINCT garment_group_name FROM cells) g
+CROSS JOIN {_top_sql('colour_group_name', 15)} c
+LEFT JOIN cells ON cells.garment_group_name = g.garment_group_name AND cells.colour_group_name = c.colour_group_name""")
 def q_risk_heatmap(spark, sf_dir):
     """The risk matrix pivoted to garments x colours (explicit column
-    list = the top colours, collected as at most 15 values)."""
-    s = _style(spark, sf_dir)
+    list = the top colours, collected as at most 15 values), read as one row
+    per cell, empty cells included."""
+    s = stored(_style(spark, sf_dir), "style")  # article-sized; read for the axes and for the cells
     colours = [r[0] for r in Fi.top_categories(s, "colour_group_name", 15).collect()]
-    s = Fi.top_category_filter(Fi.top_category_filter(s, "garment_group_name", 12), "colour_group_name", 15)
-    cells = A.risk_matrix(s, min_n=20)
-    return K.pivot_matrix(cells, "garment_group_name", "colour_group_name", "return_rate", sorted(colours))
+    cells = A.risk_matrix(Fi.top_categories_filter(s, TOP_AXES), min_n=20)
+    wide = K.pivot_matrix(cells, "garment_group_name", "colour_group_name", "return_rate", sorted(colours))
+    return wide.unpivot(["garment_group_name"], sorted(colours), "colour_group_name", "return_rate")
+
+
+@query("category_tiers", STYLE_CTE + f""",
+g AS (SELECT garment_group_name, count(*) AS n_products, avg(avg_return_prob) AS return_rate
+      FROM sb WHERE garment_group_name IS NOT NULL GROUP BY 1 HAVING count(*) >= 30
+      ORDER BY return_rate DESC, garment_group_name LIMIT 15)
+SELECT garment_group_name, n_products, {R('return_rate')} AS return_rate,
+       CASE WHEN return_rate < 0.15 THEN 'low' WHEN return_rate < 0.25 THEN 'mid' ELSE 'high' END AS tier FROM g""")
+def q_category_tiers(spark, sf_dir):
+    """A11 + C19: the riskiest garment groups with their category tier."""
+    g = A.risk_by_garment(_style(spark, sf_dir))
+    return g.withColumn("tier", C.risk_tier("return_rate", P.CATEGORY_TIER_BOUNDS))
 
 
 @query("risk_by_garment", STYLE_CTE + f"""
@@ -141,7 +162,7 @@ def q_garment_risk_histogram(spark, sf_dir):
 
 
 def _pct_text_sql(x):
-    return f"CAST(CAST(floor(({x}) * 1000.0 + {0.5 + C.ROUND_NUDGE!r}) / 10.0 AS DOUBLE) AS VARCHAR) || '%'"
+    return f"printf('%.1f%%', ({x}) * 100.0)"
 
 
 @query("risk_export", STYLE_CTE + f"""
@@ -159,3 +180,21 @@ def q_risk_export(spark, sf_dir):
                              "department_name": "Departamento"},
                          pct={"avg_return_prob": "Predicted", "actual_return_rate": "Actual"},
                          keep={"n_transactions": "N transactions"})
+
+
+@query("segment_profile_export", STYLE_CTE + f""",
+p AS (SELECT index_group_name, count(*) AS n_products, avg(avg_return_prob) AS return_rate,
+             coalesce({_mode_sql('garment_group_name')}, 'N/A') AS top_garment,
+             coalesce({_mode_sql('colour_group_name')}, 'N/A') AS top_color,
+             coalesce({_mode_sql('department_name')}, 'N/A') AS top_dept
+      FROM sb g WHERE index_group_name IS NOT NULL GROUP BY index_group_name)
+SELECT 'Segment ' || index_group_name AS "Cluster", format('{{:,}}', n_products) AS "Productos",
+       {_pct_text_sql('return_rate')} AS "Return rate", top_garment AS "Top garment", top_color AS "Top color",
+       top_dept AS "Top departamento" FROM p""")
+def q_segment_profile_export(spark, sf_dir):
+    """A12 + C21: the profile table as exported (label, thousands marks,
+    percent text); by index group, like ``segment_profile``."""
+    p = A.cluster_profile(_style(spark, sf_dir), cluster="index_group_name")
+    p = p.withColumns({"_label": F.concat(F.lit("Segment "), "index_group_name"), "_n": F.format_number("n_products", 0)})
+    return C.export_view(p, {"_label": "Cluster", "_n": "Productos"}, pct={"return_rate": "Return rate"},
+                         keep={"top_garment": "Top garment", "top_color": "Top color", "top_dept": "Top departamento"})

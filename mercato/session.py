@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job assumes. AQE re-plans joins from runtime sizes (the size
 # check behind every non-hinted broadcast), coalesces small shuffle
@@ -69,6 +70,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_STORED: dict[str, list[str]] = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back. Later jobs read the files instead of repeating the plan, a
+    lost executor costs nothing, several readers see the same rows in the
+    same buckets, and the planner knows the table's size (so it broadcasts
+    the table only if it is under ``autoBroadcastJoinThreshold``)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` wrote in this application; call it
+    when the results that read them have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _STORED.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def sized_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
                expansion: float = 1.0) -> dict:
     """Shuffle / scan sizing for a job reading ``input_bytes`` on a cluster

@@ -60,11 +60,22 @@ CUSTOMERS_SCHEMA = T.StructType([
 ])
 
 
-def _reader(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None):
+def _reader(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None, quoted_lines: bool = False):
+    """Raw rows in the declared schema. ``quoted_lines`` reads quoted text
+    with line breaks and doubled quotes; such files cannot be split, so it is
+    for the article and customer tables only. Other formats are cast to the
+    schema; a missing column is an error."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "csv":
-        return spark.read.schema(schema).option("header", True).csv(path)
-    return spark.read.format(fmt).load(path)
+        reader = spark.read.schema(schema).option("header", True)
+        if quoted_lines:
+            reader = reader.option("multiLine", True).option("escape", '"')
+        return reader.csv(path)
+    raw = spark.read.format(fmt).load(path)
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 # S1 --------------------------------------------------------------------------
@@ -81,12 +92,12 @@ def read_transactions(spark: SparkSession, path: str, nrows: int | None = None,
 
 # S2 / S3 -----------------------------------------------------------------------
 def read_articles(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return _reader(spark, path, ARTICLES_SCHEMA, fmt).withColumn(
+    return _reader(spark, path, ARTICLES_SCHEMA, fmt, quoted_lines=True).withColumn(
         "article_id", normalize_key("article_id"))
 
 
 def read_customers(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return _reader(spark, path, CUSTOMERS_SCHEMA, fmt)
+    return _reader(spark, path, CUSTOMERS_SCHEMA, fmt, quoted_lines=True)
 
 
 # S4 ------------------------------------------------------------------------------
@@ -112,7 +123,8 @@ def write_stage(df: DataFrame, directory: str, name: str, partition_by=None) ->
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; quotes inside text are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -120,7 +132,7 @@ def write_csv(df: DataFrame, path: str) -> str:
 def write_metrics(df: DataFrame, path: str) -> str:
     """Nested metrics / summary rows as JSON lines (struct and array columns
     are kept nested)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
     return path
 
 

@@ -23,5 +23,5 @@ def test_sample_n_independent_of_partitions(spark):
     tx = Inputs(spark, SF_SMALL).transactions().select("tx_key")
     s1 = {r.tx_key for r in K.sample_n(tx.repartition(2), 500, ["tx_key"]).collect()}
     s2 = {r.tx_key for r in K.sample_n(tx.repartition(9), 500, ["tx_key"]).collect()}
-    s3 = {r.tx_key for r in K.sample_n(tx.repartition(5), 500, ["tx_key"], take_ordered_max=10).collect()}
+    s3 = {r.tx_key for r in K.sample_n(tx.repartition(5), 500, ["tx_key"]).collect()}
     assert s1 == s2 == s3 and len(s1) == 500
