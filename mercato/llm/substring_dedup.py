@@ -13,11 +13,12 @@ in a window whose words also start in a document with a smaller doc_id.
    are one passage.
 3. Automata. Documents with candidates are dealt out into slices of bounded
    size; a slice gets the passages that share an anchor with one of its
-   documents. It compiles them, block by block of half a window, into a
-   pyahocorasick automaton (any window of a passage holds a whole block) and
-   streams its documents through it. Where a block occurs, document and
-   passage are compared along that diagonal, word by word and then as text;
-   runs of a window or more are covered if the passage's document is smaller.
+   documents of larger id. Of each block of half a window it compiles the
+   first half, a phrase, into a pyahocorasick automaton (any window of a
+   passage holds a whole block) and streams its documents through it. The
+   windows around each phrase that occurs are looked up among the passages'
+   windows and, run by run, compared as text; they are covered if the
+   passage's document is smaller.
 
 Windows are judged on the input. A passage that a third of all documents
 share is one pattern in each slice, so no task gets its occurrences alone.
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored, table
 
 WINDOW, GRAM = 50, 16
-SLICE_ANCHORS = 8_000  # repeated anchors of the documents of a slice, about
+SLICE_ANCHORS = 16_000  # repeated anchors of the documents of a slice, about
 LAST_ID = 2 ** 63 - 1  # stands for a null doc_id
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2 ** 64)
@@ -174,68 +175,93 @@ def passages(recurring: DataFrame, candidates: DataFrame, window: int) -> DataFr
 
 
 class Automaton:
-    """The passages of a slice: blocks of half a window as patterns."""
+    """The passages of a slice: the phrases that lead to them, and their
+    windows by hash."""
 
     def __init__(self, window: int):
         import ahocorasick
         self.window, self.block = window, window // 2
-        self.machine, self.made = ahocorasick.Automaton(), False
-        self.passages: list[tuple[int, Words, str, np.ndarray]] = []  # id, words, text, place of each word
-        self.places: list[list[tuple[int, int]]] = []                 # of a pattern: (passage, word)
-        self.number: dict[str, int] = {}
+        self.phrase = max(1, self.block // 2)
+        self.machine = ahocorasick.Automaton()
+        self.passages: list[tuple[str, np.ndarray]] = []  # text, place of each word
+        self.parts: list[tuple] = []                      # of each: hashes, id, number, place of its windows
+        self.windows: tuple | None = None                 # all of them, by hash, then id
 
     def add(self, i: int, text: str) -> None:
         own = Words(text)
         joined, starts = spaced(own.words)
         for at in range(0, len(own.words) - self.block + 1, self.block):
-            pattern = joined[starts[at] - 1:(starts[at + self.block] if at + self.block < len(starts) else len(joined))]
-            if pattern not in self.number:
-                self.number[pattern] = len(self.places)
-                self.machine.add_word(pattern, (len(self.places), len(pattern)))
-                self.places.append([])
-            self.places[self.number[pattern]].append((len(self.passages), at))
-        self.passages.append((i, own, joined, starts))
+            pattern = joined[starts[at] - 1:starts[at + self.phrase]]
+            self.machine.add_word(pattern, len(pattern))
+        hashes = own.runs(self.window)
+        n = len(hashes)
+        self.parts.append((hashes, np.full(n, i, np.int64), np.full(n, len(self.passages)), np.arange(n)))
+        self.passages.append((joined, starts))
+
+    def compile(self) -> None:
+        self.machine.make_automaton()
+        hashes, ids, number, at = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, hashes))
+        self.windows = hashes[order], ids[order], number[order], at[order]
+        self.parts = []
 
     def covered(self, i: int, own: Words) -> np.ndarray:
         """Which words of document ``i`` are in a window of a passage of a
         document with a smaller id."""
+        n = len(own.words) - self.window + 1
         cover = np.zeros(len(own.words), bool)
-        if not self.places or len(own.words) < self.window:
+        if not self.passages or n <= 0:
             return cover
-        if not self.made:
-            self.machine.make_automaton()
-            self.made = True
+        if self.windows is None:
+            self.compile()
         joined, starts = spaced(own.words)
-        seen: set[tuple[int, int]] = set()
-        for end, (number, length) in self.machine.iter(joined):
-            word = int(np.searchsorted(starts, end - length + 2))
-            for p, at in self.places[number]:
-                if self.passages[p][0] < i and (p, word - at) not in seen:
-                    seen.add((p, word - at))
-                    self.compare(cover, own, joined, starts, p, word - at)
+        found = [end - length for end, length in self.machine.iter(joined)]  # before each phrase's first space
+        if not found:
+            return cover
+        word = np.searchsorted(starts, np.array(found) + 2)
+        # the windows that hold a phrase where it occurs
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, np.maximum(0, word + self.phrase - self.window), 1)
+        np.add.at(change, np.minimum(n, word + 1), -1)
+        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        hashes, ids, number, place = self.windows
+        own_hashes = own.runs(self.window)[at]
+        first = np.searchsorted(hashes, own_hashes)
+        same = first < len(hashes)
+        same[same] = hashes[first[same]] == own_hashes[same]
+        same[same] = ids[first[same]] < i  # ids ascend within a hash
+        at, first = at[same], first[same]
+        # runs of windows along one diagonal of one passage are compared as one text
+        shift = place[first] - at
+        cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(shift) != 0) | (np.diff(number[first]) != 0)) + 1
+        for run, hit in zip(np.split(at, cuts), np.split(first, cuts)):
+            if not len(run):
+                continue
+            if self.equal(joined, starts, run[0], number[hit[0]], place[hit[0]], len(run) + self.window - 1):
+                cover[run[0]:run[-1] + self.window] = True
+            else:  # two windows of one hash
+                for a, k in zip(run, hit):
+                    while k < len(hashes) and hashes[k] == hashes[hit[a - run[0]]] and ids[k] < i:
+                        if self.equal(joined, starts, a, number[k], place[k], self.window):
+                            cover[a:a + self.window] = True
+                            break
+                        k += 1
         return cover
 
-    def compare(self, cover: np.ndarray, own: Words, joined: str, starts: np.ndarray, p: int, shift: int) -> None:
-        """Cover the equal runs of a window or more on one diagonal."""
-        _, theirs, text, places = self.passages[p]
-        lo, hi = max(0, shift), min(len(own.words), shift + len(theirs.words))
-        if cover[lo:hi].all():
-            return
-        same = np.r_[False, own.hashes[lo:hi] == theirs.hashes[lo - shift:hi - shift], False]
-        turns = np.flatnonzero(same[1:] != same[:-1])
-        for a, b in zip(turns[::2] + lo, turns[1::2] + lo):
-            if b - a >= self.window:
-                left = joined[starts[a]:starts[b - 1] + len(own.words[b - 1].decode())]
-                at = places[a - shift]
-                if text[at:at + len(left)] == left:
-                    cover[a:b] = True
+    def equal(self, joined: str, starts: np.ndarray, at: int, number: int, place: int, words: int) -> bool:
+        text, places = self.passages[number]
+        return joined[starts[at]:starts[at + words]] == text[places[place]:places[place + words]]
 
 
 def spaced(words: list[bytes]) -> tuple[str, np.ndarray]:
-    """The words with a space before, between and after, and where each starts."""
-    joined = (b" " + b" ".join(words) + b" ").decode()
-    lens = np.fromiter((len(w) if w.isascii() else len(w.decode()) for w in words), np.int64, len(words))
-    return joined, np.cumsum(lens + 1) - lens
+    """The words with a space before, between and after, and the place of
+    the character after each space: where each word starts, and the end."""
+    joined = b" " + b" ".join(words) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    starts = np.flatnonzero(data == 0x20) + 1
+    if not joined.isascii():  # from bytes to characters
+        starts = np.cumsum((data & 0xC0) != 0x80)[starts - 1]
+    return joined.decode(), starts
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -312,9 +338,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, slic
     # 3. slices of bounded size, and the passages that each needs
     slices = max(1, -(-hits.count() // slice_anchors))
     slice_of = F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice")
-    where = hits.select("anchor", slice_of).distinct()
+    where = hits.select("anchor", slice_of, F.col("id").alias("most")).groupBy("anchor", "slice").agg(F.max("most").alias("most"))
     needed = (found.select("id", "start", F.explode("anchors").alias("anchor")).join(where, "anchor")
-              .select("slice", "id", "start").distinct())
+              .where("most > id").select("slice", "id", "start").distinct())
     null_id = F.lit(None).cast("long").alias("doc_id")
     compiled = needed.join(found, ["id", "start"]).select(
         "slice", F.lit(0).alias("kind"), "id", null_id, F.col("passage").alias("data"))
