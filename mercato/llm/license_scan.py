@@ -64,10 +64,25 @@ THRESHOLD, BLOCK_WORDS = 0.8, 64
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+SEGMENT = 1 << 22  # bytes of a text whose words are held at once
+
+
 def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().lower())
 
 
+def word_segments(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in lists of bounded size."""
+    data = (text or "").encode().lower()
+    start = 0
+    while start < len(data):
+        end = start + SEGMENT
+        while end < len(data) and _WORD.match(data, end):
+            end += 1
+        yield _WORD.findall(data, start, end)
+        start = end
+
+
 class Scanner:
     """Templates and phrases with their prefixes under one token order."""
 
@@ -92,10 +107,33 @@ class Scanner:
             self.templates.append((label, frozenset(order), need))
         self.triggers = frozenset(self.by_word) | {p[0][p[2]] for p in self.phrases}
 
-    def scan(self, words: list[bytes]) -> tuple:
-        """n_base, first_word, last_word, base_labels, labels, score."""
+    def scan_text(self, text: str | None) -> tuple:
+        """n_words, then what ``scan`` finds in the whole text: parts are
+        cut on the grid of the blocks and overlap by a block or phrase."""
+        step = max(1, self.block // 2)
+        overlap = max(self.block, *[len(p[0]) for p in self.phrases], 1)
+        held, begins, found = [], 0, []
+        for words in word_segments(text):
+            held += words
+            limit = (len(held) - overlap) // step * step
+            if len(held) * 8 > SEGMENT and limit > 0:
+                found.append((begins, self.scan(held, limit)))
+                held, begins = held[limit:], begins + limit
+        found.append((begins, self.scan(held)))
+        if len(found) == 1:
+            return (begins + len(held), *found[0][1])
+        firsts = [b + f[1] for b, f in found if f[1] is not None]
+        lasts = [b + f[2] for b, f in found if f[2] is not None]
+        joined = [",".join(sorted({x for _, f in found for x in f[k].split(",") if x})) for k in (3, 4)]
+        return (begins + len(held), sum(f[0] for _, f in found), min(firsts, default=None), max(lasts, default=None),
+                *joined, max(f[5] for _, f in found))
+
+    def scan(self, words: list[bytes], limit: int | None = None) -> tuple:
+        """n_base, first_word, last_word, base_labels, labels, score; with
+        ``limit`` only of phrases and blocks that start before it."""
         if self.triggers.isdisjoint(words):
             return 0, None, None, "", "", 0.0
+        end = len(words) if limit is None else limit
         at: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
             if w in self.triggers:
@@ -104,13 +142,15 @@ class Scanner:
         for phrase, label, rarest in self.phrases:
             for i in at.get(phrase[rarest], ()):
                 start = i - rarest
-                if start >= 0 and words[start:start + len(phrase)] == phrase:
+                if 0 <= start < end and words[start:start + len(phrase)] == phrase:
                     n_base += 1
                     base.add(label)
                     first = start if first is None else min(first, start)
                     last = start if last is None else max(last, start)
         labels, score = set(base), 1.0 if base else 0.0
         for start in self.blocks({i for w in at.keys() & self.by_word.keys() for i in at[w]}, len(words)):
+            if start >= end:
+                break
             block = set(words[start:start + self.block])
             order = sorted(self.rank[w] for w in block & self.rank.keys())
             tried = set()
@@ -149,7 +189,10 @@ def token_frequency(docs: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(wanted.intersection(words_of(text.as_py())))
+                own: set[bytes] = set()
+                for words in word_segments(text.as_py()):
+                    own.update(wanted.intersection(words))
+                seen.update(own)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
                                          ["token", "n"])
 
@@ -171,10 +214,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                found.append((len(words), *scanner.scan(words)))
+            found = [scanner.scan_text(text.as_py()) for text in batch.column(1)]
             cols = [pa.array(c, t) for c, t in zip(zip(*found), kinds)] if found else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
 

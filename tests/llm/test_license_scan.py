@@ -63,3 +63,14 @@ def test_awkward_documents(spark):
     rows = op.scan_licenses(hard.frame(spark)).collect()
     assert sorted(repr(tuple(r)) for r in rows) == sorted(repr((r[0], *brute(r[1]))) for r in hard.rows())
     assert op.scan_licenses(hard.frame(spark, [])).count() == 0
+
+
+def test_long_texts_are_scanned_in_parts(monkeypatch):
+    rng = random.Random(9)
+    templates = {f"t{i}": " ".join(f"v{x}" for x in rng.sample(range(25), 6)) for i in range(5)}
+    scanner = op.Scanner(templates, op.PHRASES, 0.8, 10, {})
+    monkeypatch.setattr(op, "SEGMENT", 200)
+    for _ in range(300):
+        n = rng.randrange(0, 400)
+        text = " ".join(rng.choice(["mit", "license", "apache", "-", *[f"v{rng.randrange(25)}"] * 2]) for _ in range(n))
+        assert scanner.scan_text(text) == brute(text, templates, threshold=0.8, block=10)
