@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import stored, table
 
 ORDERS, DIM = 3, 1 << 15
 MAX_TRAIN, LANDMARKS, RIDGE = 2048, 256, 1e-3  # bounds of the fit: rows learned from, landmarks
@@ -83,13 +83,18 @@ def train_rows(docs: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[str, b
     language at least)."""
     usable = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & has_letters())
-    ids = usable.select("doc_id", "lang")
-    langs = ids.agg(F.count_distinct("lang")).first()[0]
+    ids = usable.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("_u"))
+    counts = stored(ids.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n")), "langs")
+    langs = counts.count()
     if not langs:
         return []
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (ids.withColumn("_nth", F.row_number().over(first))
-              .where(F.col("_nth") <= max(1, max_train // langs)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
+    quota = max(1, max_train // langs)
+    # only draws that can be among a language's first `quota` go on to be ranked
+    near = ids.join(counts, ids["lang"] == counts["_of"]).where(F.col("_u") * F.col("_n") <= quota + 8 * quota ** 0.5 + 64)
+    near = near.dropDuplicates(["doc_id", "lang"])
+    first = W.partitionBy("lang").orderBy("_u", "doc_id")
+    chosen = (near.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= quota)
+              .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
     rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
