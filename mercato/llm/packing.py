@@ -23,9 +23,11 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, table
+from .common import stored, table, word_blocks
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 300_000  # words whose ids a Python worker remembers,
+CACHE_WORDS = 400_000  # words that a Python worker remembers before it starts anew,
 LONG_WORD = 64         # of at most so many bytes
-GROUP_ROWS = 20_000    # pieces of a length that are numbered in one task, about
 
 
 def tokenizer_path() -> str:
@@ -48,13 +49,25 @@ def tokenizer_path() -> str:
 
 class WordIds:
     """Token ids of texts, word by word: the tokenizer never joins anything
-    across white space, so the ids of a text are those of its words."""
+    across white space, so the ids of a text are those of its words. Most
+    words are letters and a tail of ASCII punctuation, two pieces to the
+    tokenizer's splitter; those go to its merges directly."""
 
     _open: dict[str, WordIds] = {}
+    _tail = string.punctuation.encode()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.normal = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
+        top = max(self.tokenizer.get_vocab().values())
+        self.coded = [i.to_bytes(4, "little") for i in range(top + 1)]
+        # byte-level form: printable Latin-1 stands for itself, other bytes for 256, 257, ... in order
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_level = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the words known before ``known`` was begun anew
+        self.tails: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -63,22 +76,39 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def merged(self, form: str) -> bytes:
+        return b"".join([self.coded[t.id] for t in self.merge(form)])
+
+    def learn(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            run = word.rstrip(self._tail) if len(word) <= LONG_WORD else b""
+            if run.isalpha():  # ASCII letters only
+                ids = self.merged(run.lower().decode())
+            elif (form := self.normal(run.decode())).isalpha():
+                ids = self.merged(form.encode().decode("latin-1").translate(self.byte_level))
+            if ids is None:
+                ids = b"".join([self.coded[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+            elif len(run) < len(word):
+                tail = word[len(run):]
+                if tail not in self.tails:
+                    self.tails[tail] = self.merged(tail.decode())
+                ids += self.tails[tail]
+        if len(word) <= LONG_WORD:
+            self.known[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        split = [text.encode().split() for text in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(set().union(*split))
-        for at in range(0, len(new), 10_000):
-            words = [w.decode() for w in new[at:at + 10_000]]
-            for word, e in zip(new[at:], self.tokenizer.encode_batch(words, add_special_tokens=False)):
-                self.known[word] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for word in new:
-            if len(word) > LONG_WORD:
-                del self.known[word]
-        return out
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before, self.tails = {}, self.known, {}
+        out = []
+        for words in word_blocks(text.encode()):
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                ids = [self.learn(w) if i is None else i for i, w in zip(ids, words)]
+            out.append(b"".join(ids))
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -100,7 +130,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = [[], [], [], [], [], []]
-                for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
+                for doc_id, ids in zip(part.column(0).to_pylist(), map(coder.encode, part.column(1).to_pylist())):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), width)):
                         own = ids[start:start + width]
@@ -194,17 +224,16 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tu
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
-         group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece with its sequence and its place there."""
     spark = docs.sparkSession
     pieces = stored(token_pieces(docs, path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in  # at most `capacity` rows
               pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan_runs(counts, capacity)
-    salts = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length long, _salts long")
+    salts = spark.createDataFrame([(n, isqrt(c) + 1) for n, c in counts.items()], "length long, _salts long")
 
-    # number the pieces of each length: by salted group, then the groups' starts
+    # number the pieces of each length: by salted group (as many as a group has rows), then the groups' starts
     salted = pieces.join(F.broadcast(salts), "length")  # at most `capacity` rows
     salted = salted.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_salts"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
