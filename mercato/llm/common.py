@@ -1,11 +1,11 @@
-"""Shared pieces of the training-data operators: table access, the tables
-that cut a long plan, and the fixed white-space and word classes."""
+"""Shared pieces of the training-data operators: table access, word blocks,
+sorted groups, and the fixed white-space and word classes. ``stored`` cuts a
+plan; ``mercato.session.drop_stored`` deletes what it wrote."""
 
 from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import stored  # noqa: F401  (the operators take it from here)
 
 # The white space and the words of the query contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,29 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared checkpoint folder and
-    read it back. Later jobs read the files instead of repeating the plan, a
-    lost executor costs nothing, and the planner knows the table's size."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_STORED: dict[str, list[str]] = {}
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` wrote in this application. Call it
-    when the results that read them have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _STORED.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,10 +51,6 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def sort_key(col: str) -> Column:
-    return F.col(col).asc_nulls_last()
-
-
 _SPACE_BYTES = re.compile(rb"[\x20\x09-\x0D]")
 
 
