@@ -27,7 +27,7 @@ def brute(text, templates=op.TEMPLATES, phrases=op.PHRASES, threshold=op.THRESHO
     for s in range(0, max(1, len(w)), step):
         own = set(w[s:s + block])
         for label, t in templates.items():
-            t = set(t.split())
+            t = set(brute_words(t))
             if len(t & own) >= math.ceil(threshold * len(t) - 1e-9):
                 labels.add(label)
                 score = max(score, len(t & own) / len(t))
