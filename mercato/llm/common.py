@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -47,6 +48,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_name() -> str:
+    """A name that no column of the documents has."""
+    return f"_row_{uuid.uuid4().hex}"
+
+
+def keyed(docs: DataFrame, own: str) -> DataFrame:
+    """``docs`` with a column ``own``: doc_id and it tell every row from all
+    others. Rows whose doc_id is null or repeated are stored with a number
+    each; where the doc_id is enough, ``own`` is null and nothing is stored."""
+    numbered = docs.where(F.col("doc_id").isNull())
+    plain = docs.where(F.col("doc_id").isNotNull())
+    shared = stored(plain.groupBy(F.col("doc_id").alias("_shared_id")).agg(F.count(F.lit(1)).alias("_n"))
+                    .where("_n > 1").select("_shared_id"), "shared-ids")
+    if not shared.isEmpty():
+        of = F.col("doc_id") == F.col("_shared_id")
+        numbered = numbered.unionByName(plain.join(shared, of, "left_semi"))
+        plain = plain.join(shared, of, "left_anti")
+    numbered = stored(numbered.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    return plain.withColumn(own, F.lit(None).cast("long")).unionByName(numbered)
+
+
+def same_row(a: DataFrame, b: DataFrame, own: str, b_id: str, b_own: str) -> Column:
+    return a["doc_id"].eqNullSafe(b[b_id]) & a[own].eqNullSafe(b[b_own])
+
+
+def first_row(own: str) -> Column:
+    """The row with the smallest doc_id, nulls last, then the smallest number."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(own).alias("own")))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -18,13 +18,13 @@ their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE, stored, table, text_or_empty
+from .common import SPACE, first_row, keyed, own_name, same_row, stored, table, text_or_empty
 
 MIN_CHARS, MAX_CHARS = 256, 2048
 # A chunk ends after one of these pairs: about one place in a hundred in
@@ -50,14 +50,14 @@ def distinct_chunks(chunked: DataFrame, chunk_hash: Callable[[Column], Column])
 
 
 def chunk_recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64,
-                  min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """doc_id, text_sha256, recipe and ties of every row. ``recipe`` lists the
+                  min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """doc_id (or other ``keys``), text_sha256, recipe and ties of every row. ``recipe`` lists the
     chunk hashes; ``ties`` lists the numbers that tell apart chunks of equal
     hash (empty where the hash alone is the verified identifier)."""
-    text = docs.select(F.col("doc_id"), normalised(text_or_empty()).alias("_text"))
-    chunked = text.select("doc_id", "_text", chunks_of(F.col("_text"), min_chars, max_chars).alias("_chunks"))
+    text = docs.select(*keys, normalised(text_or_empty()).alias("_text"))
+    chunked = text.select(*keys, "_text", chunks_of(F.col("_text"), min_chars, max_chars).alias("_chunks"))
     recipes = stored(chunked.select(
-        F.col("doc_id"), F.sha2(F.col("_text"), 256).alias("text_sha256"),
+        *keys, F.sha2(F.col("_text"), 256).alias("text_sha256"),
         F.transform("_chunks", lambda c: chunk_hash(c)).alias("recipe")), "recipes")
     distinct = distinct_chunks(chunked, chunk_hash)
     shared = stored(distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "shared")
@@ -87,9 +87,16 @@ def exact_groups(docs: DataFrame, **how) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, **how).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: one of each
+    group, also where its ids are null or repeated."""
+    own = own_name()
+    docs = keyed(docs, own)
+    rows = chunk_recipes(docs, keys=("doc_id", own), **how)
+    groups = rows.groupBy("recipe", "ties").agg(first_row(own).alias("_first"))
+    gone = (rows.join(groups, ["recipe", "ties"])
+            .where(~(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & F.col(own).eqNullSafe(F.col("_first.own"))))
+            .select(F.col("doc_id").alias("_gone_id"), F.col(own).alias("_gone_own")))
+    return docs.join(gone, same_row(docs, gone, own, "_gone_id", "_gone_own"), "left_anti").drop(own)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, table
+from .common import own_name, stored, table
 
 ORDERS, DIM = 3, 1 << 15
 MAX_TRAIN, LANDMARKS, RIDGE = 2048, 256, 1e-3  # bounds of the fit: rows learned from, landmarks
@@ -136,24 +136,33 @@ def has_letters():
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def predictions(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+def model_of(docs: DataFrame, max_train: int, landmarks: int) -> tuple:
+    """The languages, and the weights (DIM x languages) for the executors."""
     sample = train_rows(docs, max_train)
     langs, weights = fit(sample, landmarks) if sample else ([], np.zeros((DIM, 0), np.float32))
-    model = docs.sparkSession.sparkContext.broadcast(weights)  # DIM x languages
+    return langs, docs.sparkSession.sparkContext.broadcast(weights)
+
+
+def best_of(has: pa.Array, text: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the place of its best language (-1 for none) and the score."""
+    letters = np.asarray(has.to_pylist(), bool)
+    pred, best = np.full(len(letters), -1), np.zeros(len(letters))
+    if weights.shape[1] and letters.any():
+        values = unit(presence([t for t, has in zip(text.to_pylist(), letters) if has])) @ weights
+        pred[letters] = values.argmax(1)
+        best[letters] = np.clip((values.max(1) + 1) / 2, 0, 1)
+    return pred, best
+
+
+def predictions(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score."""
+    langs, model = model_of(docs, max_train, landmarks)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                letters = np.asarray(part.column(2).to_pylist(), bool)
-                pred, best = np.full(part.num_rows, -1), np.zeros(part.num_rows)
-                if langs and letters.any():
-                    texts = [t for t, has in zip(part.column(3).to_pylist(), letters) if has]
-                    values = unit(presence(texts)) @ w
-                    pred[letters] = values.argmax(1)
-                    best[letters] = np.clip((values.max(1) + 1) / 2, 0, 1)
+                pred, best = best_of(part.column(2), part.column(3), model.value)
                 names = [langs[p] if p >= 0 else UNKNOWN for p in pred.tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()),
                                                   pa.array(best, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -166,12 +175,21 @@ def predictions(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LA
 MIN_SCORE = 0.25  # half way from a tie (0.5) to a full "none of them" (0)
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, **how) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, max_train: int = MAX_TRAIN,
+                    landmarks: int = LANDMARKS) -> DataFrame:
     """The rows of ``docs`` whose language is recognised: a letter at least,
     and a score of ``min_score``; short clean texts score about 0.5."""
-    gone = (predictions(docs, **how).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score))
-            .select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    _, model = model_of(docs, max_train, landmarks)
+    text, letters = docs.columns.index("text"), len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # each row is judged by its own text
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                pred, best = best_of(part.column(letters), part.column(text), model.value)
+                yield part.select(range(letters)).filter(pa.array((pred >= 0) & (best >= min_score)))
+
+    return docs.select("*", has_letters().alias(own_name())).mapInArrow(keep, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,10 +37,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, sorted_groups, stored, table, word_blocks
+from .common import first_row, keyed, own_name, same_row, shuffle_partitions, sorted_groups, stored, table, word_blocks
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 MAX_LIST = 8192
@@ -69,15 +69,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed number)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, own: str | None = None) -> DataFrame:
+    """doc_id (and ``own``) and fp (the fingerprint's 64 bits as a signed number)."""
+    keys = ["doc_id"] + [own] * bool(own)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(len(keys))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                [*batch.columns[:len(keys)], pa.array(np.array(fps, np.uint64).view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(
+        of, "".join(f"{k} long, " for k in keys) + "fp long")
 
 
 def components_of(fps: np.ndarray, max_bits: int) -> Iterator[np.ndarray]:
@@ -202,21 +205,31 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
                     max_list: int = MAX_LIST) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     rows = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    return with_least(rows, F.min("doc_id"), max_bits, max_list).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def with_least(rows: DataFrame, least: Column, max_bits: int, max_list: int) -> DataFrame:
+    """The rows with the ``least`` (an aggregate of their keys) of their component."""
+    fps = stored(rows.groupBy("fp").agg(least.alias("least")), "distinct")
     roots = connected(near_links(fps, max_bits, max_list))
     fps = (fps.join(roots, fps["fp"] == roots["node"], "left")
-           .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    smallest = fps.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = fps.join(smallest, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    gone = (near_components(docs, **how).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+           .select("fp", F.col("least").alias("of_fp"), F.coalesce("root", "fp").alias("root")))
+    smallest = fps.groupBy("root").agg(F.min("of_fp").alias("least"))
+    return rows.join(fps.join(smallest, "root").select("fp", "least"), "fp")
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED,
+               max_list: int = MAX_LIST) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each component, one
+    also where its ids are null or repeated."""
+    own = own_name()
+    docs = keyed(docs, own)
+    rows = stored(fingerprints(docs, shingle, seed, own), "fingerprints")
+    gone = (with_least(rows, first_row(own), max_bits, max_list)
+            .where(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col(own).eqNullSafe(F.col("least.own"))))
+            .select(F.col("doc_id").alias("_gone_id"), F.col(own).alias("_gone_own")))
+    return docs.join(gone, same_row(docs, gone, own, "_gone_id", "_gone_own"), "left_anti").drop(own)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
