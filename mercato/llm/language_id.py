@@ -33,6 +33,7 @@ from .common import own_name, stored, table
 
 ORDERS, DIM = 3, 1 << 15
 MAX_TRAIN, LANDMARKS, RIDGE = 2048, 256, 1e-3  # bounds of the fit: rows learned from, landmarks
+COMMON_IN, LEAST_ROWS = 50, 8  # an n-gram in one of 50 rows of a language is common; rows that set a bound
 SLICE, BATCH_CHARS = 1 << 17, 1 << 18
 UNKNOWN = "und"
 
@@ -143,6 +144,39 @@ def model_of(docs: DataFrame, max_train: int, landmarks: int) -> tuple:
     return langs, docs.sparkSession.sparkContext.broadcast(weights)
 
 
+def known_places(sample: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram places that are common in each language (DIM x languages),
+    and the share of a text's places that must be among them: half way from
+    the share that chance gives to what all but 1 in 20 labelled rows reach,
+    each measured against the other rows of its language."""
+    langs = sorted({s[0] for s in sample})
+    known, bounds = np.zeros((DIM, len(langs)), np.float32), np.full(len(langs), np.nan)
+    for k, lang in enumerate(langs):
+        own = [s[1] for s in sample if s[0] == lang]
+        least, count = -(-len(own) // COMMON_IN), np.zeros(DIM, np.int64)
+        for bits in own:
+            count += np.unpackbits(np.frombuffer(bits, np.uint8))
+        known[:, k] = count >= least
+        if len(own) >= LEAST_ROWS:
+            without = count > least  # common without the row itself
+            shares = [without[np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)].mean() for bits in own]
+            low, chance = np.quantile(shares, 0.05), known[:, k].mean()
+            bounds[k] = (low + min(low, chance)) / 2
+    # a language of too few rows takes the lowest bound of the others
+    some = bounds[~np.isnan(bounds)]
+    return known, np.where(np.isnan(bounds), some.min() if len(some) else 0.0, bounds)
+
+
+def recognised(has: pa.Array, text: pa.Array, known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts have letters and the n-grams of one of the languages."""
+    letters = np.asarray(has.to_pylist(), bool)
+    out = np.zeros(len(letters), bool)
+    if len(bounds) and letters.any():
+        rows = presence([t for t, has in zip(text.to_pylist(), letters) if has]).astype(np.float32)
+        out[letters] = (rows @ known / rows.sum(1, keepdims=True) >= bounds).any(1)
+    return out
+
+
 def best_of(has: pa.Array, text: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text, the place of its best language (-1 for none) and the score."""
     letters = np.asarray(has.to_pylist(), bool)
@@ -172,22 +206,20 @@ def predictions(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LA
         score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-MIN_SCORE = 0.25  # half way from a tie (0.5) to a full "none of them" (0)
-
-
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, max_train: int = MAX_TRAIN,
-                    landmarks: int = LANDMARKS) -> DataFrame:
+def keep_identified(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of ``docs`` whose language is recognised: a letter at least,
-    and a score of ``min_score``; short clean texts score about 0.5."""
-    _, model = model_of(docs, max_train, landmarks)
+    and as large a share of the n-grams of one language as its labelled rows
+    have. The score says which language is best, not whether one is: its
+    values depend on the number of languages."""
+    sample = train_rows(docs, max_train)
+    model = docs.sparkSession.sparkContext.broadcast(known_places(sample))
     text, letters = docs.columns.index("text"), len(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # each row is judged by its own text
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                pred, best = best_of(part.column(letters), part.column(text), model.value)
-                yield part.select(range(letters)).filter(pa.array((pred >= 0) & (best >= min_score)))
+                yield part.select(range(letters)).filter(pa.array(recognised(part.column(letters), part.column(text), *model.value)))
 
     return docs.select("*", has_letters().alias(own_name())).mapInArrow(keep, docs.schema)
 

@@ -66,3 +66,20 @@ def test_nystroem_with_all_rows_as_landmarks_is_kernel_ridge():
     y = np.array([[1.0 if s[0] == n else -1.0 for n in names] for s in sample])
     exact = k @ np.linalg.solve(k + 1e-3 * 5 * np.eye(5), y)
     assert np.abs(x @ w - exact).max() < 1e-3
+
+
+def test_texts_of_an_unlearned_script_are_not_identified(spark):
+    import random
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(1500)
+
+    def prose(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    greek, kana = "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x3042, 0x3090)))
+    strange = [(-i - 1, prose(a, n), None, "x", None) for i, (a, n) in enumerate(
+        [(greek, 5), (greek, 100), (greek, 3000), (kana, 5), (kana, 100), (kana, 3000)])]
+    both = docs.unionByName(spark.createDataFrame(strange, docs.schema))
+    for less in (docs, docs.where("lang in ('en', 'de')")):  # whatever the number of languages
+        kept = {r["doc_id"] for r in op.keep_identified(less.unionByName(both.where("doc_id < 0")), max_train=400).collect()}
+        assert kept == {r["doc_id"] for r in less.select("doc_id").collect()}
