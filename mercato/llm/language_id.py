@@ -20,6 +20,7 @@ result. lang, source and doc_id are never inputs of a prediction.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -167,12 +168,19 @@ def known_places(sample: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return known, np.where(np.isnan(bounds), some.min() if len(some) else 0.0, bounds)
 
 
+def prose(text: str) -> str:
+    """The text without numbers, keys and addresses (words with a digit),
+    which are of no language; the whole text if no letter is left."""
+    left = re.sub(r"\S*\d\S*", " ", text)
+    return left if any(c.isalpha() for c in left) else text
+
+
 def recognised(has: pa.Array, text: pa.Array, known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Which texts have letters and the n-grams of one of the languages."""
     letters = np.asarray(has.to_pylist(), bool)
     out = np.zeros(len(letters), bool)
     if len(bounds) and letters.any():
-        rows = presence([t for t, has in zip(text.to_pylist(), letters) if has]).astype(np.float32)
+        rows = presence([prose(t) for t, has in zip(text.to_pylist(), letters) if has]).astype(np.float32)
         out[letters] = (rows @ known / rows.sum(1, keepdims=True) >= bounds).any(1)
     return out
 

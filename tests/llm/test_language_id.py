@@ -83,3 +83,9 @@ def test_texts_of_an_unlearned_script_are_not_identified(spark):
     for less in (docs, docs.where("lang in ('en', 'de')")):  # whatever the number of languages
         kept = {r["doc_id"] for r in op.keep_identified(less.unionByName(both.where("doc_id < 0")), max_train=400).collect()}
         assert kept == {r["doc_id"] for r in less.select("doc_id").collect()}
+
+
+def test_numbers_and_keys_do_not_hide_the_language():
+    text = 'Whoron, on 4163591243156570 it token = "2f6b80d240108f566bc3c38f339eaad41510fe0e" thhash o'
+    assert op.prose(text).split() == ["Whoron,", "on", "it", "token", "=", "thhash", "o"]
+    assert op.prose("12a4 5") == "12a4 5"
