@@ -112,7 +112,8 @@ class Runs:
             lo.append(cuts[:-1][real] + c)
             hi.append(cuts[1:][real] - 1 + c)
             at.append(place + c)
-            key.append(h[place] >> np.uint64(64 - KEY_BITS))
+            # the anchor's hash is a smallest one: mixed again, it is spread over all buckets
+            key.append((h[place] * _MIX[0] ^ h[place] >> np.uint64(17)) * _MIX[1] >> np.uint64(64 - KEY_BITS))
         self.lo, self.hi, self.at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi, at))
         self.key = np.concatenate(key) if key else np.zeros(0, np.uint64)
         self.text = np.searchsorted(texts.starts, self.lo, "right") - 1

@@ -7,7 +7,7 @@ of ids counts as often as the whole corpus links it.
 
 1. Blocks of documents are aligned. Neither tokenizer joins anything across a
    space that follows a visible character, so a text is aligned segment by
-   segment and a worker remembers common segments. Every end of a token
+   segment, each of a block's segments once. Every end of a token
    closes one link: the A and the B token that hold the byte before it.
 2. The distinct pairs of a block go to buckets by their B id, so a pair is
    one entry per block however often it stands there.
@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import (ANSWER, BLOCK_BYTES, Texts, answer_batch, answer_bytes, blocks, bucket_count, bucket_map, bucket_slices,
+from .blocks import (ANSWER, Texts, answer_batch, answer_bytes, blocks, bucket_count, bucket_map, bucket_slices,
                      with_answers)
 from .common import stored, table
 
+BLOCK_BYTES = 8 << 20      # of text, for each block: the larger, the fewer segments are cut up twice
 BUCKET_BYTES = 16 << 20    # of text, for each bucket of pairs
 FAN = 64                   # blocks or vectors that a node of the tree adds up
-CACHE_SEGMENTS = 200_000   # that a Python worker remembers before it starts anew,
-LONG_SEGMENT = 48          # of at most so many characters
+_TOGETHER = 1000           # segments that are encoded as one text
 _STEP = 1 << 20            # characters that are cut up at a time
 _SPREAD = 2654435769       # odd, so that multiplying by it permutes 32-bit numbers
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -99,27 +99,54 @@ class Tokenizers:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        # a token as text, followed by what stands after it in a group
+        self.a_text = [np.array([f"{i}{c}" for i in range(len(x))], object) for x, c in ((self.a_bytes, ","), (self.a_bytes, "|"))]
+        self.b_text = [np.array([f"{i}{c}" for i in range(len(x))], object) for x, c in ((self.b_bytes, ","), (self.b_bytes, ";"))]
         # B adds no space to an empty text: a last space by itself is this piece
         self.space = [self.b.piece_to_id("▁")]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def encode(self, segments: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of each segment (it starts with a space, which B adds by
-        itself) as 32-bit numbers; None if its bytes do not come back."""
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known.clear()
-        known = self.known
-        missing = [s for s in segments if s not in known]
-        new = {}
-        if missing:
-            a_made = self.a.encode_batch(missing, add_special_tokens=False)
-            b_made = self.b.encode([s[1:] for s in missing], num_threads=1)
-            for s, e, b in zip(missing, a_made, b_made):
-                a, b, data = e.ids, b if len(s) > 1 else self.space, s.encode()
-                same = (b"".join([self.a_bytes[i] for i in a]) == data and b"".join([self.b_bytes[i] for i in b]) == data)
-                made = (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
-                (known if len(s) <= LONG_SEGMENT else new)[s] = made
-        return [known[s] if s in known else new[s] for s in segments]
+
+    def bytes_of(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+        return b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """The ids of each text (it starts with a space, which B adds by
+        itself); None if its bytes do not come back."""
+        if not texts:
+            return []
+        out = []
+        b_made = self.b.encode([t[1:] for t in texts], num_threads=1)
+        for text, made, b in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), b_made):
+            a, b, data = made.ids, b if len(text) > 1 else self.space, text.encode()
+            out.append((a, b) if self.bytes_of(a, b) == (data, data) else None)
+        return out
+
+    def encode_segments(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """The ids of all segments one after the other, and for each segment
+        how many A and B ids it has and whether its bytes come back. Segments
+        that end in a visible character are encoded together, since both
+        tokenizers cut between them; where that fails, one by one."""
+        joined = [parts[i:i + _TOGETHER] for i in range(0, len(parts), _TOGETHER)]
+        visible = [not any(p[-1].isspace() for p in group) for group in joined]
+        whole = iter(self.encode(["".join(g) for g, v in zip(joined, visible) if v]))
+        a_ids, b_ids, n_a, n_b, ok = [], [], [], [], []
+        for group, v in zip(joined, visible):
+            made = next(whole) if v else None
+            if made is not None:
+                a, b = (np.array(x, np.int32) for x in made)
+                ends = np.cumsum([len(p.encode()) for p in group])
+                cuts = [np.searchsorted(np.cumsum(sizes[x]), ends) + 1 for x, sizes in ((a, self.a_sizes), (b, self.b_sizes))]
+                sizes_a, sizes_b = (np.diff(c, prepend=0) for c in cuts)
+                good = np.ones(len(group), bool)
+            else:
+                single = self.encode(group)
+                good = np.array([m is not None for m in single])
+                single = [m or ([], []) for m in single]
+                a, b = (np.array([i for m in single for i in m[k]], np.int32) for k in (0, 1))
+                sizes_a, sizes_b = (np.array([len(m[k]) for m in single], np.int64) for k in (0, 1))
+            for out, x in zip((a_ids, b_ids, n_a, n_b, ok), (a, b, sizes_a, sizes_b, good)):
+                out.append(x)
+        kinds = (np.int32, np.int32, np.int64, np.int64, bool)
+        return tuple(np.concatenate(x).astype(k) if x else np.zeros(0, k) for x, k in zip((a_ids, b_ids, n_a, n_b, ok), kinds))
 
 
 def segments(text: str) -> Iterator[list[str]]:
@@ -157,27 +184,31 @@ class Aligned:
                     flat.extend([number.setdefault(s, len(number)) for s in part])
                 self.sizes[i] = len(flat) - before
         self.flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
-        made = own.encode(list(number))
-        self.ok = np.array([m is not None for m in made], bool)
-        self.a = [m[0] if m else b"" for m in made]
-        self.b = [m[1] if m else b"" for m in made]
-        self.n_a = np.array([len(x) // 4 for x in self.a], np.int64)
-        self.n_b = np.array([len(x) // 4 for x in self.b], np.int64)
+        # segments that end in white space (of texts that do) stand last
+        parts, spaced = list(number), np.zeros(len(number), bool)
+        for i, p in enumerate(parts):
+            if p[-1].isspace():
+                spaced[i] = True
+        order = np.argsort(spaced, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.flat = place[self.flat]
+        self.a_ids, self.b_ids, self.n_a, self.n_b, self.ok = own.encode_segments([parts[i] for i in order.tolist()])
         # documents with a segment that does not come back have no tokens
         self.doc = np.repeat(np.arange(texts.n), self.sizes)
         self.has = self.sizes > 0
         if len(self.flat):
             self.has[self.doc[~self.ok[self.flat]]] = False
         # one link for each place where a token ends, in all segments at once
-        a_ids = np.frombuffer(b"".join(self.a), np.int32)
-        b_ids = np.frombuffer(b"".join(self.b), np.int32)
-        a_ends, b_ends = np.cumsum(own.a_sizes[a_ids]), np.cumsum(own.b_sizes[b_ids])
-        ends = np.union1d(a_ends, b_ends)
+        a_ends, b_ends = np.cumsum(own.a_sizes[self.a_ids]), np.cumsum(own.b_sizes[self.b_ids])
+        ends = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
+        new = np.r_[True, ends[1:] != ends[:-1]] if len(ends) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        ends, self.both = ends[first], np.diff(np.r_[first, len(new)]) == 2
         self.a_of, self.b_of = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        self.both = np.isin(ends, a_ends, assume_unique=True) & np.isin(ends, b_ends, assume_unique=True)
-        a, b = a_ids[self.a_of].astype(np.uint64), b_ids[self.b_of].astype(np.uint64)
+        a, b = self.a_ids[self.a_of].astype(np.uint64), self.b_ids[self.b_of].astype(np.uint64)
         self.keys = (b * np.uint64(_SPREAD) & np.uint64(2 ** 32 - 1)) << np.uint64(32) | a
-        self.segment = np.repeat(np.arange(len(made)), self.n_a)[self.a_of] if len(ends) else np.zeros(0, np.int64)
+        self.segment = np.repeat(np.arange(len(parts)), self.n_a)[self.a_of] if len(ends) else np.zeros(0, np.int64)
 
     def per_segment(self, values: np.ndarray) -> np.ndarray:
         """The sum of a value of every link, for each segment."""
@@ -202,17 +233,19 @@ class Aligned:
         return keys[starts], np.add.reduceat(n, starts) if len(starts) else starts
 
     def group_texts(self) -> list[str]:
-        """Each segment's groups as text."""
+        """Each segment's groups as text, each closed by a semicolon."""
         ends = np.flatnonzero(self.both)
-        a_end, b_end = (self.a_of[ends] + 1).tolist(), (self.b_of[ends] + 1).tolist()
-        a_text = list(map(str, np.frombuffer(b"".join(self.a), np.int32).tolist()))
-        b_text = list(map(str, np.frombuffer(b"".join(self.b), np.int32).tolist()))
-        groups, i, j = [], 0, 0
-        for x, y in zip(a_end, b_end):
-            groups.append(",".join(a_text[i:x]) + "|" + ",".join(b_text[j:y]))
-            i, j = x, y
-        cuts = np.r_[0, np.cumsum(self.per_segment(self.both))].tolist()
-        return [";".join(groups[x:y]) for x, y in zip(cuts, cuts[1:])]
+        a_end, b_end = self.a_of[ends], self.b_of[ends]  # the last token of every group
+        a_last, b_last = np.zeros(len(self.a_ids), bool), np.zeros(len(self.b_ids), bool)
+        a_last[a_end], b_last[b_end] = True, True
+        # a group's A tokens stand after the B tokens of the groups before it, and so on
+        a_group = np.repeat(np.arange(len(ends)), np.diff(a_end, prepend=-1))
+        b_group = np.repeat(np.arange(len(ends)), np.diff(b_end, prepend=-1))
+        texts = np.empty(len(self.a_ids) + len(self.b_ids), object)
+        texts[np.arange(len(self.a_ids)) + np.r_[0, b_end + 1][a_group]] = np.where(a_last, self.own.a_text[1][self.a_ids], self.own.a_text[0][self.a_ids])
+        texts[np.arange(len(self.b_ids)) + a_end[b_group] + 1] = np.where(b_last, self.own.b_text[1][self.b_ids], self.own.b_text[0][self.b_ids])
+        texts, cuts = texts.tolist(), np.r_[0, np.cumsum(self.n_a + self.n_b)].tolist()
+        return ["".join(texts[x:y]) for x, y in zip(cuts, cuts[1:])]
 
     def group_digests(self) -> list[str]:
         texts, out, at = self.group_texts(), [], 0
@@ -223,8 +256,9 @@ class Aligned:
             else:
                 sha = hashlib.sha256()
                 for k in range(at, at + n, _STEP):
-                    part = flat[k:min(k + _STEP, at + n)].tolist()
-                    sha.update(((";" if k > at else "") + ";".join([texts[i] for i in part])).encode())
+                    end = min(k + _STEP, at + n)
+                    part = "".join([texts[i] for i in flat[k:end].tolist()])
+                    sha.update((part if end < at + n else part[:-1]).encode())
                 out.append(sha.hexdigest())
             at += n
         return out
