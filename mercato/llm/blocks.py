@@ -26,7 +26,7 @@ LAST_ID = 2 ** 63 - 1  # stands for a null doc_id
 
 def pack_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -38,8 +38,8 @@ def unpack_batch(data) -> pa.RecordBatch:
 class Texts:
     """The texts of a block as one array of bytes and where each starts."""
 
-    def __init__(self, payload):
-        batch = unpack_batch(payload)
+    def __init__(self, payload=None, batch: pa.RecordBatch | None = None):
+        batch = unpack_batch(payload) if batch is None else batch
         text = batch.column(1)
         self.ids = batch.column(0)
         self.n = batch.num_rows
@@ -54,48 +54,49 @@ class Texts:
         return self.ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
 
 
+def dealt(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Number, bytes of text and rows of the blocks of a partition."""
+    from pyspark import TaskContext
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def made() -> tuple[int, int, pa.RecordBatch]:
+        return number, size, pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(i) for p in held]) for i in (0, 1)], ["doc_id", "text"])
+
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.large_string()),
+                                            batch.column(2).cast(pa.int64())], ["doc_id", "text", "n"])
+        sizes = np.cumsum(batch.column(2).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + block_bytes - size, "right")))
+            if held and size + sizes[end - 1] - before > block_bytes:
+                yield made()
+                number, held, size = number + 1, [], 0
+                continue
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1] - before)
+            at = end
+    if held:
+        yield made()
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and its bytes, for ``dealt``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("n"))
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Stored (block, n_bytes, payload): doc_id and text (null as empty) of
     the documents, about ``block_bytes`` of text per row; a longer text is a
     block of its own."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        number = TaskContext.get().partitionId() << 32
-
-        def made(parts):
-            nonlocal number
-            number += 1
-            texts = pa.concat_arrays([p.column(1) for p in parts])
-            one = pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(0) for p in parts]), texts], ["doc_id", "text"])
-            n = sum(int(p.column(2).to_numpy().sum()) for p in parts)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), pa.array([pack_batch(one)], pa.binary())],
-                                              ["block", "n_bytes", "payload"])
-
-        held, size = [], 0
-        for batch in batches:
-            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.large_string()),
-                                                batch.column(2).cast(pa.int64())], ["doc_id", "text", "n"])
-            sizes = np.cumsum(batch.column(2).to_numpy())
-            at = 0
-            while at < batch.num_rows:
-                before = sizes[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, before + block_bytes - size, "right")))
-                if held and size + sizes[end - 1] - before > block_bytes:
-                    yield made(held)
-                    held, size = [], 0
-                    continue
-                held.append(batch.slice(at, end - at))
-                size += int(sizes[end - 1] - before)
-                at = end
-                if size >= block_bytes:
-                    yield made(held)
-                    held, size = [], 0
-        if held:
-            yield made(held)
+        for number, n, one in dealt(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), pa.array([pack_batch(one)], pa.binary())],
+                                             ["block", "n_bytes", "payload"])
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("n"))
-    return stored(plain.mapInArrow(rows, "block long, n_bytes long, payload binary"), "blocks")
+    return stored(texts_of(docs).mapInArrow(rows, "block long, n_bytes long, payload binary"), "blocks")
 
 
 def bucket_count(held: DataFrame, bucket_bytes: int) -> int:

@@ -5,7 +5,7 @@ text into tokens of bytes. Places where tokens of both end cut it into
 groups; an A and a B token whose byte ranges overlap are linked, and a pair
 of ids counts as often as the whole corpus links it.
 
-1. Blocks of documents are aligned. Neither tokenizer joins anything across a
+1. Blocks of documents are tokenized and aligned. Neither tokenizer joins anything across a
    space that follows a visible character, so a text is aligned segment by
    segment, each of a block's segments once. Every end of a token
    closes one link: the A and the B token that hold the byte before it.
@@ -17,7 +17,11 @@ of ids counts as often as the whole corpus links it.
 4. Blocks' counts become dense vectors indexed by that hash, added up in a
    tree of ``FAN`` vectors a node.
 5. Each block's pairs are looked up in the sums; with these answers the
-   documents of the block are aligned again and their links looked up.
+   documents of the block are aligned again, from their stored tokens, and
+   their links looked up.
+
+A's ids stand in the order of its merges, so they are ranks and the faster
+``tiktoken`` gives the same ids; that is checked when the file is opened.
 
 A task holds one block, or of one bucket ``FAN`` blocks' entries. A bucket
 has all pairs of a B id, at most as many as A has ids.
@@ -42,12 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import (ANSWER, Texts, answer_batch, answer_bytes, blocks, bucket_count, bucket_map, bucket_slices,
-                     with_answers)
+from .blocks import (ANSWER, BLOCK_BYTES, Texts, answer_batch, answer_bytes, bucket_map, bucket_slices, dealt, pack_batch,
+                     texts_of, unpack_batch, with_answers)
 from .common import stored, table
 
-BLOCK_BYTES = 8 << 20      # of text, for each block: the larger, the fewer segments are cut up twice
-BUCKET_BYTES = 16 << 20    # of text, for each bucket of pairs
+BUCKETS = 128              # of pairs; their number is bounded by the vocabularies, not by the corpus
 FAN = 64                   # blocks or vectors that a node of the tree adds up
 _TOGETHER = 1000           # segments that are encoded as one text
 _STEP = 1 << 20            # characters that are cut up at a time
@@ -81,18 +84,20 @@ class Tokenizers:
         return cls._open[paths]
 
     def __init__(self, a_path: str, b_path: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        with open(a_path, encoding="utf-8") as f:
+            file = json.load(f)
         self.b = SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        special = {t["content"] for t in file["added_tokens"]}
+        vocabulary = file["model"]["vocab"]
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in entry)
+            if entry not in special:
+                self.a_bytes[i] = bytes(letters[c] for c in entry)
+        self.a = self.a_encoder(a_path, file, special)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -105,6 +110,24 @@ class Tokenizers:
         # B adds no space to an empty text: a last space by itself is this piece
         self.space = [self.b.piece_to_id("▁")]
 
+    def a_encoder(self, path: str, file: dict, special: set[str]):
+        """A function from texts to lists of A's ids, special tokens' strings
+        as plain text."""
+        vocabulary, merges = file["model"]["vocab"], file["model"]["merges"]
+        joined = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in merges]
+        splitter = file["pre_tokenizer"]
+        if ([vocabulary[m] for m in joined] == list(range(256, 256 + len(joined))) and not file.get("normalizer")
+                and splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")):
+            import public_tokenizers
+            import tiktoken
+            ranks = {self.a_bytes[i]: i for entry, i in vocabulary.items() if entry not in special}
+            fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return lambda texts: [fast.encode_ordinary(t) for t in texts]
+        from tokenizers import Tokenizer
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        return lambda texts: [own.encode(t, add_special_tokens=False).ids for t in texts]
+
     def bytes_of(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
         return b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])
 
@@ -115,8 +138,8 @@ class Tokenizers:
             return []
         out = []
         b_made = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, made, b in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), b_made):
-            a, b, data = made.ids, b if len(text) > 1 else self.space, text.encode()
+        for text, a, b in zip(texts, self.a(texts), b_made):
+            b, data = b if len(text) > 1 else self.space, text.encode()
             out.append((a, b) if self.bytes_of(a, b) == (data, data) else None)
         return out
 
@@ -168,34 +191,57 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+TOKENS = (("ids", pa.int64()), ("sizes", pa.int64()), ("flat", pa.int32()), ("a_ids", pa.int32()), ("b_ids", pa.int32()),
+          ("n_a", pa.int32()), ("n_b", pa.int32()), ("ok", pa.bool_()))
+
+
+def tokenized(texts: Texts, own: Tokenizers) -> dict[str, pa.Array]:
+    """A block's distinct segments with their tokens, and how many and which
+    segments each document has."""
+    number: dict[str, int] = {}
+    flat, sizes = array("i"), np.zeros(texts.n, np.int64)
+    for i in range(texts.n):
+        text = texts.strings[i].as_py()
+        if text:
+            before = len(flat)
+            for part in segments(text):
+                flat.extend([number.setdefault(s, len(number)) for s in part])
+            sizes[i] = len(flat) - before
+    # segments that end in white space (of texts that do) stand last
+    parts = list(number)
+    order = np.argsort(np.fromiter((p[-1].isspace() for p in parts), bool, len(parts)), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    made = own.encode_segments([parts[i] for i in order.tolist()])
+    flat = place[np.frombuffer(flat, np.int32)] if len(flat) else np.zeros(0, np.int32)
+    return dict(zip((n for n, _ in TOKENS), (texts.ids, sizes, flat, *made)))
+
+
+def packed_tokens(tokens: dict) -> bytes:
+    lists = []
+    for name, kind in TOKENS:
+        values = tokens[name] if isinstance(tokens[name], pa.Array) else pa.array(tokens[name]).cast(kind)
+        lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+    return pack_batch(pa.RecordBatch.from_arrays(lists, [n for n, _ in TOKENS]))
+
+
+def unpacked_tokens(data) -> dict:
+    batch = unpack_batch(data)
+    cols = {n: batch.column(i).flatten() for i, (n, _) in enumerate(TOKENS)}
+    return {n: c if n == "ids" else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
+
+
 class Aligned:
-    """The alignment of a block: its distinct segments with their tokens,
-    links and groups, and which segments each document has."""
+    """The alignment of a block, from its tokens: the links and groups of its
+    distinct segments."""
 
-    def __init__(self, texts: Texts, own: Tokenizers):
+    def __init__(self, tokens: dict, own: Tokenizers):
         self.own = own
-        number: dict[str, int] = {}
-        flat, self.sizes = array("i"), np.zeros(texts.n, np.int64)
-        for i in range(texts.n):
-            text = texts.strings[i].as_py()
-            if text:
-                before = len(flat)
-                for part in segments(text):
-                    flat.extend([number.setdefault(s, len(number)) for s in part])
-                self.sizes[i] = len(flat) - before
-        self.flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
-        # segments that end in white space (of texts that do) stand last
-        parts, spaced = list(number), np.zeros(len(number), bool)
-        for i, p in enumerate(parts):
-            if p[-1].isspace():
-                spaced[i] = True
-        order = np.argsort(spaced, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.flat = place[self.flat]
-        self.a_ids, self.b_ids, self.n_a, self.n_b, self.ok = own.encode_segments([parts[i] for i in order.tolist()])
+        self.sizes, self.flat, self.ok = tokens["sizes"], tokens["flat"], tokens["ok"]
+        self.a_ids, self.b_ids = tokens["a_ids"], tokens["b_ids"]
+        self.n_a, self.n_b = tokens["n_a"].astype(np.int64), tokens["n_b"].astype(np.int64)
         # documents with a segment that does not come back have no tokens
-        self.doc = np.repeat(np.arange(texts.n), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.has = self.sizes > 0
         if len(self.flat):
             self.has[self.doc[~self.ok[self.flat]]] = False
@@ -208,7 +254,7 @@ class Aligned:
         self.a_of, self.b_of = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
         a, b = self.a_ids[self.a_of].astype(np.uint64), self.b_ids[self.b_of].astype(np.uint64)
         self.keys = (b * np.uint64(_SPREAD) & np.uint64(2 ** 32 - 1)) << np.uint64(32) | a
-        self.segment = np.repeat(np.arange(len(parts)), self.n_a)[self.a_of] if len(ends) else np.zeros(0, np.int64)
+        self.segment = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.a_of] if len(ends) else np.zeros(0, np.int64)
 
     def per_segment(self, values: np.ndarray) -> np.ndarray:
         """The sum of a value of every link, for each segment."""
@@ -327,21 +373,23 @@ class PairTable:
         return at
 
 
-def pair_rows(held: DataFrame, buckets: int, paths: tuple[str, str]) -> DataFrame:
-    """(bucket, block, keys, counts): the distinct pairs of every block."""
+def token_rows(docs: DataFrame, buckets: int, paths: tuple[str, str], block_bytes: int) -> DataFrame:
+    """(bucket, block, keys, counts, tokens): the distinct pairs of every
+    block by bucket, and in a row of bucket -1 its tokens."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tokenizers.get(paths)
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, counts = Aligned(Texts(payload.as_buffer()), own).pairs()
-                bucket, cuts = bucket_slices(keys, 64, buckets)
-                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket), pa.array([block] * len(bucket), pa.int64()),
-                    pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([counts[a:b].astype(np.int64).tobytes() for a, b in spans], pa.binary())], ["bucket", "block", "keys", "counts"])
+        for block, _, batch in dealt(batches, block_bytes):
+            tokens = tokenized(Texts(batch=batch), own)
+            keys, counts = Aligned(tokens, own).pairs()
+            bucket, cuts = bucket_slices(keys, 64, buckets)
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([-1, *bucket.tolist()], pa.int64()), pa.array([block] * (len(bucket) + 1), pa.int64()),
+                pa.array([None, *(keys[a:b].tobytes() for a, b in spans)], pa.binary()),
+                pa.array([None, *(counts[a:b].astype(np.int64).tobytes() for a, b in spans)], pa.binary()),
+                pa.array([packed_tokens(tokens)] + [None] * len(bucket), pa.binary())], ["bucket", "block", "keys", "counts", "tokens"])
 
-    return held.select("block", "payload").mapInArrow(rows, "bucket long, block long, keys binary, counts binary")
+    return texts_of(docs).mapInArrow(rows, "bucket long, block long, keys binary, counts binary, tokens binary")
 
 
 def batch_of(names: list[str], *values) -> pa.RecordBatch:
@@ -440,11 +488,12 @@ class Alignment:
     """The stored tables of a corpus's alignment."""
 
     def __init__(self, docs: DataFrame, paths: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES,
-                 bucket_bytes: int = BUCKET_BYTES):
+                 buckets: int = BUCKETS):
         self.paths = paths or tokenizer_paths()
-        self.held = blocks(docs, block_bytes)
-        self.leaves = max(1, self.held.count())
-        self.pairs = stored(pair_rows(self.held, bucket_count(self.held, bucket_bytes), self.paths), "pairs")
+        rows = stored(token_rows(docs, buckets, self.paths, block_bytes), "tokens")
+        self.tokens = rows.where("bucket = -1").select("block", "tokens")
+        self.pairs = rows.where("bucket >= 0").drop("tokens")
+        self.leaves = max(1, self.tokens.count())
         hashes = stored(pair_hashes(self.pairs, self.leaves), "pair-hashes")
         self.sums = stored(pair_sums(self.pairs, hashes, self.leaves), "pair-sums")
 
@@ -469,9 +518,9 @@ class Alignment:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Tokenizers.get(paths)
             for batch in batches:
-                for payload, answers in zip(batch.column(0), batch.column(1)):
-                    texts = Texts(payload.as_buffer())
-                    at = Aligned(texts, own)
+                for data, answers in zip(batch.column(0), batch.column(1)):
+                    tokens = unpacked_tokens(data.as_buffer())
+                    at = Aligned(tokens, own)
                     keys, _ = at.pairs()
                     known = np.frombuffer(answer_bytes(answers), np.int64)
                     # links of segments that only documents without tokens have are not among them
@@ -479,11 +528,11 @@ class Alignment:
                     answer = known[place] * (keys[place] == at.keys) if len(keys) else np.zeros(len(at.keys), np.int64)
                     cols = [at.n_a, at.n_b, at.per_segment(at.both), at.per_segment(np.ones(len(at.keys))),
                             at.per_segment(answer & 1), at.per_segment(answer >> 1)]
-                    yield pa.RecordBatch.from_arrays([texts.ids, *(pa.array(at.per_document(c)) for c in cols), pa.array(at.group_digests(), pa.string())],
+                    yield pa.RecordBatch.from_arrays([tokens["ids"], *(pa.array(at.per_document(c)) for c in cols), pa.array(at.group_digests(), pa.string())],
                                                      [f.split()[0] for f in ALIGNED.split(", ")])
 
-        asked = with_answers(self.held.drop("n_bytes"), answers=looked_up(self.pairs, self.sums, self.leaves))
-        return asked.select("payload", "answers").mapInArrow(rows, ALIGNED)
+        asked = with_answers(self.tokens, answers=looked_up(self.pairs, self.sums, self.leaves))
+        return asked.select("tokens", "answers").mapInArrow(rows, ALIGNED)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
