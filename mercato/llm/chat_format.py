@@ -14,7 +14,7 @@ conversation back needs its turns in order, so they are dealt out by
 conversation and streamed in turn order through running digests; a task
 holds one turn, however long the conversation is.
 
-Cases: null text and null role count as empty; a null parts list has no
+Cases: a part of an unknown type is an attachment of no tokens; null text and null role count as empty; a null parts list has no
 parts; a null conversation id is a conversation of its own; null turns come
 first; rows of equal turn are ordered by role, then text; repeated rows are
 turns of their own; an empty table gives an empty result. Other columns are
@@ -73,8 +73,8 @@ class PartVisitor:
             tokens = getattr(self, f"{kind}_tokens")(part)
             self.attachments.append({"n": len(self.attachments), "type": kind, "ref": part.get("ref"), "tokens": tokens})
             self.out.append(PLACEHOLDER[kind])
-        else:
-            raise ValueError(f"unknown part type {kind!r}")
+        else:  # kept as a reference that no token stands for
+            self.attachments.append({"n": len(self.attachments), "type": str(kind), "ref": part.get("ref"), "tokens": 0})
 
     # tokens that a part expands to: tiles of 512 pixels, 25 frames a second, pages
     @staticmethod

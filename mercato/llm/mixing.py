@@ -3,19 +3,20 @@
 Sources get word targets by weight; a target stops at ``max_copies`` times
 its source's size and the excess is shared again among the others. With
 ``r = target / size`` of a source, each of its documents is taken
-``floor(r)`` times for certain. The rest of the target is a Pareto sample:
-documents are ranked by random odds divided by inclusion odds,
-``(u / (1 - u)) / (p / (1 - p))`` with ``p = r - floor(r)``, and the sample
-is the run of smallest ranks whose words fit the rest of the target
-(its fixed size is a number of words). One more document of the source, the
-one whose size comes nearest to the gap left, closes it. Where that one
-misses the target by the smallest spare document or more (a long document
-came early and did not fit), the run goes on first: the documents behind it
-that are no larger than the gap are run through in rank order, for a few
-rounds. The query op3_mix_sources does not go on: its SQL fixes the run and
-one document.
-
-The ranks of a source are cut by the random number itself into as many
+``floor(r)`` times for certain. The rest of the target is a Pareto sample
+with inclusion odds in proportion to a document's words: ``p = c * size``,
+where the expected words, ``sum(p * size)``, are the rest. A document whose p
+passes 1 gets a certain further copy; c is then solved again for the others,
+until no p passes 1. Documents are ranked by random odds divided by inclusion
+odds, ``(u / (1 - u)) / (p / (1 - p))``, and the sample is the run of
+smallest ranks whose words fit the rest (its fixed size is a number of
+words). One more document of the source, the one whose size comes nearest to
+the gap left, closes it. Where that one misses the target by the smallest
+spare document or more (a long document came early and did not fit), the run
+goes on first: the documents behind it that are no larger than the gap are
+run through in rank order, until the gap is below the smallest spare one.
+
+The ranks of a source, scaled to (0, 1) by their middle, are cut into as many
 buckets as a bucket has rows (the root of their number), so a source with a
 third of all rows is summed by many tasks; only the bucket that holds the
 cut is ordered row by row. Random numbers are
@@ -39,7 +40,6 @@ from .common import WORD, keyed, own_name, same_row, stored, table, text_or_empt
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_COPIES, SEED = 1.5, 2, "mix-42"
-MAX_ROUNDS = 12  # of going on; each ends before a document that does not fit, or fills the gap
 _TWO52 = float(2 ** 52)
 
 
@@ -79,15 +79,14 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
-            max_copies: int = MAX_COPIES, seed: str = SEED, go_on: bool = True) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken.
-    Without ``go_on``, only one document follows the run."""
+            max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken."""
     return taken_rows(docs.select("doc_id", "source", "text", F.lit(None).cast("long").alias("own")),
-                      weights, share, max_copies, seed, go_on).drop("own")
+                      weights, share, max_copies, seed).drop("own")
 
 
 def taken_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
-               max_copies: int = MAX_COPIES, seed: str = SEED, go_on: bool = True) -> DataFrame:
+               max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """The mixture, with ``own`` of every row of ``docs``."""
     sized = stored(docs.select(
         "doc_id", "own", F.monotonically_increasing_id().alias("row"), F.col("source").cast("string").alias("source"),
@@ -95,17 +94,18 @@ def taken_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         uniform(F.col("doc_id"), seed).alias("u")), "sized")
     targets = source_targets(sized, weights, share, max_copies)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = (targets.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
+    targets = (targets.withColumn("whole", F.floor(rate))
                .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
                .withColumn("n_buckets", F.ceil(F.sqrt(F.col("n_docs").cast("double"))).cast("long")))
     targets = stored(targets.withColumnRenamed("source", "_source"), "targets")
 
-    rows = (sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
-            .withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))))
-    taken = stored(run_that_fits(rows, "run").select(
-        "doc_id", "source", "size", "u", "rank", "source_size", "target", "whole", "rest", "n_buckets", "extra", "own", "row"), "taken")
+    rows = ranked(sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source"))
+    run = run_that_fits(rows.where("not certain").withColumnsRenamed({"rest": "whole_rest", "sampled": "rest"}), "run")
+    run = run.withColumnsRenamed({"rest": "sampled", "whole_rest": "rest"})
+    kept = ["doc_id", "source", "size", "u", "place", "source_size", "target", "whole", "rest", "n_buckets", "extra", "own", "row"]
+    taken = stored(run.select(*kept).unionByName(rows.where("certain").withColumn("extra", F.lit(1)).select(*kept)), "taken")
     closing = closing_rows(taken)
-    for _ in range(MAX_ROUNDS * go_on):  # where one document does not close a gap, the run goes on behind what did not fit
+    while True:  # where one document does not close a gap, the run goes on behind what did not fit
         wide = stored(closing.where("left >= least").select(F.col("_source"), "gap"), "wide")
         if wide.isEmpty():
             break
@@ -126,10 +126,46 @@ def taken_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
                        (F.col("size") * copies).alias("taken"))
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``certain`` (the odds pass 1), ``sampled`` (the words of
+    the rest without the certain documents) and ``place``, the rank scaled to
+    (0, 1) in its order."""
+    per = "_source", "_odds", "_least", "_sampled"
+    known = None
+    while True:  # each round finds at least one more certain document, or ends
+        if known is None:
+            now, sure = rows, F.lit(False)
+        else:
+            now, sure = rows.join(known, rows["source"].eqNullSafe(known["_source"])), F.col("size") >= F.col("_least")
+        words = F.col("size").cast("double")
+        sums = now.groupBy("source").agg(
+            F.first("rest").alias("rest"), F.coalesce(F.sum(F.when(sure, words)), F.lit(0.0)).alias("sure"),
+            F.coalesce(F.sum(F.when(~sure, words * words)), F.lit(0.0)).alias("squares"),
+            F.max(F.when(~sure, words)).alias("most"))
+        left = F.greatest(F.col("rest") - F.col("sure"), F.lit(0.0))
+        odds = F.when(F.col("squares") > 0, left / F.col("squares")).otherwise(F.lit(0.0))
+        # documents of 1 / odds words and more are certain
+        least = F.when(odds > 0, 1 / odds).otherwise(F.lit(float("inf")))
+        found = stored(sums.select(F.col("source").alias("_source"), odds.alias("_odds"), least.alias("_least"),
+                                   left.alias("_sampled"), (F.coalesce("most", F.lit(0.0)) >= least).alias("_more")), "odds")
+        going = found.where("_more").limit(1).count() > 0
+        known = found.select(*per)
+        if not going:
+            break
+    out = rows.join(known, rows["source"].eqNullSafe(known["_source"])).drop("_source")
+    p = F.least(F.col("_odds") * F.greatest("size", F.lit(1)), F.lit(1 - 1e-12))
+    out = (out.withColumn("certain", (F.col("size") >= F.col("_least")) & (F.col("size") > 0)).withColumn("sampled", F.col("_sampled"))
+           .withColumn("_logit", F.when(p > 0, F.log(p / (1 - p)))))
+    middle = stored(out.where("not certain").groupBy("source").agg(F.avg("_logit").alias("_middle")).withColumnRenamed("source", "_source"), "middle")
+    out = out.join(middle, out["source"].eqNullSafe(middle["_source"]), "left").drop("_source")
+    rank = F.log(F.col("u") / (1 - F.col("u"))) - F.coalesce(F.col("_logit") - F.col("_middle"), F.lit(0.0))
+    return out.withColumn("place", 1 / (1 + F.exp(-rank))).drop("_odds", "_least", "_sampled", "_logit", "_middle")
+
+
 def run_that_fits(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with ``extra``: 1 for the run of smallest ranks of a source
     whose words fit its rest, 0 for the others."""
-    rows = rows.withColumn("bucket", F.floor(F.col("u") * F.col("n_buckets")))  # rank grows with u within a source
+    rows = rows.withColumn("bucket", F.least(F.floor(F.col("place") * F.col("n_buckets")), F.col("n_buckets") - 1))
     # words before and in each bucket; the rows of a bucket are in one range of ranks
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -139,7 +175,7 @@ def run_that_fits(rows: DataFrame, name: str) -> DataFrame:
               .drop("_source", "_bucket"))
     whole_in = placed.where(F.col("before") + F.col("words") <= F.col("rest")).withColumn("extra", F.lit(1))
     cut = placed.where((F.col("before") + F.col("words") > F.col("rest")) & (F.col("before") <= F.col("rest")))
-    in_order = W.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size")
+    in_order = W.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_last(), "size")
     running = F.col("before") + F.sum("size").over(in_order.rowsBetween(W.unboundedPreceding, 0))
     cut = cut.withColumn("extra", (running <= F.col("rest")).cast("int"))
     beyond = placed.where(F.col("before") > F.col("rest")).withColumn("extra", F.lit(0))
@@ -173,51 +209,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"), go_on=False)
+    return mixture(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op3_mix_sources": op3_mix_sources}
-ORACLE_SQL = {"op3_mix_sources": rf"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}'), 1, 13) AS BIGINT)::DOUBLE + 0.5)
-           / {_TWO52!r} AS u
-  FROM documents
-), per AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-         [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
-  FROM sized GROUP BY source
-), levels AS (
-  SELECT *, 2 * source_size AS cap,
-         ((sum(source_size) OVER ())::DOUBLE * 1.5
-            - coalesce(sum(2 * source_size) OVER f, 0)::DOUBLE)
-           / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0.0)) AS level
-  FROM per
-  WINDOW f AS (ORDER BY 2 * source_size / weight, source NULLS LAST
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM levels
-), rates AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
-), ranked AS (
-  SELECT s.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS rest,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u, s.doc_id, s.size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-  FROM sized s JOIN rates t ON s.source IS NOT DISTINCT FROM t.source
-), extras AS (
-  SELECT *, (running <= rest)::INT AS extra FROM ranked
-), gaps AS (
-  SELECT *, rest - sum(size * extra) OVER (PARTITION BY source) AS gap FROM extras
-), closing AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY
-              CASE WHEN extra = 0 AND size > 0 AND abs(gap - size) < gap THEN abs(gap - size) END NULLS LAST,
-              u, doc_id) AS nth
-  FROM gaps
-)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (whole + extra
-         + (nth = 1 AND extra = 0 AND abs(gap - size) < gap)::INT) END::BIGINT AS copies,
-       (size * CASE WHEN size = 0 THEN 0 ELSE whole + extra
-         + (nth = 1 AND extra = 0 AND abs(gap - size) < gap)::INT END)::BIGINT AS taken
-FROM closing
-"""}
+ORACLE_SQL: dict[str, str] = {}  # the mix goes on for as many rounds as it needs; tests compare with brute force

@@ -35,8 +35,8 @@ def test_parts_become_placeholders_in_order():
     assert text == "<|turn|>user<|says|>see <\\|image|>: <|image|><|audio|><|document|><|done|>" and a == b
     assert [(r["n"], r["type"], r["ref"], r["tokens"]) for r in refs] == [
         (0, "image", "i.png", 85 + 170 * 4), (1, "audio", "a.wav", 38), (2, "document", "d.pdf", 1800)]
-    with pytest.raises(ValueError):
-        op.format_turn("user", [{"type": "video"}])
+    _, refs = op.format_turn("user", [{"type": "text", "text": "a"}, {"type": "video", "ref": "v"}, {"type": 7}])[::3]
+    assert [(r["type"], r["ref"], r["tokens"]) for r in refs] == [("video", "v", 0), ("7", None, 0)]
 
 
 def test_parts_in_a_table(spark):
