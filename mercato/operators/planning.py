@@ -2,7 +2,7 @@
 
 P1 is pure column arithmetic (one codegen'd projection). Policies are
 columns. The budget-constrained reallocation (P6) is iterative: each round
-needs two totals per α, so each round is one aggregate over a checkpointed
+needs two totals per α, so each round is one aggregate over a stored
 (article x α) table whose <= len(alphas) x 3 result values come back to the
 driver and are applied as literals — the plan stays a narrow projection over
 one stored input, the shuffle per round is a partial aggregate of a handful
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.random import normal
-from ..session import checkpoint_dir
+from ..session import stored
 
 PNL_COLS = ["production_qty", "sold_full_price", "sold_at_markdown", "destroyed", "lost_demand",
             "revenue_full", "revenue_markdown", "cost_of_goods", "return_cost", "destruction_cost",
@@ -110,7 +110,7 @@ def reallocate(base: DataFrame, budget: float, alphas: Sequence[float],
                cap_factor: float = P.REALLOC_CAP, rounds: int = P.REALLOC_ROUNDS,
                floor: float = P.REALLOC_SCORE_FLOOR, pred: str = "predicted_demand",
                price: str = "avg_price_eur", p: str = "return_prob",
-               checkpoint: bool = True) -> DataFrame:
+               store: bool = True) -> DataFrame:
     """Budget-constrained, capped reallocation for every α at once.
 
     score = max(price·g·(1-p) - p·c, floor); weight = ŷ·((1-α) + α·score/mean(score));
@@ -119,7 +119,6 @@ def reallocate(base: DataFrame, budget: float, alphas: Sequence[float],
     is below its cap, else spread the leftover over the rows below their cap
     by weight (capped again). Returns base columns + alpha + production.
     """
-    spark = base.sparkSession
     score = F.greatest(_c(price) * F.lit(g) * (F.lit(1.0) - _c(p)) - _c(p) * F.lit(c), F.lit(floor))
     b = base.withColumn("_score", score)
     mean = b.agg(F.avg("_score").alias("_mean_score"))
@@ -128,9 +127,8 @@ def reallocate(base: DataFrame, budget: float, alphas: Sequence[float],
     b = b.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     w = _c(pred) * ((F.lit(1.0) - F.col("alpha")) + F.col("alpha") * F.col("_score") / F.col("_mean_score"))
     b = b.withColumn("_w", w).withColumn("_cap", _c(pred) * F.lit(cap_factor)).drop("_score", "_mean_score")
-    if checkpoint:
-        checkpoint_dir(spark)
-        b = b.checkpoint(eager=True)
+    if store:
+        b = stored(b, "reallocation")
 
     def per_alpha(values: Mapping[float, float]) -> Column:
         m = F.create_map(*[x for a, v in values.items() for x in (F.lit(float(a)), F.lit(float(v)))])
@@ -242,16 +240,36 @@ def with_reallocation_delta(df: DataFrame, naive: str = "prod_naive", opt: str =
 
 
 # P11 ------------------------------------------------------------------------
-def what_if(df: DataFrame, grid: Sequence[Mapping[str, float]], qty: str, demand: str = "actual_demand",
+def what_if_sums(df: DataFrame, qty: str, demand: str = "actual_demand", p: str = "return_prob",
+                 price: str = "avg_price_eur") -> DataFrame:
+    """The nine sums over articles that the totals of any (g, c, m, d) are
+    made of: for fixed quantities each P&L total is a polynomial in them."""
+    q, dem, pr, pe = _c(qty), _c(demand), _c(p), _c(price)
+    sold, unsold, lost = F.least(dem, q), F.greatest(q - dem, F.lit(0.0)), F.greatest(dem - q, F.lit(0.0))
+    sums = {"made": q, "sold": sold, "unsold": unsold, "lost": lost, "sold_value": sold * pe, "unsold_value": unsold * pe,
+            "lost_value": lost * pe, "made_value": q * pe, "returned": sold * pr}
+    return df.agg(*[F.sum(v.cast("double")).alias(f"_{k}") for k, v in sums.items()])
+
+
+def what_if(df: DataFrame, grid: DataFrame | Sequence[Mapping[str, float]], qty: str, demand: str = "actual_demand",
             p: str = "return_prob", price: str = "avg_price_eur") -> DataFrame:
-    """Exact P1 + P2 for every parameter row (g, c, m, d): the parameter
-    list (parameter-sized) is exploded per article, totals grouped by it."""
-    keys = ("g", "c", "m", "d")
-    rows = F.explode(F.array(*[F.struct(*[F.lit(float(r[k])).alias(k) for k in keys]) for r in grid])).alias("_p")
-    x = df.select(demand, qty, p, price, rows).select(demand, qty, p, price, "_p.*")
-    cols = pnl_columns(demand, qty, p, price, F.col("g"), F.col("c"), F.col("m"), F.col("d"))
-    pnl = x.select(*keys, *[v.alias(k) for k, v in cols.items()])
-    return portfolio_pnl(pnl, list(keys))
+    """Exact P1 + P2 for every parameter row (g, c, m, d) of any grid: one
+    aggregate over the articles, then arithmetic on the grid's rows."""
+    from .prefix import with_scalars
+    if not isinstance(grid, DataFrame):
+        grid = df.sparkSession.createDataFrame([tuple(float(r[k]) for k in "gcmd") for r in grid],
+                                               "g double, c double, m double, d double")
+    x = with_scalars(grid.select("g", "c", "m", "d"), what_if_sums(df, qty, demand, p, price))
+    g, c, m, d = (F.col(k) for k in "gcmd")
+    one = F.lit(1.0)
+    markdown, destroyed = F.col("_unsold") * (one - d), F.col("_unsold") * d
+    revenue = F.col("_sold_value") + F.col("_unsold_value") * (one - d) * (one - m)
+    returns, lost_margin = F.col("_returned") * c, F.col("_lost_value") * g
+    costs = F.col("_made_value") * (one - g) + returns + F.col("_unsold_value") * d * (one - g) + lost_margin
+    return x.select("g", "c", "m", "d", F.col("_made").alias("total_production"), F.col("_sold").alias("total_sold_full"),
+                    (markdown + destroyed).alias("total_unsold"), F.col("_lost").alias("total_lost_demand"),
+                    revenue.alias("total_revenue"), returns.alias("total_return_cost"), lost_margin.alias("total_lost_margin_cost"),
+                    (revenue - costs).alias("total_margin"), (returns / c).alias("returned_units"))
 
 
 # P12 ------------------------------------------------------------------------

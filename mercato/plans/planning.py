@@ -25,12 +25,11 @@ def planning_base(tx: DataFrame, tx_with_customer: DataFrame, articles: DataFram
 
 
 def policy_table(base: DataFrame) -> DataFrame:
-    """Policies per article, checkpointed once: the budget total, the
-    reallocation rounds and every scenario read this stored table instead
+    """Policies per article, stored once: the budget total, the
+    reallocation rounds and every scenario read this table instead
     of recomputing the demand and return-risk jobs behind it."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(base.sparkSession)
-    return PL.with_policies(base).checkpoint(eager=True)
+    from ..session import stored
+    return stored(PL.with_policies(base), "policies")
 
 
 def production_plan(base: DataFrame, alpha: float = P.ALPHA_OPTIMAL, stored: bool = False) -> DataFrame:

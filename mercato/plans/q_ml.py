@@ -15,17 +15,13 @@ from ..operators import filters as Fi
 from ..operators import joins as J
 from ..operators import topk as K
 from ..sources.standin import Inputs, sql_with
-from ..session import checkpoint_dir
 from . import feature_store as FS
-from . import returns as RT
 from .catalog import R, query
 from .q_features import SQL_WEEKLY
+from .stage_jobs import STYLE_COLS, Stages
 
 TE, VE = P.STANDIN_TRAIN_END, P.STANDIN_VAL_END
 
-FEATS_18_NUM = ["log_lag_1", "log_lag_2", "log_lag_4", "log_rolling_mean_4", "log_rolling_mean_8", "month",
-                "week_of_year", "quarter", "month_sin", "month_cos", "weeks_in_catalog", "avg_price"]
-RET_NUM = ["price", "age", "day_of_week", "month"]
 
 
 def comparison_sets(spark, sf_dir, max_fit_rows: int | None = None):
@@ -57,103 +53,56 @@ def q_model_comparison(spark, sf_dir):
     return ML.compare_models(ML.COMPACT_CONFIGS, train, test)
 
 
-def _demand_frames(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
-    feats = FS.build_features(A.weekly_sales(inp.transactions()), inp.articles(), TE,
-                              P.STANDIN_COLD_START_WEEKS, extended=True)
-    s = Fi.with_split(feats, "week", TE, VE)
-    return s.withColumn("is_val", F.col("split") == "val")
-
-
-_FITTED: dict = {}
-
-
-def _memo(kind, spark, sf_dir, fit):
-    """Fit once per (session, folder, model kind); later queries of the same
-    session reuse the fitted model instead of refitting it."""
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = fit()
-    return _FITTED[key]
-
-
-def _demand_model(spark, sf_dir):
-    def fit():
-        s = _demand_frames(spark, sf_dir).cache()
-        return s, ML.train_demand(s.where(F.col("split") != "test"), FEATS_18_NUM, P.CATEGORY_COLS)
-    return _memo("demand", spark, sf_dir, fit)
-
-
 @query("demand_model_predictions")
 def q_demand_model_predictions(spark, sf_dir):
     """M8 + M10 + C7 + C8: boosted demand model (log target, native
     categoricals, early stopping on the validation weeks) scored on test."""
-    s, model = _demand_model(spark, sf_dir)
-    test = s.where(F.col("split") == "test")
-    pred = ML.score_demand(model, test, P.CATEGORY_COLS)
-    pred = E.clip_to_train_range(pred, s.where(F.col("split") == "train"), "y_pred")
-    return pred.select("article_id", "week", "units_sold", "y_pred", "avg_price")
+    return Stages(spark, sf_dir).demand_scores().select("article_id", "week", "units_sold", "y_pred", "avg_price")
 
 
 @query("demand_model_metrics")
 def q_demand_model_metrics(spark, sf_dir):
     """E2 + E3 on the model: WAPE / MAE / RMSE against the lag_1 and
     rolling-mean baselines and the improvement over lag_1."""
-    s, model = _demand_model(spark, sf_dir)
-    test = s.where(F.col("split") == "test")
-    pred = ML.score_demand(model, test, P.CATEGORY_COLS)
-    return E.baseline_report(pred.select("units_sold", "lag_1", "rolling_mean_4", "y_pred"))
+    return E.baseline_report(Stages(spark, sf_dir).demand_scores().select("units_sold", "lag_1", "rolling_mean_4", "y_pred"))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Top 15 importances of the demand model with feature names."""
-    s, model = _demand_model(spark, sf_dir)
-    return ML.feature_importance(model, s.where(F.col("split") == "train").na.fill(
-        P.MISSING_CATEGORY, subset=P.CATEGORY_COLS))
+    stages = Stages(spark, sf_dir)
+    train = stages.demand_features().where(F.col("split") == "train")
+    return ML.feature_importance(stages.demand_model(), train.na.fill(P.MISSING_CATEGORY, subset=P.CATEGORY_COLS))
+
+
+@query("return_feature_importance")
+def q_return_feature_importance(spark, sf_dir):
+    """M12 on the returns classifier."""
+    stages = Stages(spark, sf_dir)
+    return ML.feature_importance(stages.return_model(), stages.return_features().where(F.col("split") == "train"))
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """Save the fitted pipeline under the shared checkpoint folder,
-    load it back and score with the loaded copy."""
-    s, model = _demand_model(spark, sf_dir)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/demand_{abs(hash(sf_dir)) % 10**8}"
-    ML.save_model(model, path)
-    loaded = ML.load_model(path)
-    test = s.where(F.col("split") == "test")
+    """The test rows scored with the published model as it is loaded."""
+    stages = Stages(spark, sf_dir)
+    stages.demand_model()
+    loaded = stages.store.read_model("demand_model")
+    test = stages.demand_features().where(F.col("split") == "test")
     return ML.score_demand(loaded, test, P.CATEGORY_COLS).select("article_id", "week", "y_pred")
 
 
-def _returns(spark, sf_dir):
-    def fit():
-        inp = Inputs(spark, sf_dir)
-        lt = RT.labelled_transactions(inp.transactions(with_customer=True), inp.articles(), inp.customers())
-        f = RT.return_features(lt)
-        s = Fi.with_split(f, "t_dat", TE, VE).withColumn("is_val", F.col("split") == "val").cache()
-        model = ML.train_returns(s.where(F.col("split") != "test"), RET_NUM, P.RETURN_CAT_FEATURES)
-        return s, model
-    s, model = _memo("returns", spark, sf_dir, fit)
-    return s, ML.score_returns(model, s.where(F.col("split") == "test"))
-
-
 @query("returns_model_metrics")
 def q_returns_model_metrics(spark, sf_dir):
     """M9 + M10 + E4-E6: returns classifier on the test period — ROC-AUC,
     average precision, Brier score, positive rate."""
-    _, scored = _returns(spark, sf_dir)
-    return E.classifier_summary(scored, "returned", "return_prob_pred")
+    return E.classifier_summary(Stages(spark, sf_dir).scored_transactions(), "returned", "return_prob_pred")
 
 
 @query("returns_model_article_risk")
 def q_returns_model_article_risk(spark, sf_dir):
     """M10 + A8: per-article predicted return probability from the model."""
-    _, scored = _returns(spark, sf_dir)
-    return A.article_return_risk(scored, "return_prob_pred", "returned_flag")
-
-
-STYLE_COLS = ["product_group_name", "colour_group_name", "department_name", "index_group_name",
-              "garment_group_name"]
+    return Stages(spark, sf_dir).return_scores()
 
 
 def _vecs(spark, sf_dir):
@@ -170,17 +119,14 @@ def q_k_sweep(spark, sf_dir):
 @query("style_clusters")
 def q_style_clusters(spark, sf_dir):
     """M13 + M15: final k = 4 assignment, best of 10 starts."""
-    clusters, _ = CL.assign_clusters(_vecs(spark, sf_dir), 4, 10)
-    return clusters
+    return Stages(spark, sf_dir).article_clusters()
 
 
 @query("style_cluster_profile")
 def q_style_cluster_profile(spark, sf_dir):
     """A12 on the MLlib clusters: size and modal garment / index / colour /
     department per cluster."""
-    vecs = _vecs(spark, sf_dir)
-    clusters, _ = CL.assign_clusters(vecs, 4, 10)
-    df = vecs.join(clusters, "article_id")
+    df = Inputs(spark, sf_dir).articles().join(Stages(spark, sf_dir).article_clusters(), "article_id")
     return A.cluster_profile(df, "cluster", None, {"top_garment": "garment_group_name",
                                                    "top_index": "index_group_name",
                                                    "top_color": "colour_group_name",

@@ -9,11 +9,13 @@ from ..functions import columns as FC
 from ..functions.random import sql_normal
 from ..operators import planning as PL
 from ..operators import topk as K
-from ..sources.standin import Inputs, sql_with
+from ..sources import io
+from ..sources.standin import sql_with
 from . import planning as PP
 from .catalog import ORACLE, R, query
 from .q_forecast import PRED_BODY
 from .q_returns import LT_BODY
+from .stage_jobs import Stages
 
 VE = P.STANDIN_VAL_END
 G, C, M, D = P.GROSS_MARGIN_PCT, P.RETURN_HANDLING_COST_EUR, P.MARKDOWN_DISCOUNT_PCT, P.UNSOLD_DESTRUCTION_RATE
@@ -92,14 +94,12 @@ def realloc_sql(alphas, src: str = "pol", out: str = "ra") -> str:
     return ",\n" + ",\n".join(parts)
 
 
-def _base(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
-    return PP.planning_base(inp.transactions(), inp.transactions(with_customer=True), inp.articles(),
-                            inp.customers(), VE)
+def _policies(spark, sf_dir):
+    return Stages(spark, sf_dir).policies()
 
 
 def _plan(spark, sf_dir):
-    return PP.production_plan(_base(spark, sf_dir))
+    return Stages(spark, sf_dir).per_article()
 
 
 PLAN_OPT = PLAN_CTE + realloc_sql([P.ALPHA_OPTIMAL]) + """,
@@ -114,8 +114,9 @@ plan AS (SELECT *, prod_naive - prod_optimized AS production_diff,
 SELECT article_id, {R('actual_demand')} AS actual_demand, {R('predicted_demand')} AS predicted_demand,
        {R('avg_price')} AS avg_price, {R('avg_price_eur')} AS avg_price_eur, {R('return_prob')} AS return_prob FROM base""")
 def q_planning_base(spark, sf_dir):
-    """A9 + J4 + C16: per-article planning table."""
-    return _base(spark, sf_dir)
+    """A9 + J4 + C16: per-article planning table, from the stages of demand
+    and risk, joined bucket by bucket."""
+    return Stages(spark, sf_dir).planning_base()
 
 
 @query("policies", PLAN_CTE + f"""
@@ -123,7 +124,7 @@ SELECT article_id, {R('prod_oracle')} AS prod_oracle, {R('prod_naive')} AS prod_
        {R('prod_forecast')} AS prod_forecast FROM pol""")
 def q_policies(spark, sf_dir):
     """P3 + P4 + P5: oracle, naive (md5-seeded noise) and forecast policies."""
-    return PL.with_policies(_base(spark, sf_dir)).select("article_id", "prod_oracle", "prod_naive", "prod_forecast")
+    return _policies(spark, sf_dir).select("article_id", "prod_oracle", "prod_naive", "prod_forecast")
 
 
 _PNL_F = pnl_sql("actual_demand", "prod_forecast", "return_prob", "avg_price_eur")
@@ -133,7 +134,7 @@ _PNL_F = pnl_sql("actual_demand", "prod_forecast", "return_prob", "avg_price_eur
     f"{R(v)} AS {k}" for k, v in _PNL_F.items()) + " FROM pol")
 def q_pnl_per_article(spark, sf_dir):
     """Twelve P&L columns per article (forecast policy, actual demand)."""
-    b = PL.with_policies(_base(spark, sf_dir))
+    b = _policies(spark, sf_dir)
     return PL.with_pnl(b, "actual_demand", "prod_forecast", "return_prob", "avg_price_eur").select(
         "article_id", *PL.PNL_COLS)
 
@@ -143,7 +144,7 @@ t AS (SELECT {totals_sql(_PNL_F)} FROM pol)
 SELECT {", ".join(f"{R(c)} AS {c}" for c in TOTAL_COLS)}, {R('total_return_cost / 18.0')} AS returned_units FROM t""")
 def q_portfolio_pnl(spark, sf_dir):
     """Portfolio totals of the forecast policy."""
-    b = PL.with_policies(_base(spark, sf_dir))
+    b = _policies(spark, sf_dir)
     return PL.portfolio_pnl(PL.with_pnl(b, "actual_demand", "prod_forecast", "return_prob", "avg_price_eur"))
 
 
@@ -158,7 +159,7 @@ def q_reallocation(spark, sf_dir):
 SELECT article_id, {R('production')} AS production FROM ra""")
 def q_reallocation_alpha1(spark, sf_dir):
     """P6 at α = 1.0, where caps bind and the redistribution rounds run."""
-    b = PP.policy_table(_base(spark, sf_dir))
+    b = _policies(spark, sf_dir)
     return PL.reallocate(b, PL.total(b, "prod_oracle"), [1.0]).select("article_id", "production")
 
 
@@ -179,7 +180,7 @@ SELECT scenario, {", ".join(f"{R(c)} AS {c}" for c in TOTAL_COLS)}, {R('total_re
 FROM scen""")
 def q_scenario_pnl(spark, sf_dir):
     """P&L totals of the four policies under actual demand."""
-    return PP.scenario_summary(_plan(spark, sf_dir))
+    return Stages(spark, sf_dir).pnl_summary()
 
 
 def _pick(pre, col):
@@ -198,7 +199,7 @@ SELECT {R('om - nm')} AS margin_uplift_eur, {R('(om / nm - 1.0) * 100.0')} AS ma
        {R('100.0 * (nrc - orc) / nrc')} AS return_cost_reduction_pct, {R('orm - om')} AS gap_to_oracle_eur FROM k""")
 def q_scenario_comparison(spark, sf_dir):
     """Margin uplift, savings and gap to the oracle."""
-    return PL.compare_scenarios(PP.scenario_summary(_plan(spark, sf_dir)))
+    return PL.compare_scenarios(Stages(spark, sf_dir).pnl_summary())
 
 
 _PNL_SWEEP = pnl_sql("actual_demand", "production", "return_prob", "avg_price_eur")
@@ -213,8 +214,7 @@ SELECT {R('alpha')} AS alpha, {R('margin_M')} AS margin_M, {R('production_M')} A
        {R('(SELECT alpha FROM sw ORDER BY margin_M DESC, alpha LIMIT 1)')} AS best_alpha FROM sw""")
 def q_alpha_sweep(spark, sf_dir):
     """α sweep over 11 points with the best α."""
-    b = PP.policy_table(_base(spark, sf_dir))
-    return PL.alpha_sweep(b, PL.total(b, "prod_oracle"))
+    return Stages(spark, sf_dir).sensitivity()
 
 
 @query("reallocation_delta", PLAN_OPT + f"""
@@ -239,7 +239,7 @@ def _sel_r(cols):
 SELECT {_sel_r(TOP_COLS)} FROM (SELECT * FROM plan ORDER BY margin_saved_eur DESC, article_id LIMIT 20)""")
 def q_top_reallocations(spark, sf_dir):
     """T-c: 20 articles with the most reallocation value."""
-    return K.top_k(_plan(spark, sf_dir), 20, "margin_saved_eur").select(*TOP_COLS)
+    return Stages(spark, sf_dir).top20().select(*TOP_COLS)
 
 
 @query("top_changes", PLAN_OPT + f"""
@@ -273,9 +273,7 @@ SELECT {R('g')} AS g, {R('c')} AS c, {R('m')} AS m, {R('d')} AS d,
        {", ".join(f"{R(c)} AS {c}" for c in TOTAL_COLS)}, {R('returned_units')} AS returned_units FROM w""")
 def q_what_if(spark, sf_dir):
     """Exact P&L recomputation for a grid of economic parameters."""
-    b = PL.with_policies(_base(spark, sf_dir))
-    out = PL.what_if(b, WHAT_IF_GRID, "prod_forecast")
-    return out.withColumn("returned_units", F.col("total_return_cost") / F.col("c"))
+    return PL.what_if(_policies(spark, sf_dir), WHAT_IF_GRID, "prod_forecast")
 
 
 _PNL_CONS = pnl_sql("actual_demand", "prod_conservative", "return_prob", "avg_price_eur")
@@ -293,7 +291,7 @@ SELECT 'discount', {R('sum(prod_discount)')}, {R('sum(' + _PNL_DISC['expected_ma
 def q_declared_policies(spark, sf_dir):
     """P12 + P13: conservative cut on the riskiest 10 % and the
     return-discounted policy, evaluated with P1 + P2."""
-    b = PL.with_policies(_base(spark, sf_dir))
+    b = _policies(spark, sf_dir)
     b = PL.policy_conservative(b, "prod_forecast", "return_prob", 0.10, 0.20)
     b = b.withColumn("prod_discount", PL.policy_discount("predicted_demand", "return_prob", 0.5))
     s = PL.evaluate_scenarios(b, {"conservative": "prod_conservative", "discount": "prod_discount"})
@@ -301,10 +299,8 @@ def q_declared_policies(spark, sf_dir):
 
 
 def _nested_summary(spark, sf_dir):
-    b = PP.policy_table(_base(spark, sf_dir))
-    plan = PP.production_plan(b, stored=True)
-    sweep = PL.alpha_sweep(b, PL.total(b, "prod_oracle"))
-    return PP.executive_summary(plan, sweep)
+    stages = Stages(spark, sf_dir)
+    return PP.executive_summary(stages.per_article(), stages.sensitivity())
 
 
 def _long(section: str, item: str, sql: str, drop: tuple[str, ...] = ()) -> str:
@@ -353,3 +349,35 @@ def q_top_changes_export(spark, sf_dir):
 
 
 ORACLE["metrics_json_roundtrip"] = SUMMARY_SQL  # the same rows, through a JSON file
+
+
+@query("scored_planning_base")
+def q_scored_planning_base(spark, sf_dir):
+    """M8 + M9 -> A9 + J4: the planning table on the fitted models' stored
+    scores instead of the deterministic prediction."""
+    return Stages(spark, sf_dir).planning_base(scores=True)
+
+
+@query("scored_scenario_pnl")
+def q_scored_scenario_pnl(spark, sf_dir):
+    """P3-P7 on the models' scores: totals of the four policies."""
+    return Stages(spark, sf_dir).pnl_summary(scores=True)
+
+
+@query("stage_tables", sql_with("transactions", "transactions_c", "articles", "customers") + PRED_BODY + LT_BODY + f""",
+weekly_rows AS (SELECT count(*) AS n FROM (SELECT DISTINCT article_id, date_trunc('week', t_dat) FROM transactions)),
+risk_rows AS (SELECT count(DISTINCT article_id) AS n FROM test),
+sold AS (SELECT count(*) AS n FROM articles WHERE article_id IN (SELECT article_id FROM transactions)),
+both_rows AS (SELECT count(*) AS n FROM (SELECT DISTINCT article_id FROM pred) p WHERE article_id IN (SELECT article_id FROM test))
+SELECT 'weekly_sales' AS table_name, (SELECT n FROM weekly_rows) AS n_rows, 4::BIGINT AS n_cols
+UNION ALL SELECT 'article_features', (SELECT n FROM sold), 11
+UNION ALL SELECT 'demand_predictions', (SELECT count(*) FROM pred), 5
+UNION ALL SELECT 'return_predictions', (SELECT n FROM risk_rows), 4
+UNION ALL SELECT 'article_clusters', (SELECT count(*) FROM articles), 2
+UNION ALL SELECT 'simulator_per_article', (SELECT n FROM both_rows), 13
+UNION ALL SELECT 'simulator_pnl_summary', 4, 10
+UNION ALL SELECT 'simulator_sensitivity', {len(P.ALPHA_GRID)}, 6
+UNION ALL SELECT 'simulator_top20_reassign', (SELECT least(n, 20) FROM both_rows), 13""")
+def q_stage_tables(spark, sf_dir):
+    """S4 + S6 + S9: the whole stage pipeline, profiled as it is read back."""
+    return io.table_profile(Stages(spark, sf_dir).run())

@@ -9,13 +9,11 @@ from .. import params as P
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import filters as Fi
-from ..operators import joins as J
 from ..operators import topk as K
-from ..session import stored
-from ..sources.standin import Inputs, sql_with
-from . import returns as RT
+from ..sources.standin import sql_with
 from .catalog import R, query
 from .q_returns import LT_BODY, SQL_RISK
+from .stage_jobs import Stages
 
 VE = P.STANDIN_VAL_END
 TOP_AXES = {"garment_group_name": 12, "colour_group_name": 15}
@@ -26,9 +24,11 @@ sb AS (SELECT r.*, a.* EXCLUDE (article_id) FROM r LEFT JOIN articles a ON r.art
 
 
 def _style(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
-    lt = RT.labelled_transactions(inp.transactions(with_customer=True), inp.articles(), inp.customers())
-    return J.style_base(RT.article_risk(lt, VE), inp.articles())
+    return Stages(spark, sf_dir).style_base()
+
+
+def _clustered(spark, sf_dir):
+    return Stages(spark, sf_dir).style_base(clusters=True)
 
 
 def _top_sql(col, n):
@@ -69,7 +69,7 @@ def q_risk_heatmap(spark, sf_dir):
     """The risk matrix pivoted to garments x colours (explicit column
     list = the top colours, collected as at most 15 values), read as one row
     per cell, empty cells included."""
-    s = stored(_style(spark, sf_dir), "style")  # article-sized; read for the axes and for the cells
+    s = _style(spark, sf_dir)
     colours = [r[0] for r in Fi.top_categories(s, "colour_group_name", 15).collect()]
     cells = A.risk_matrix(Fi.top_categories_filter(s, TOP_AXES), min_n=20)
     wide = K.pivot_matrix(cells, "garment_group_name", "colour_group_name", "return_rate", sorted(colours))
@@ -198,3 +198,25 @@ def q_segment_profile_export(spark, sf_dir):
     p = p.withColumns({"_label": F.concat(F.lit("Segment "), "index_group_name"), "_n": F.format_number("n_products", 0)})
     return C.export_view(p, {"_label": "Cluster", "_n": "Productos"}, pct={"return_rate": "Return rate"},
                          keep={"top_garment": "Top garment", "top_color": "Top color", "top_dept": "Top departamento"})
+
+
+@query("cluster_risk_profile")
+def q_cluster_risk_profile(spark, sf_dir):
+    """J5 (all three tables) + A12: size, mean risk and modal attributes of
+    every style cluster."""
+    return A.cluster_profile(_clustered(spark, sf_dir))
+
+
+@query("cluster_style_kpis")
+def q_cluster_style_kpis(spark, sf_dir):
+    """J5 + A14 with the number of style clusters."""
+    return A.style_kpis(_clustered(spark, sf_dir))
+
+
+@query("cluster_profile_export")
+def q_cluster_profile_export(spark, sf_dir):
+    """A12 + C21: the cluster profiles as exported."""
+    p = A.cluster_profile(_clustered(spark, sf_dir))
+    p = p.withColumns({"_label": F.concat(F.lit("Cluster "), F.col("cluster").cast("string")), "_n": F.format_number("n_products", 0)})
+    return C.export_view(p, {"_label": "Cluster", "_n": "Productos"}, pct={"return_rate": "Return rate"},
+                         keep={"top_garment": "Top garment", "top_color": "Top color", "top_dept": "Top departamento"})
