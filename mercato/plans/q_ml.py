@@ -67,6 +67,15 @@ def q_demand_model_metrics(spark, sf_dir):
     return E.baseline_report(Stages(spark, sf_dir).demand_scores().select("units_sold", "lag_1", "rolling_mean_4", "y_pred"))
 
 
+@query("small_demand_model_metrics")
+def q_small_demand_model_metrics(spark, sf_dir):
+    """M8 with 14 features + E2 + E3."""
+    stages = Stages(spark, sf_dir)
+    test = stages.demand_features().where(F.col("split") == "test")
+    scored = ML.score_demand(stages.small_demand_model(), test, P.CATEGORY_COLS)
+    return E.baseline_report(scored.select("units_sold", "lag_1", "rolling_mean_4", "y_pred"))
+
+
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Top 15 importances of the demand model with feature names."""

@@ -38,6 +38,7 @@ TABLES = ["lineitem", "orders", "part", "customer"]
 STYLE_COLS = ["product_group_name", "colour_group_name", "department_name", "index_group_name", "garment_group_name"]
 FEATS_18_NUM = ["log_lag_1", "log_lag_2", "log_lag_4", "log_rolling_mean_4", "log_rolling_mean_8", "month",
                 "week_of_year", "quarter", "month_sin", "month_cos", "weeks_in_catalog", "avg_price"]
+FEATS_14_NUM = ["log_lag_1", "log_lag_2", "log_lag_4", "log_rolling_mean_4", "log_rolling_mean_8", "month", "week_of_year", "avg_price"]
 RETURN_NUM = ["price", "age", "day_of_week", "month"]
 
 
@@ -104,6 +105,12 @@ class Stages:
             return ML.train_demand(known, FEATS_18_NUM, P.CATEGORY_COLS)
         return self.store.ensure_model("demand_model", self.source, fit)
 
+    def small_demand_model(self) -> PipelineModel:
+        """The 14-feature variant."""
+        def fit():
+            return ML.train_demand(self.demand_features().where(F.col("split") != "test"), FEATS_14_NUM, P.CATEGORY_COLS)
+        return self.store.ensure_model("small_demand_model", self.source, fit)
+
     def demand_scores(self) -> DataFrame:
         """The model's ``demand_predictions``, with the lags the baselines use."""
         def build():
