@@ -91,6 +91,28 @@ def running_totals(df: DataFrame, order: Sequence, sums: Sequence[str],
 SKETCH_ACCURACY = 10_000
 
 
+# Counted values that one task per group orders; more go through ranges.
+FEW_CELLS = 200_000
+
+
+def _brackets(vals: DataFrame, probs: Sequence[float], by: Sequence[str], accuracy: int) -> tuple[DataFrame, Column, list, list]:
+    """The rows with, for each probability, two values that the wanted rank
+    should lie between; whole groups of up to ``accuracy`` rows."""
+    side = 4.0 / accuracy
+    ends = [max(0.0, p - side) for p in probs] + [min(1.0, p + side) for p in probs]
+    sketch = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"),
+                                   F.percentile_approx("_v", ends, accuracy).alias("_q"))
+    k = len(probs)
+    if by:
+        # one row per group; broadcast only if its stored size is under the planner's threshold
+        sketch = stored(sketch.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_rows", "_q"), "sketch")
+        rows = vals.join(sketch, _same(vals, sketch, by, "_g_")).select(*[vals[b] for b in by], "_v", "_rows", "_q")
+        return rows, F.col("_rows"), [F.col("_q")[j] for j in range(k)], [F.col("_q")[k + j] for j in range(k)]
+    one = sketch.first()  # one row of 2 x probs numbers
+    q = one["_q"] or [None] * (2 * k)
+    return vals, F.lit(one["_rows"]), [F.lit(x).cast("double") for x in q[:k]], [F.lit(x).cast("double") for x in q[k:]]
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), buckets: int | None = None,
                       accuracy: int = SKETCH_ACCURACY) -> DataFrame:
@@ -100,48 +122,50 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     Returns one row per (group, prob): ``*by, prob, value``. Two passes over
     the input, both map-side combined: the sketch, then one that collapses
     values inside a bracket to (group, value) counts and all others to counts
-    by the brackets they lie below.
+    by the brackets they lie below. The counts say whether every wanted rank
+    lies inside its bracket; where one doesn't, the brackets are made four
+    times as wide and counted again (at last they hold every row).
     """
     by = list(by)
     probs = [float(p) for p in probs]
     vals = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    side = 4.0 / accuracy
-    ends = [max(0.0, p - side) for p in probs] + [min(1.0, p + side) for p in probs]
-    sketch = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"),
-                                   F.percentile_approx("_v", ends, accuracy).alias("_q"))
-    k = len(probs)
-    if by:
-        # one row per group; broadcast only if its stored size is under the planner's threshold
-        sketch = stored(sketch.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_rows", "_q"), "sketch")
-        rows = vals.join(sketch, _same(vals, sketch, by, "_g_")).select(*[vals[b] for b in by], "_v", "_rows", "_q")
-        total, lo, hi = F.col("_rows"), [F.col("_q")[j] for j in range(k)], [F.col("_q")[k + j] for j in range(k)]
-    else:
-        one = sketch.first()  # one row of 2 x probs numbers
-        rows, total = vals, F.lit(one["_rows"])
-        q = one["_q"] or [None] * (2 * k)
-        lo, hi = [F.lit(x).cast("double") for x in q[:k]], [F.lit(x).cast("double") for x in q[k:]]
-    small = total <= F.lit(accuracy)
-    inside = [small | ((F.col("_v") >= lo[j]) & (F.col("_v") <= hi[j])) for j in range(k)]
-    below = [~small & (F.col("_v") < lo[j]) for j in range(k)]
-    any_inside = inside[0]
-    for x in inside[1:]:
-        any_inside = any_inside | x
 
     def flags(x):
         return F.when(x, F.lit(1)).otherwise(F.lit(0)).cast("byte")
 
-    cells = stored(rows.groupBy(*by, F.when(any_inside, F.col("_v")).alias("_v"),
-                                F.array(*[flags(x) for x in inside]).alias("_in"),
-                                F.array(*[flags(x) for x in below]).alias("_below"))
-                   .agg(F.count(F.lit(1)).alias("_n")), "cells")
-    each = cells.select(*by, "_v", "_n", F.explode(F.array(*[
-        F.struct(F.lit(j).alias("_j"), F.lit(p).alias("_p"), F.col("_in")[j].alias("_inside"),
-                 F.col("_below")[j].alias("_under")) for j, p in enumerate(probs)])).alias("_e"))
-    each = each.select(*by, "_v", "_n", "_e.*")
-    base = each.groupBy(*by, "_j").agg(F.sum(F.col("_n") * F.col("_under")).alias("_base"), F.sum("_n").alias("_rows"))
+    while True:
+        rows, total, lo, hi = _brackets(vals, probs, by, accuracy)
+        small = total <= F.lit(accuracy)
+        inside = [small | ((F.col("_v") >= lo[j]) & (F.col("_v") <= hi[j])) for j in range(len(probs))]
+        below = [~small & (F.col("_v") < lo[j]) for j in range(len(probs))]
+        any_inside = inside[0]
+        for x in inside[1:]:
+            any_inside = any_inside | x
+        cells = stored(rows.groupBy(*by, F.when(any_inside, F.col("_v")).alias("_v"),
+                                    F.array(*[flags(x) for x in inside]).alias("_in"),
+                                    F.array(*[flags(x) for x in below]).alias("_below"))
+                       .agg(F.count(F.lit(1)).alias("_n")), "cells")
+        each = cells.select(*by, "_v", "_n", F.explode(F.array(*[
+            F.struct(F.lit(j).alias("_j"), F.lit(p).alias("_p"), F.col("_in")[j].alias("_inside"),
+                     F.col("_below")[j].alias("_under")) for j, p in enumerate(probs)])).alias("_e"))
+        each = each.select(*by, "_v", "_n", "_e.*")
+        base = each.groupBy(*by, "_j").agg(
+            F.sum(F.col("_n") * F.col("_under")).alias("_base"), F.sum("_n").alias("_rows"),
+            F.sum(F.col("_n") * F.col("_inside")).alias("_held"), F.sum("_inside").alias("_cells"), F.max("_p").alias("_prob"))
+        rank = (F.col("_rows") - 1).cast("double") * F.col("_prob")
+        missed = (F.floor(rank) < F.col("_base")) | (F.ceil(rank) >= F.col("_base") + F.col("_held"))
+        check = base.agg(F.coalesce(F.sum(missed.cast("int")), F.lit(0)).alias("missed"),
+                         F.coalesce(F.sum("_cells"), F.lit(0)).alias("cells")).first()
+        if not check["missed"]:
+            break
+        accuracy = max(1, accuracy // 4)
     base = base.select(*[F.col(b).alias(f"_g_{b}") for b in by], F.col("_j").alias("_g__j"), "_base", "_rows")
     counts = each.where("_inside = 1").groupBy(*by, "_j", "_p", "_v").agg(F.sum("_n").alias("_n"))
-    cum = running_totals(counts, ["_v"], ["_n"], by=[*by, "_j"], buckets=buckets)
+    if check["cells"] <= FEW_CELLS:
+        order = W.partitionBy(*by, "_j").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        cum = counts.withColumn("cum__n", F.sum("_n").over(order))
+    else:
+        cum = running_totals(counts, ["_v"], ["_n"], by=[*by, "_j"], buckets=buckets)
     cum = cum.join(base, _same(cum, base, [*by, "_j"], "_g_"))
     pos = (F.col("_rows") - 1).cast("double") * F.col("_p")
     rows = cum.select(*[cum[b] for b in by], "_p", "_v", (F.col("_base") + F.col("cum__n") - F.col("_n")).alias("_first"),

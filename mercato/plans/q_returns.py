@@ -13,6 +13,7 @@ from ..operators import topk as K
 from ..sources.standin import Inputs, sql_with
 from . import returns as RT
 from .catalog import R, query
+from .stage_jobs import Stages
 
 VE = P.STANDIN_VAL_END
 TE = P.STANDIN_TRAIN_END
@@ -114,7 +115,7 @@ SELECT article_id, {R('avg_return_prob')} AS avg_return_prob, {R('actual_return_
        n_transactions FROM r""")
 def q_article_return_risk(spark, sf_dir):
     """Per-article mean predicted probability, observed rate, n (test period)."""
-    return RT.article_risk(_lt(spark, sf_dir), VE)
+    return Stages(spark, sf_dir).return_predictions()
 
 
 @query("risk_tiers", LT_CTE + f""",
@@ -125,7 +126,7 @@ SELECT tiers.tier, count(t.tier) AS n, {R('100.0 * count(t.tier) / (SELECT count
 FROM tiers LEFT JOIN t ON tiers.tier = t.tier GROUP BY 1""")
 def q_risk_tiers(spark, sf_dir):
     """C19 + A15: low / mid / high risk tier counts and shares."""
-    return A.risk_tiers(RT.article_risk(_lt(spark, sf_dir), VE))
+    return A.risk_tiers(Stages(spark, sf_dir).return_predictions())
 
 
 @query("article_calibration", LT_CTE + f""",
@@ -138,7 +139,7 @@ SELECT bin, {R('avg(avg_return_prob)')} AS pred_mean, {R('avg(actual_return_rate
 FROM x GROUP BY 1 HAVING count(*) >= 10""")
 def q_article_calibration(spark, sf_dir):
     """A16 + K2: article calibration in right-closed bins up to p99."""
-    return A.article_calibration(RT.article_risk(_lt(spark, sf_dir), VE))
+    return A.article_calibration(Stages(spark, sf_dir).return_predictions())
 
 
 @query("risk_histogram", LT_CTE + """,
@@ -150,7 +151,7 @@ def q_risk_histogram(spark, sf_dir):
     """K1: 40 equal-width bins of article risk over its range."""
     from ..functions import columns as C
     from ..operators.prefix import with_scalars
-    r = RT.article_risk(_lt(spark, sf_dir), VE)
+    r = Stages(spark, sf_dir).return_predictions()
     mm = r.agg(F.min("avg_return_prob").alias("_lo"), F.max("avg_return_prob").alias("_hi"))
     x = with_scalars(r, mm)
     return (x.select(C.equal_width_bin("avg_return_prob", F.col("_lo"), F.col("_hi"), 40).alias("bin"))
@@ -239,7 +240,7 @@ LEFT JOIN articles a ON r.article_id = a.article_id""")
 def q_top_risk(spark, sf_dir):
     """T-e + J7: 50 riskiest articles with attributes."""
     from ..operators import joins as J
-    r = RT.article_risk(_lt(spark, sf_dir), VE)
+    r = Stages(spark, sf_dir).return_predictions()
     top = K.top_k(r, 50, "avg_return_prob")
     return J.attach_after_topk(top, Inputs(spark, sf_dir).articles(),
                                ["product_type_name", "colour_group_name", "garment_group_name", "department_name"])

@@ -1,6 +1,9 @@
 """Distributed running totals and exact percentiles against brute force,
 including a hot key holding a third of the rows."""
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -46,3 +49,40 @@ def test_grouped_median_with_hot_group(spark):
     got = {r.g: r.value for r in exact_percentiles(df, "x", [0.5], by=["g"], buckets=5).collect()}
     for g in got:
         assert got[g] == pytest.approx(float(np.median([x for gg, x in rows if gg == g])))
+
+
+def test_a_missed_bracket_is_widened(spark, monkeypatch):
+    """Brackets that a bad sketch put beside the wanted ranks: they are made
+    wider until they hold them; no group is lost."""
+    from mercato.operators import prefix
+    rng = random.Random(7)
+    rows = [(g, rng.gauss(0, 1)) for g in "abc" for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    real, asked = prefix._brackets, []
+
+    def beside(vals, probs, by, accuracy):
+        asked.append(accuracy)
+        out = real(vals, probs, by, accuracy)
+        return (out[0], out[1], [c + 5 for c in out[2]], out[3]) if len(asked) == 1 else out
+
+    monkeypatch.setattr(prefix, "_brackets", beside)
+    got = {(r.g, r.prob): r.value for r in prefix.exact_percentiles(df, "x", [0.1, 0.5], ["g"], accuracy=200).collect()}
+    assert asked == [200, 50]
+    for g in "abc":
+        own = pd.Series([x for h, x in rows if h == g])
+        for p in (0.1, 0.5):
+            assert got[g, p] == pytest.approx(own.quantile(p))
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_percentiles_by_window_and_by_ranges(spark, monkeypatch, few):
+    from mercato.operators import prefix
+    monkeypatch.setattr(prefix, "FEW_CELLS", few)
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(300))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {(r.g, r.prob): r.value for r in prefix.exact_percentiles(df, "x", [0.01, 0.5, 0.99], ["g"], accuracy=100).collect()}
+    for g in ("a", "b", None):
+        own = pd.Series([x for h, x in rows if h == g])
+        for p in (0.01, 0.5, 0.99):
+            assert got[g, p] == pytest.approx(own.quantile(p))
