@@ -15,7 +15,7 @@ def brute_words(text):
 
 
 def brute(text, templates=op.TEMPLATES, phrases=op.PHRASES, threshold=op.THRESHOLD, block=op.BLOCK_WORDS):
-    """Every phrase at every word, every template against every block."""
+    """Every phrase at every word, every template against the block at every word."""
     w = brute_words(text)
     starts, base = [], set()
     for phrase, label in phrases.items():
@@ -23,16 +23,17 @@ def brute(text, templates=op.TEMPLATES, phrases=op.PHRASES, threshold=op.THRESHO
         hits = [i for i in range(len(w) - len(p) + 1) if w[i:i + len(p)] == p]
         starts += hits
         base |= {label} if hits else set()
-    labels, score, step = set(base), 1.0 if base else 0.0, block // 2
-    for s in range(0, max(1, len(w)), step):
-        own = set(w[s:s + block])
-        for label, t in templates.items():
+    labels, score = set(base), 1.0 if base else 0.0
+    for label, texts in templates.items():
+        for t in (texts,) if isinstance(texts, str) else texts:
+            size = max(block, 2 * len(brute_words(t)))
             t = set(brute_words(t))
-            if len(t & own) >= math.ceil(threshold * len(t) - 1e-9):
+            if not t & set(w):
+                continue
+            best = max(len(t & set(w[s:s + size])) for s in range(len(w)) if s == 0 or w[s] in t)
+            if best >= math.ceil(threshold * len(t) - 1e-9):
                 labels.add(label)
-                score = max(score, len(t & own) / len(t))
-        if s + block >= len(w):
-            break
+                score = max(score, best / len(t))
     return (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), score)
 
@@ -74,3 +75,32 @@ def test_long_texts_are_scanned_in_parts(monkeypatch):
         n = rng.randrange(0, 400)
         text = " ".join(rng.choice(["mit", "license", "apache", "-", *[f"v{rng.randrange(25)}"] * 2]) for _ in range(n))
         assert scanner.scan_text(text) == brute(text, templates, threshold=0.8, block=10)
+
+
+def test_a_copy_is_found_wherever_it_starts():
+    rng = random.Random(12)
+    for n in (3, 60, 100, 200):
+        words = [f"v{rng.randrange(n)}" for _ in range(n // 4)] + [f"v{i}" for i in range(n)]
+        scanner = op.Scanner({"t": " ".join(words)}, {}, 0.8, 64, {})
+        for before in range(130):
+            text = " ".join(["x"] * before + words + ["y"] * 90)
+            assert scanner.scan_text(text)[5:] == ("t", 1.0), (n, before)
+        # every second word foreign, so that the copy fills its longest block
+        spread = " ".join(x for w in words for x in (w, "z"))
+        assert scanner.scan_text(spread)[5:] == ("t", 1.0)
+
+
+def test_blocks_that_just_meet_or_miss_the_threshold():
+    words = [f"v{i}" for i in range(50)]
+    scanner = op.Scanner({"t": " ".join(words)}, {}, 0.8, 64, {b"v3": 7, b"v9": 2})
+    for gap in range(0, 120):
+        for missing in (9, 10, 11):
+            text = " ".join(words[:20] + ["x"] * gap + words[20:50 - missing] + ["y"] * 30)
+            assert scanner.scan_text(text) == brute(text, {"t": " ".join(words)}, {}, 0.8, 64), (gap, missing)
+
+
+def test_whole_license_texts(spark):
+    longest = {label: max([t] if isinstance(t, str) else t, key=len) for label, t in op.TEMPLATES.items()}
+    docs = hard.plain(spark, [(i, ("some words " * i) + t.upper() + " more" * i) for i, t in enumerate(longest.values())])
+    for r in op.scan_licenses(docs).collect():
+        assert list(longest)[r["doc_id"]] in r["labels"].split(",") and r["score"] == 1.0
