@@ -12,10 +12,12 @@ batches of documents are scored by one matrix product each.
 
 Cases: ``und`` with score 0 for a null text and for one without letters, and
 for every text where no row can be learned from; a null lang is never
-learned; a null doc_id counts as held out; a text of any length is read
-whole, in slices; ties between languages go to the first in code point
-order; repeated rows are predicted alike; an empty table gives an empty
-result. lang, source and doc_id are never inputs of a prediction.
+learned; a null doc_id counts as held out; rows that repeat a doc_id are
+drawn one by one, by doc_id and text, and a row repeated in both counts once;
+where there are more languages than the sample has rows, those of the fewest
+rows are not learned; a text of any length is read whole, in slices; ties
+between languages go to the first in code point order; repeated rows are
+predicted alike; an empty table gives an empty result. lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -80,35 +82,35 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def train_rows(docs: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[str, bytes]]:
-    """(lang, presence bits) of the sample: as many rows of each language,
-    those with the smallest hashes; ``max_train`` in all (one of each
-    language at least)."""
-    usable = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(
+    """(lang, presence bits, doc_id) of the sample: as many rows of each
+    language, those with the smallest hashes; ``max_train`` in all."""
+    usable = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("_of_text"), "text").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & has_letters())
-    ids = usable.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("_u"))
-    counts = stored(ids.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n")), "langs")
+    row = ["doc_id", "lang", "_of_text"]
+    ids = stored(usable.select(row).distinct().withColumn(
+        "_u", F.pmod(F.xxhash64("doc_id", "_of_text"), F.lit(1 << 40)) / float(1 << 40)), "labelled")
+    counts = stored(ids.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+                    .orderBy(F.col("_n").desc(), "_lang").limit(max_train), "langs")
     langs = counts.count()
     if not langs:
         return []
     quota = max(1, max_train // langs)
     # only draws that can be among a language's first `quota` go on to be ranked
-    near = ids.join(counts, ids["lang"] == counts["_of"]).where(F.col("_u") * F.col("_n") <= quota + 8 * quota ** 0.5 + 64)
-    near = near.dropDuplicates(["doc_id", "lang"])
-    first = W.partitionBy("lang").orderBy("_u", "doc_id")
-    chosen = (near.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= quota)
-              .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
-    rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    near = ids.join(counts, ids["lang"] == counts["_lang"]).where(F.col("_u") * F.col("_n") <= quota + 8 * quota ** 0.5 + 64)
+    first = W.partitionBy("lang").orderBy("_u", *row)
+    chosen = near.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= quota).select(row)
+    rows = usable.join(F.broadcast(chosen), row)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                packed = np.packbits(presence(part.column(2).to_pylist()), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in packed], pa.binary())],
-                                                 ["doc_id", "lang", "bits"])
+                packed = np.packbits(presence(part.column(3).to_pylist()), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2),
+                                                  pa.array([p.tobytes() for p in packed], pa.binary())], [*row, "bits"])
 
-    found = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(bits, "doc_id long, lang string, bits binary")
-             .dropDuplicates(["doc_id", "lang"]).collect())  # max_train rows of 4 KB
+    found = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "_of_text", "text")
+             .mapInArrow(bits, "doc_id long, lang string, _of_text long, bits binary").dropDuplicates(row).collect())  # max_train rows of 4 KB
     return sorted((r["lang"], bytes(r["bits"]), r["doc_id"]) for r in found)
 
 

@@ -89,3 +89,52 @@ def test_numbers_and_keys_do_not_hide_the_language():
     text = 'Whoron, on 4163591243156570 it token = "2f6b80d240108f566bc3c38f339eaad41510fe0e" thhash o'
     assert op.prose(text).split() == ["Whoron,", "on", "it", "token", "=", "thhash", "o"]
     assert op.prose("12a4 5") == "12a4 5"
+
+
+def test_rows_that_share_an_id_are_learned(spark):
+    import random
+    rng = random.Random(3)
+    for shared in (1, 4):  # ids that are not held out
+        assert zlib.crc32(str(shared).encode()) % 4 != 2
+        rows = [(shared, "der hund und die " + "".join(rng.choice("abcdefgh") for _ in range(9)), "de", "s", None) for _ in range(3000)]
+        rows += [(100 + i, "the dog and the " + "".join(rng.choice("abcdefgh") for _ in range(9)), "en", "s", None) for i in range(500)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        sample = op.train_rows(docs, 200)
+        assert [sum(s[0] == lang for s in sample) for lang in ("de", "en")] == [100, 100]
+        assert sample == op.train_rows(docs.repartition(7).unionByName(docs), 200)  # repeated rows change nothing
+        pred = op.predictions(docs, 200, 50).where(f"doc_id = {shared}").select("lang_pred").distinct().collect()
+        assert [r[0] for r in pred] == ["de"]
+
+
+def test_more_languages_than_rows_to_learn_from(spark):
+    rows = [(i, f"text {i}", f"l{i % 40:02d}" if i < 400 else "many", "s", None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sample = op.train_rows(docs, 10)
+    assert len(sample) == 10 and "many" in {s[0] for s in sample}
+
+
+def test_whole_table_against_plain_kernel_ridge(spark):
+    """The registered query against a ridge on sets of n-grams of every
+    usable row: no hashing, no landmarks, no sample."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r["lang_pred"] for r in op.op4_language_id(spark, SF).collect()}
+    assert len(got) == len(docs)
+
+    def grams(text):
+        text = " ".join(text.lower().replace("\0", " ").split())
+        return {text[i:i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+    lettered = [(r, grams(r["text"])) for r in docs if any(c.isalpha() for c in r["text"] or "")]
+    place = {g: i for i, g in enumerate(sorted(set().union(*(g for _, g in lettered))))}
+    x = np.zeros((len(lettered), len(place)), np.float32)
+    for row, (_, own) in zip(x, lettered):
+        row[[place[g] for g in own]] = 1
+    x /= np.sqrt(x.sum(1, keepdims=True))
+    learn = [i for i, (r, _) in enumerate(lettered) if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    names = sorted({lettered[i][0]["lang"] for i in learn})
+    y = np.array([[1.0 if lettered[i][0]["lang"] == n else -1.0 for n in names] for i in learn])
+    k = (x @ x[learn].T).astype(float)
+    values = k @ np.linalg.solve(k[learn] + op.RIDGE * len(learn) * np.eye(len(learn)), y)
+    plain = {r["doc_id"]: names[v.argmax()] for (r, _), v in zip(lettered, values)}
+    assert all(got[r["doc_id"]] == "und" for r in docs if r["doc_id"] not in plain)
+    assert np.mean([got[i] == n for i, n in plain.items()]) >= 0.995
