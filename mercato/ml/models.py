@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from .. import params as P
 from ..functions import columns as C
 from ..operators import evaluation as E
-from . import boosting
-from .preprocess import preprocess_stages
+from . import boosting, ridge
+from .preprocess import RareCategories, preprocess_stages
 
 DEMAND_NUM = ["avg_price", "lag_1", "lag_2", "lag_4", "rolling_mean_4", "week_of_year", "month"]
 DEMAND_CAT = ["product_type_name", "product_group_name", "colour_group_name", "department_name",
@@ -56,9 +56,6 @@ COMPACT_CONFIGS = [
 
 
 def _estimator(kind: str, params: Mapping, label: str, seed: int = 42):
-    if kind == "ridge":
-        return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, solver="normal",
-                                **params)
     if kind == "forest":
         return RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
     if kind == "gbt":
@@ -72,7 +69,8 @@ def _with_label(df: DataFrame, cfg: ModelConfig, target: str) -> DataFrame:
 
 
 def _prep(cfg: ModelConfig, train: DataFrame, num=DEMAND_NUM, cat=DEMAND_CAT) -> PipelineModel:
-    return Pipeline(stages=preprocess_stages(num, cat, scale=cfg.kind == "ridge")).fit(train)
+    """Fitted on ``train`` alone, the grouping of rare categories included."""
+    return Pipeline(stages=[RareCategories(cat), *preprocess_stages(num, cat, scale=cfg.kind == "ridge")]).fit(train)
 
 
 def _to_units(cfg: ModelConfig, df: DataFrame) -> DataFrame:
@@ -90,7 +88,10 @@ def fit_predict(cfg: ModelConfig, params: Mapping, train: DataFrame, score: Data
         med = percentile_row(tr, "_label", {"y_pred": 0.5})
         return with_scalars(score, med)
     prep = _prep(cfg, tr, num, cat)
-    model = _estimator(cfg.kind, params, "_label").fit(prep.transform(tr))
+    if cfg.kind == "ridge":
+        model = ridge.fit(prep.transform(tr), "_label", [params["regParam"]])[0]
+    else:
+        model = _estimator(cfg.kind, params, "_label").fit(prep.transform(tr))
     return _to_units(cfg, model.transform(prep.transform(score)))
 
 
@@ -128,20 +129,28 @@ def grid_search(cfg: ModelConfig, train: DataFrame, n_folds: int = 3, target: st
                 parallelism: int = 4):
     """Mean WAPE (in units) over expanding time folds for each grid point;
     returns (best_params, best_cv_wape). The preprocessing is fitted once per
-    fold (it does not depend on the grid), and grid points are fitted
-    concurrently from driver threads, each fit being a distributed MLlib job."""
+    fold on the fold's training rows (it does not depend on the grid). Ridge
+    takes all its grid points from one pass over a fold; those of the other
+    families are fitted concurrently from driver threads, each fit being a
+    distributed MLlib job."""
     if cfg.kind == "dummy" or (len(cfg.grid) <= 1 and not cfg.grid[0]):
         return (cfg.grid[0] if cfg.grid else {}), None
     from concurrent.futures import ThreadPoolExecutor
     blocked = week_blocks(_with_label(train, cfg, target), n_folds).cache()
-    folds = []
-    for k in range(n_folds):
+
+    def fold(k):
         tr, va = blocked.where(F.col("block") <= k), blocked.where(F.col("block") == k + 1)
         prep = _prep(cfg, tr)
-        folds.append((prep.transform(tr).select("features", "_label").cache(),
-                      prep.transform(va).select("features", target).cache()))
+        return prep.transform(tr).select("features", "_label"), prep.transform(va).select("features", target)
 
-    ev = WapeEvaluator(target, "y_pred")
+    def ridge_scores(k):
+        trx, vax = fold(k)
+        names = []
+        for i, model in enumerate(ridge.fit(trx, "_label", [p["regParam"] for p in cfg.grid])):
+            names.append(f"_y{i}")
+            vax = _to_units(cfg, model.transform(vax)).withColumnRenamed("y_pred", names[-1]).drop("prediction")
+        row = vax.agg(*[E.wape(target, c).alias(c) for c in names]).first()
+        return [float("inf") if row[c] is None else row[c] for c in names]
 
     def cv_score(params):
         scores = []
@@ -150,11 +159,17 @@ def grid_search(cfg: ModelConfig, train: DataFrame, n_folds: int = 3, target: st
             scores.append(ev.evaluate(_to_units(cfg, m.transform(vax))))
         return sum(scores) / len(scores) if scores else float("inf")
 
-    with ThreadPoolExecutor(max(1, min(parallelism, len(cfg.grid)))) as ex:
-        cvs = list(ex.map(cv_score, cfg.grid))
-    for trx, vax in folds:
-        trx.unpersist()
-        vax.unpersist()
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        if cfg.kind == "ridge":
+            by_fold = list(ex.map(ridge_scores, range(n_folds)))
+            cvs = [sum(s) / n_folds for s in zip(*by_fold)]
+        else:
+            ev = WapeEvaluator(target, "y_pred")
+            folds = [(trx.cache(), vax.cache()) for trx, vax in map(fold, range(n_folds))]
+            cvs = list(ex.map(cv_score, cfg.grid))
+            for trx, vax in folds:
+                trx.unpersist()
+                vax.unpersist()
     blocked.unpersist()
     i = min(range(len(cvs)), key=lambda j: cvs[j])
     return cfg.grid[i], cvs[i]

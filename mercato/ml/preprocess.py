@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +41,48 @@ def group_rare(train: DataFrame, df: DataFrame, cols: Sequence[str], min_count:
     return out
 
 
+class _RareParams(HasInputCols):
+    minCount = Param(Params._dummy(), "minCount", "rows that a category needs to stay", TypeConverters.toInt)
+    missing = Param(Params._dummy(), "missing", "what stands for null", TypeConverters.toString)
+
+    def value(self, col: str):
+        return F.coalesce(F.col(col).cast("string"), F.lit(self.getOrDefault(self.missing)))
+
+
+class RareCategories(Estimator, _RareParams, DefaultParamsReadable, DefaultParamsWritable):
+    """M2 as a pipeline stage: categories are counted in the rows it is fitted
+    on (the training part of a fold, say), in one pass over all columns. The
+    frequent ones become part of the model, like the labels of the indexer
+    that follows it."""
+
+    def __init__(self, inputCols: Sequence[str] | None = None, minCount: int = 50, missing: str = P.MISSING_CATEGORY):
+        super().__init__()
+        self._set(minCount=minCount, missing=missing, **({"inputCols": list(inputCols)} if inputCols is not None else {}))
+
+    def _fit(self, dataset: DataFrame) -> RareCategoriesModel:
+        cols = self.getInputCols()
+        pairs = F.array(*[F.struct(F.lit(c).alias("col"), self.value(c).alias("value")) for c in cols])
+        rows = (dataset.select(F.explode(pairs).alias("_p")).groupBy("_p.col", "_p.value").agg(F.count(F.lit(1)).alias("n"))
+                .where(F.col("n") >= self.getOrDefault(self.minCount)).collect())
+        model = RareCategoriesModel()._set(frequent={c: sorted(r["value"] for r in rows if r["col"] == c) for c in cols})
+        return self._copyValues(model)
+
+
+class RareCategoriesModel(Model, _RareParams, DefaultParamsReadable, DefaultParamsWritable):
+    """All but the frequent categories of each column become one bucket."""
+
+    frequent = Param(Params._dummy(), "frequent", "the categories that stay, by column")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        known = self.getOrDefault(self.frequent)
+        return dataset.withColumns({c: F.when(self.value(c).isin(known[c]), self.value(c)).otherwise(F.lit(INFREQUENT))
+                                    for c in self.getInputCols()})
+
+
 def preprocess_stages(num: Sequence[str], cat: Sequence[str], scale: bool = True,
                       one_hot: bool = True, out: str = "features") -> list:
-    """Numerics: median impute (+ standardise); categoricals (already filled,
-    see :func:`group_rare`): index (unknown kept as an extra index) and
+    """Numerics: median impute (+ standardise); categoricals (filled, see
+    :class:`RareCategories`): index (unknown kept as an extra index) and
     one-hot (the unknown slot dropped, so unseen categories encode as zeros)."""
     stages = []
     imp = [f"_imp_{c}" for c in num]

@@ -26,8 +26,10 @@ TE, VE = P.STANDIN_TRAIN_END, P.STANDIN_VAL_END
 
 def comparison_sets(spark, sf_dir, max_fit_rows: int | None = None):
     """The comparison study's data: row-lag features, rows with all lags,
-    last 8 distinct weeks held out. ``max_fit_rows`` fits on a reproducible
-    sample of so many training rows; all held-out rows are always scored."""
+    last 8 distinct weeks held out. Rare categories are left to the models,
+    which group them by the training rows of each fold. ``max_fit_rows`` fits
+    on a reproducible sample of so many training rows; all held-out rows are
+    always scored."""
     inp = Inputs(spark, sf_dir)
     f = FS.lag_features(A.weekly_sales(inp.transactions()))
     f = Fi.drop_incomplete(f, ["lag_1", "lag_2", "lag_4", "rolling_mean_4"])
@@ -37,7 +39,6 @@ def comparison_sets(spark, sf_dir, max_fit_rows: int | None = None):
     if max_fit_rows is not None:
         fit = K.sample_n(s.where(F.col("split") == "train"), max_fit_rows, ["article_id", "week"], P.RANDOM_SEED)
         s = fit.unionByName(s.where(F.col("split") == "test"))
-    s = group_rare(s.where(F.col("split") == "train"), s, ML.DEMAND_CAT, 50)
     s = s.cache()
     s.count()  # materialise once so model fit times exclude data preparation
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")

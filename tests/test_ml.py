@@ -49,3 +49,62 @@ def test_week_blocks_are_expanding_and_ordered(spark):
                                                  F.count("*").alias("n")).orderBy("block").collect()
     assert [r.block for r in b] == [0, 1, 2, 3]
     assert all(b[i].hi < b[i + 1].lo for i in range(3))
+
+
+def test_ridge_from_sums_equals_mllib(spark):
+    """Every penalty of a grid from one pass, against a fit each."""
+    import numpy as np
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from mercato.ml import ridge
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3)) * [1, 20, 0.1] + [0, 5, 3]
+    cat = rng.integers(0, 6, 3000)
+    y = x @ [1.5, -0.2, 7] + cat * 0.3 + rng.normal(size=3000)
+    df = spark.createDataFrame([(*map(float, a), 4.0, float(c), float(t)) for a, c, t in zip(x, cat, y)],
+                               "a double, b double, c double, same double, k double, y double").repartition(5)
+    df = OneHotEncoder(inputCols=["k"], outputCols=["o"], dropLast=True).fit(df).transform(df)
+    df = VectorAssembler(inputCols=["a", "b", "c", "same", "o"], outputCol="features").transform(df)
+    penalties = (0.0, 0.1, 1.0, 10.0)
+    for penalty, got in zip(penalties, ridge.fit(df, "y", penalties)):
+        want = LinearRegression(labelCol="y", regParam=penalty, elasticNetParam=0.0, solver="normal").fit(df)
+        assert np.abs(got.coefficients.toArray() - want.coefficients.toArray()).max() < 1e-6
+        assert abs(got.intercept - want.intercept) < 1e-6
+        both = got.transform(df).select("k", "a", "b", "c", F.col("prediction").alias("p")).join(
+            want.transform(df), ["k", "a", "b", "c"])
+        gap, size = both.agg(F.max(F.abs(F.col("p") - F.col("prediction"))), F.max(F.abs("prediction"))).first()
+        assert gap < 1e-6 * size  # of the predictions; MLlib iterates where the constant column has no penalty
+
+
+def test_ridge_of_a_constant_label_is_its_mean(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from mercato.ml import ridge
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), 2.5) for i in range(9)], ["features", "y"])
+    model = ridge.fit(df, "y", [0.0])[0]
+    assert model.coefficients.toArray().tolist() == [0.0] and model.intercept == pytest.approx(2.5)
+    with pytest.raises(ValueError):
+        ridge.fit(df.where("y < 0"), "y", [0.0])
+
+
+def test_rare_categories_are_counted_inside_the_fold(spark, tmp_path):
+    """A category rare in the first fold's training rows but frequent later
+    is grouped there, and the fitted stage survives saving."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from mercato.ml.preprocess import INFREQUENT, RareCategories
+    rows = [(b, v) for b, v, n in [(0, "old", 80), (0, "late", 3), (1, "old", 60), (1, "late", 90), (1, None, 55)] for _ in range(n)]
+    df = spark.createDataFrame(rows, "block int, c string")
+    early = RareCategories(["c"], 50).fit(df.where("block <= 0"))
+    whole = Pipeline(stages=[RareCategories(["c"], 50)]).fit(df)
+    whole.write().overwrite().save(str(tmp_path / "m"))
+    counts = lambda m: {r[0]: r["count"] for r in m.transform(df).groupBy("c").count().collect()}
+    assert counts(early) == {"old": 140, INFREQUENT: 148}
+    assert counts(whole) == counts(PipelineModel.load(str(tmp_path / "m"))) == {"old": 140, "late": 93, "missing": 55}
+    assert counts(RareCategories(["c"], 500).fit(df)) == {INFREQUENT: 288}
+
+    cfg = ML.ModelConfig("Ridge", "ridge", [{"regParam": 0.1}], True)
+    data = df.withColumn("x", F.rand(3)).withColumn("units_sold", F.lit(2.0) + F.col("x"))
+    prep = ML._prep(cfg, data.where("block <= 0"), ["x"], ["c"])
+    assert prep.stages[0].getOrDefault("frequent") == {"c": ["old"]}
