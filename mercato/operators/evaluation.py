@@ -96,11 +96,11 @@ def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def _desc_points(df: DataFrame, y: str, p: str) -> DataFrame:
     """Distinct scores in descending order with their global rank and
-    inclusive cumulative positive / negative counts."""
+    inclusive cumulative positive / negative counts, and the next score's counts."""
     sc = score_counts(df, y, p).withColumn("_one", F.lit(1).cast("long"))
-    cum = running_totals(sc, [("score", False)], ["pos", "neg", "_one"])
-    return cum.select("score", "pos", "neg", F.col("cum__one").alias("rank"), "cum_pos", "cum_neg",
-                      "total_pos", "total_neg", F.col("total__one").alias("n_points"))
+    cum = running_totals(sc, [("score", False)], ["pos", "neg", "_one"], following=True)
+    return cum.select("score", "pos", "neg", F.col("cum__one").alias("rank"), "cum_pos", "cum_neg", "total_pos", "total_neg",
+                      F.col("total__one").alias("n_points"), "next_pos", "next_neg")
 
 
 def roc_points(df: DataFrame, y: str, p: str, drop_intermediate: bool = True) -> DataFrame:
@@ -109,14 +109,12 @@ def roc_points(df: DataFrame, y: str, p: str, drop_intermediate: bool = True) ->
     descending order. With ``drop_intermediate`` a point is kept only when
     it is the first or last, or when the next score's positive / negative
     counts differ from its own (otherwise it lies on a straight segment).
-    The next row comes from an equi-join on the global rank (1:1, no skew)."""
+    The next score's counts come with the ranked scores, without a join on
+    the rank."""
     pts = _desc_points(df, y, p)
     if drop_intermediate:
-        nxt = pts.select((F.col("rank") - 1).alias("rank"), F.col("pos").alias("_npos"),
-                         F.col("neg").alias("_nneg"))
-        pts = pts.join(nxt, "rank", "left").where(
-            (F.col("rank") == 1) | (F.col("rank") == F.col("n_points"))
-            | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
+        pts = pts.where((F.col("rank") == 1) | (F.col("rank") == F.col("n_points"))
+                        | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     curve = pts.select(F.col("score").alias("threshold"),
                        F.try_divide(F.col("cum_neg"), F.col("total_neg")).alias("fpr"),
                        F.try_divide(F.col("cum_pos"), F.col("total_pos")).alias("tpr"))

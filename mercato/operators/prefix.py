@@ -51,13 +51,16 @@ def _same(a: DataFrame, b: DataFrame, cols: Sequence[str], prefix: str) -> Colum
 
 def running_totals(df: DataFrame, order: Sequence, sums: Sequence[str],
                    by: Sequence[str] = (), buckets: int | None = None,
-                   prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_", following: bool = False) -> DataFrame:
     """Add ``{prefix}{s}`` = Σ s over rows up to and including this one in
     ``order`` (within ``by`` groups; a null group is a group), plus
     ``total_{s}`` per group.
 
     Rows must be distinct on (by, order) — collapse ties first (aggregate to
-    one row per distinct key), which is what every caller does.
+    one row per distinct key), which is what every caller does. With
+    ``following``, ``next_{s}`` is the value of s in the next row (null for
+    the last): inside a range by the window that has the running sums, at its
+    end the first value of the range behind it.
     """
     spark = df.sparkSession
     by = list(by)
@@ -66,23 +69,30 @@ def running_totals(df: DataFrame, order: Sequence, sums: Sequence[str],
     ranged = stored(df.repartitionByRange(nb, *[F.col(b) for b in by], *ocols)
                       .withColumn(_BKT, F.spark_partition_id()), "ranges")
     # one row per (group, range): bounded by buckets + number of groups
-    totals = ranged.groupBy(*by, _BKT).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    inner = W.partitionBy(*by, _BKT).orderBy(*ocols)
+    numbered = ranged
+    if following:
+        numbered = ranged.select("*", (F.row_number().over(inner) == 1).alias("_head"),
+                                 *[F.lead(s).over(inner).alias(f"_n_{s}") for s in sums])
+    heads = [F.max(F.when(F.col("_head"), F.col(s))).alias(f"_f_{s}") for s in sums if following]
+    totals = numbered.groupBy(*by, _BKT).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums], *heads)
     wb = W.partitionBy(*by).orderBy(_BKT) if by else W.orderBy(_BKT)
     offsets = totals.select(
         *[F.col(b).alias(f"_g_{b}") for b in by], F.col(_BKT).alias(f"_g_{_BKT}"),
         *[F.coalesce(F.sum(f"_t_{s}").over(wb.rowsBetween(W.unboundedPreceding, -1)),
                      F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(W.partitionBy(*by) if by else W.partitionBy())
-          .alias(f"total_{s}") for s in sums])
+          .alias(f"total_{s}") for s in sums],
+        *[F.lead(f"_f_{s}").over(wb).alias(f"_b_{s}") for s in sums if following])
     if not by:
         offsets = F.broadcast(offsets)  # at most `nb` rows
-    inner = W.partitionBy(*by, _BKT).orderBy(*ocols).rowsBetween(W.unboundedPreceding, 0)
-    within = ranged.select("*", *[F.sum(s).over(inner).alias(f"_i_{s}") for s in sums])
+    within = numbered.select("*", *[F.sum(s).over(inner.rowsBetween(W.unboundedPreceding, 0)).alias(f"_i_{s}") for s in sums])
     out = within.join(offsets, _same(within, offsets, [_BKT, *by], "_g_"), "inner")
     return out.select(
         *[within[c] for c in df.columns],
         *[(F.col(f"_o_{s}") + F.col(f"_i_{s}")).alias(f"{prefix}{s}") for s in sums],
-        *[F.col(f"total_{s}") for s in sums])
+        *[F.col(f"total_{s}") for s in sums],
+        *[F.coalesce(F.col(f"_n_{s}"), F.col(f"_b_{s}")).alias(f"next_{s}") for s in sums if following])
 
 
 # The sketch's rank error is 1 / accuracy of a group's rows; a bracket is four

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as C
 from ..functions.random import uniform
 from ..session import stored
-from .prefix import percentile_row, running_totals, with_scalars
+from .prefix import percentile_row, with_scalars
 
 
 def top_k(df: DataFrame, k: int, by: str, ascending: bool = False, key: str = "article_id") -> DataFrame:
@@ -101,47 +101,78 @@ def histogram_to_quantile(df: DataFrame, col: str, bins: int, q: float = 0.99,
     return (x.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
 
 
-# X1 -------------------------------------------------------------------------
-def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
+# X1, X2 ---------------------------------------------------------------------
+# A draw is a whole number of 32 bits. Its first 13 bits are its cell; a cell
+# that a sample ends in is divided by the next bits while it holds more rows
+# than one task orders.
+_SHIFTS = (19, 6, 0)
+FEW_ROWS = 100_000
+
+
+def _draw(keys: Sequence[str], salt: str) -> Column:
+    return F.floor(uniform(list(keys), salt) * F.lit(float(2 ** 32))).cast("long")
+
+
+def _cuts(df: DataFrame, by: Sequence[str], keys: Sequence[str], salt: str, quota: Column, few: int = FEW_ROWS) -> DataFrame:
+    """The last row that each group's sample takes, in the order of draw and
+    keys: ``by``, ``_draw``, ``_last`` (a struct of the keys); ``quota`` of
+    the group's row count ``_size`` is its sample's size, and a group that
+    takes no row has no cut. Only ``by`` and ``keys`` are read; of the rows,
+    only those of the cells that the samples end in are ordered."""
+    rows = df.select(*dict.fromkeys([*by, *keys])).withColumn("_draw", _draw(keys, salt))
+    whole = W.partitionBy(*by) if by else W.partitionBy()
+    ends, inside = None, rows
+    for shift in _SHIFTS:
+        # at most 8,192 cells a group
+        cells = inside.groupBy(*by, *(["_rest"] if ends is not None else []), F.shiftright("_draw", shift).alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        if ends is None:
+            cells = cells.withColumn("_size", F.sum("_n").over(whole)).withColumn("_rest", quota.cast("long"))
+        upto = F.sum("_n").over(whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0))
+        ends = stored(cells.withColumn("_upto", upto)
+                      .where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest")))
+                      .select(*[F.col(b).alias(f"_g_{b}") for b in by], "_cell", "_n",
+                              (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest")), "cuts")
+        same = F.shiftright(rows["_draw"], shift) == ends["_cell"]
+        for b in by:
+            same = same & rows[b].eqNullSafe(ends[f"_g_{b}"])
+        inside = rows.join(ends, same).select(*[rows[c] for c in rows.columns], "_rest")
+        if (ends.agg(F.max("_n")).first()[0] or 0) <= few:
+            break
+    rank = F.row_number().over(whole.orderBy("_draw", *keys))
+    return inside.withColumn("_rank", rank).where("_rank = _rest").select(*by, "_draw", F.struct(*keys).alias("_last"))
+
+
+def _taken(draw: Column, keys: Sequence[str], cut: Column, last: Column) -> Column:
+    return (draw < cut) | ((draw == cut) & (F.struct(*keys) <= last))
+
+
+def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42, few: int = FEW_ROWS) -> DataFrame:
     """Exact-n sample without replacement: the n rows with the smallest
-    seeded hash of their key (independent of partitioning). Rows whose hash is
-    over a threshold that n rows almost surely pass are dropped at the scan;
-    the rest are ranked by range-partitioned running counts, so no single
-    task holds the sample. Should fewer than n pass, all rows are ranked."""
-    total = df.count()
-    base = (df.withColumn("_u", uniform(list(keys), f"sample:{seed}"))
-              .withColumn("_one", F.lit(1).cast("long")))
-    bound = _threshold(n, total)
-    cum = running_totals(base.where(F.col("_u") <= F.lit(bound)), ["_u", *keys], ["_one"])
-    if bound < 1.0 and (cum.agg(F.max("total__one")).first()[0] or 0) < min(n, total):
-        cum = running_totals(base, ["_u", *keys], ["_one"])
-    return cum.where(F.col("cum__one") <= n).drop("_u", "_one", "cum__one", "total__one")
-
-
-def _threshold(n: int, total: int) -> float:
-    """A share of ``total`` draws that holds ``n`` but once in 10^15 times."""
-    return min(1.0, (n + 8 * n ** 0.5 + 64) / max(total, 1))
-
-
-# X2 -------------------------------------------------------------------------
+    seeded hash of their keys, which identify a row (independent of
+    partitioning). A count table over cells of the hash finds the cell that
+    the n-th row is in, that cell is ordered, and the sample is a filter of
+    the scan: no payload is shuffled or written."""
+    salt = f"sample:{seed}"
+    if n <= 0:
+        return df.limit(0)
+    cut = _cuts(df, [], keys, salt, F.least(F.lit(int(n)), F.col("_size")), few).first()
+    if cut is None:  # no rows
+        return df
+    names = list(keys)
+    last = F.struct(*[F.lit(cut["_last"][k]).cast(df.schema[k].dataType).alias(k) for k in names])
+    return df.where(_taken(_draw(names, salt), names, F.lit(cut["_draw"]), last))
+
+
 def sample_stratified(df: DataFrame, strata: str, fraction: float, keys: Sequence[str],
-                      seed: int = 42) -> DataFrame:
+                      seed: int = 42, few: int = FEW_ROWS) -> DataFrame:
     """Keep ceil(fraction x stratum size) rows of each stratum (a null
-    stratum is one), chosen by seeded hash. Rows far over a stratum's share
-    are dropped first; the rank of the rest comes from range-partitioned
-    running counts, so a hot stratum is spread over many tasks."""
-    base = (df.withColumn("_u", uniform(list(keys), f"strat:{seed}"))
-              .withColumn("_one", F.lit(1).cast("long")))
-    quota = F.ceil(F.count(F.lit(1)) * F.lit(float(fraction)))
-    sizes = stored(df.groupBy(F.col(strata).alias("_stratum")).agg(
-        F.count(F.lit(1)).alias("_size"), quota.alias("_quota")), "strata")
-    near = (F.col("_quota") + F.lit(8.0) * F.sqrt(F.col("_quota").cast("double")) + 64) / F.col("_size")
-    rows = base.join(sizes, base[strata].eqNullSafe(sizes["_stratum"])).drop("_stratum", "_size")
-    with_near = base.join(sizes, base[strata].eqNullSafe(sizes["_stratum"])).where(F.col("_u") <= near).drop("_stratum", "_size")
-    cum = running_totals(with_near, ["_u", *keys], ["_one"], by=[strata])
-    short = cum.where(F.col("total__one") < F.col("_quota")).limit(1).count()
-    kept = cum.select(strata).distinct().count()
-    if short or kept < sizes.where("_quota > 0").count():
-        cum = running_totals(rows, ["_u", *keys], ["_one"], by=[strata])
-    return (cum.where(F.col("cum__one") <= F.col("_quota"))
-               .drop("_u", "_one", "_quota", "cum__one", "total__one"))
+    stratum is one), those with the smallest seeded hash of their keys. The
+    cuts are found as for ``sample_n``, one row per stratum, and joined to the
+    scan; the planner broadcasts them if they are under its size threshold."""
+    salt, names = f"strat:{seed}", list(keys)
+    quota = F.ceil(F.col("_size") * F.lit(float(fraction)))
+    cuts = stored(_cuts(df, [strata], names, salt, quota, few), "cuts").withColumnRenamed(strata, "_stratum")
+    kept = df[strata].eqNullSafe(cuts["_stratum"]) & _taken(
+        _draw([df[k] for k in names], salt), [df[k] for k in names], cuts["_draw"], cuts["_last"])
+    return df.join(cuts, kept, "left_semi")

@@ -49,6 +49,40 @@ def test_small_samples_and_null_strata(spark):
     assert got == {None: 125, "a": 375}
 
 
+def test_samples_equal_a_plain_order(many):
+    """Cells divided down to single draws (``few`` = 1) and not at all."""
+    from mercato.functions.random import uniform
+    df = many.where("k < 50000").withColumn("day", F.expr("date'2020-01-01' + cast(k % 7 as int)"))
+    for few in (1, 10, 10 ** 9):
+        u = uniform(["k", "day"], "sample:3")
+        want = {r["k"] for r in df.orderBy(u, "k", "day").limit(777).collect()}
+        assert {r["k"] for r in K.sample_n(df, 777, ["k", "day"], 3, few=few).collect()} == want
+        w = W.partitionBy("stratum")
+        want = (df.withColumn("_r", F.row_number().over(w.orderBy(uniform(["k"], "strat:3"), "k")))
+                .withColumn("_n", F.count(F.lit(1)).over(w)).where("_r <= ceil(_n * 0.013)"))
+        got = K.sample_stratified(df, "stratum", 0.013, ["k"], 3, few=few)
+        assert {r["k"] for r in got.collect()} == {r["k"] for r in want.collect()}
+    assert K.sample_n(df, 0, ["k"]).count() == 0 and K.sample_n(df.limit(0), 5, ["k"]).count() == 0
+    assert K.sample_stratified(df, "stratum", 0.0, ["k"]).count() == 0
+
+
+def test_a_sample_is_a_filter_of_the_scan(many, tmp_path):
+    many.where("k < 5000").write.parquet(str(tmp_path / "t"))
+    df = many.sparkSession.read.parquet(str(tmp_path / "t"))
+    plan = K.sample_n(df, 100, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_next_rows_across_ranges(many):
+    df = many.where("k < 20000").select("k", F.pmod(F.xxhash64("k"), F.lit(100)).alias("v"))
+    for by, order in (([], [("k", False)]), (["v"], ["k"])):
+        got = running_totals(df.withColumn("x", F.col("k") * 3), order, ["x"], by=by, buckets=16, following=True)
+        w = W.partitionBy(*by).orderBy(F.col("k").desc() if not by else F.col("k"))
+        want = df.withColumn("x", F.col("k") * 3).withColumn("next_x", F.lead("x").over(w))
+        pick = ["k", "x", "next_x"]
+        assert got.select(*pick).exceptAll(want.select(*pick)).isEmpty() and got.count() == want.count()
+
+
 def test_roc_points_equal_a_plain_window(many):
     df = many.limit(400_000).withColumn("y", (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(3)) == 0).cast("int"))
     got = E.roc_points(df, "y", "score")
@@ -61,6 +95,8 @@ def test_roc_points_equal_a_plain_window(many):
         F.col("score").alias("threshold"), (F.col("fp") / tot[1]).alias("fpr"), (F.col("tp") / tot[0]).alias("tpr"))
     a = got.agg(F.count("threshold"), F.sum("fpr"), F.sum("tpr")).first()
     b = want.agg(F.count("threshold"), F.sum("fpr"), F.sum("tpr")).first()
+    # the scores are ranked without a join on their rank
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
 
 
