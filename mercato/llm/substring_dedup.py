@@ -7,13 +7,16 @@ in a window whose words also start in a document with a smaller doc_id.
    hash is its anchor, so equal windows have equal anchors wherever they
    stand, and a document has few of them (two in ``WINDOW - GRAM + 2``
    words, about). Only anchors of two or more documents go on.
-2. Confirmation. Around those, every window is counted by its own hash and
-   its anchor's: a window of two or more documents recurs, and its first
-   document is known. Consecutive recurring windows of their first document
-   are one passage.
-3. Automata. Documents with candidates are dealt out into slices of bounded
-   size; a slice gets the passages that share an anchor with one of its
-   documents of larger id. Of each block of half a window it compiles the
+2. Confirmation. Documents with candidates are dealt out into slices of
+   bounded size. Around their anchors, every window is counted by its own
+   hash and the slice, then over the slices: a window of two or more
+   documents recurs, its first document is known, and so are the slices that
+   have it. Consecutive recurring windows of their first document are
+   passages, of ``PIECE`` windows at most.
+3. Automata. A slice gets the passages that share a window with one of its
+   documents of larger id, so what is sent to it is bounded by the windows
+   of its own documents, however many others share a phrase shorter than a
+   window. Of each block of half a window it compiles the
    first half, a phrase, into a pyahocorasick automaton (any window of a
    passage holds a whole block) and streams its documents through it. The
    windows around each phrase that occurs are looked up among the passages'
@@ -27,7 +30,8 @@ Documents without a repeated anchor need no automaton and move no text.
 Cases: a null text has no words; texts shorter than a window lose nothing;
 very long texts are one row but read and hashed by arrays; rows that repeat
 a doc_id never remove each other's words; a null doc_id counts as larger
-than any other; an empty table gives an empty result. Other columns are not
+than any other; such rows are told apart by their texts and dealt out over
+all slices, equal ones too; an empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -41,11 +45,13 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import shuffle_partitions, stored, table
 
 WINDOW, GRAM = 50, 16
 SLICE_ANCHORS = 16_000  # repeated anchors of the documents of a slice, about
+PIECE = 256            # windows of a passage, at most
 LAST_ID = 2 ** 63 - 1  # stands for a null doc_id
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2 ** 64)
@@ -94,20 +100,20 @@ class Words:
 
 
 def document_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, id): the distinct anchors of every document."""
+    """(anchor, row, id): the distinct anchors of every document."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                anchors, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = np.unique(Words(text).anchors(window, gram)[1])
-                    anchors.append(own)
-                    ids.append(np.full(len(own), i, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(ids))],
-                                                 ["anchor", "id"])
+                anchors, counts = [np.zeros(0, np.uint64)], []
+                for text in part.column(2).to_pylist():
+                    anchors.append(np.unique(Words(text).anchors(window, gram)[1]))
+                    counts.append(len(anchors[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)),
+                                                  *(pa.array(np.repeat(np.asarray(part.column(c)), counts)) for c in (0, 1))],
+                                                 ["anchor", "row", "id"])
 
-    return docs.select("id", "text").mapInArrow(rows, "anchor long, id long")
+    return docs.select("row", "id", "text").mapInArrow(rows, "anchor long, row long, id long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -117,61 +123,70 @@ def packed(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = ZstdCompressor(level=3).compress
         for batch in batches:
-            made = pa.array([zip_(t.as_py().encode()) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["id", "doc_id", "packed"])
+            made = pa.array([zip_(t.as_py().encode()) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), made], ["row", "id", "doc_id", "packed"])
 
-    return docs.select("id", "doc_id", "text").mapInArrow(rows, "id long, doc_id long, packed binary")
+    return docs.select("row", "id", "doc_id", "text").mapInArrow(rows, "row long, id long, doc_id long, packed binary")
 
 
 def candidate_windows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, window, id, at): every window with a repeated anchor."""
+    """(window, slice, id, at): every window with a repeated anchor."""
     from zstandard import ZstdDecompressor
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = ZstdDecompressor().decompress
         for batch in batches:
-            for i, data, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for part, i, data, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 own = Words(unzip(data.as_py()).decode())
                 repeated = np.asarray(anchors.values).view(np.uint64)
-                _, anchor = own.anchors(window, gram)
-                at = np.flatnonzero(np.isin(anchor, repeated))
+                at = np.flatnonzero(np.isin(own.anchors(window, gram)[1], repeated))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor[at].view(np.int64)), pa.array(own.runs(window)[at].view(np.int64)),
-                    pa.array(np.full(len(at), i, np.int64)), pa.array(at)], ["anchor", "window", "id", "at"])
+                    pa.array(own.runs(window)[at].view(np.int64)), pa.array(np.full(len(at), part, np.int64)),
+                    pa.array(np.full(len(at), i, np.int64)), pa.array(at)], ["window", "slice", "id", "at"])
 
-    return candidates.select("id", "packed", "anchors").mapInArrow(rows, "anchor long, window long, id long, at long")
+    return candidates.select("slice", "id", "packed", "anchors").mapInArrow(rows, "window long, slice long, id long, at long")
 
 
-def passages(recurring: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """(id, start, passage, anchors): runs of recurring windows in their first
-    document, with their words and the anchors that lead to them."""
+def recurring_windows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
+    """(slice, last, id, at, lead): per recurring window and slice that has it
+    the largest id there and the window's first document and place; ``lead``
+    marks one row of each window. A window that a third of all documents share
+    is combined per slice first, then has one row per slice."""
+    per = candidate_windows(candidates, window, gram).groupBy("window", "slice").agg(
+        F.min("id").alias("id"), F.min_by("at", "id").alias("at"), F.max("id").alias("last"))
+    of = W.partitionBy("window")
+    first = per.withColumn("_n", F.row_number().over(of.orderBy("id", "slice"))).select(
+        "slice", "last", F.first("id").over(of.orderBy("id", "slice")).alias("id"),
+        F.first("at").over(of.orderBy("id", "slice")).alias("at"), (F.col("_n") == 1).alias("lead"),
+        F.max("last").over(of).alias("_most"))
+    return first.where("id < _most").drop("_most")
+
+
+def passages(recurring: DataFrame, candidates: DataFrame, window: int, piece: int) -> DataFrame:
+    """(id, piece, passage): runs of recurring windows in their first
+    document, with their words. ``piece`` numbers the stretches of so many
+    places that a run starts and ends in."""
     from zstandard import ZstdCompressor, ZstdDecompressor
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_, unzip = ZstdCompressor(level=3).compress, ZstdDecompressor().decompress
         for batch in batches:
-            out = ([], [], [], [])
+            out = ([], [], [])
             for i, data, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = unzip(data.as_py()).split()
-                at, anchor = (np.asarray(found.values.field(k)) for k in (0, 1))
-                order = np.argsort(at, kind="stable")
-                at, anchor = at[order], anchor[order]
-                cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                for starts, own in zip(np.split(at, cuts), np.split(anchor, cuts)):
-                    text = b" ".join(words[starts[0]:starts[-1] + window])
-                    if starts[0] + window > len(words):
+                at = np.sort(np.asarray(found.values))
+                for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(at // piece) != 0)) + 1):
+                    if run[0] + window > len(words):
                         continue  # found in another text of this id
-                    for col, value in zip(out, (i, int(starts[0]), zip_(text), np.unique(own).tolist())):
+                    for col, value in zip(out, (i, int(run[0]) // piece, zip_(b" ".join(words[run[0]:run[-1] + window])))):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                                              pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))],
-                                             ["id", "start", "passage", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
+                                             ["id", "piece", "passage"])
 
-    of = recurring.groupBy("id").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
+    of = recurring.where("lead").groupBy("id").agg(F.collect_list("at").alias("found"))
     # every text that an id has gives passages; a repeated row gives the same ones
-    texts = candidates.select("id", "packed")
-    return texts.join(of, "id").select("id", "packed", "found").mapInArrow(
-        rows, "id long, start long, passage binary, anchors array<long>").dropDuplicates(["id", "start", "passage"])
+    return candidates.select("id", "packed").join(of, "id").select("id", "packed", "found").mapInArrow(
+        rows, "id long, piece long, passage binary").dropDuplicates(["id", "piece", "passage"])
 
 
 class Automaton:
@@ -313,40 +328,50 @@ def untouched(docs: DataFrame, keep_text: bool) -> DataFrame:
                 cols = [part.column(0), part.column(1), pa.array([len(w) for w in words], pa.int64()),
                         pa.array([0] * len(words), pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([k.decode() for k in kept], pa.string())] * keep_text,
-                                                 ["id", "doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
+                                                 ["row", "doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
 
-    return docs.select("id", "doc_id", "text").mapInArrow(rows, "id long, " + REMOVED + (", text string" if keep_text else ""))
+    return docs.select("row", "doc_id", "text").mapInArrow(rows, "row long, " + REMOVED + (", text string" if keep_text else ""))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, slice_anchors: int = SLICE_ANCHORS,
-                   keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and the
-    kept text with ``keep_text``)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-                       F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def dealt_out(docs: DataFrame, window: int, gram: int, slice_anchors: int, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """The documents with repeated anchors and their slices, and the passages
+    that each slice needs."""
     # 1. anchors of two or more documents, and the documents that have them
     anchors = stored(document_anchors(docs, window, gram), "anchors")
     repeated = stored(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"))
                       .where("a < b").select("anchor"), "repeated")
-    hits = stored(anchors.join(repeated, "anchor", "left_semi"), "hits")
-    of = stored(hits.groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "of")
-    candidates = stored(packed(docs).join(of, "id"), "candidates")
-    # 2. recurring windows, as passages of their first document
-    seen = candidate_windows(candidates, window, gram).groupBy("anchor", "window").agg(
-        F.min("id").alias("id"), F.min_by("at", "id").alias("at"), F.max("id").alias("last"))
-    found = stored(passages(seen.where("id < last").select("id", "at", "anchor"), candidates, window), "passages")
-    # 3. slices of bounded size, and the passages that each needs
+    hits = stored(anchors.join(repeated, "anchor", "left_semi").select("anchor", "row"), "hits")
+    of = hits.groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    # 2. slices of bounded size; a document's is drawn as it is stored, so rows that are equal are spread too
     slices = max(1, -(-hits.count() // slice_anchors))
-    slice_of = F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice")
-    where = hits.select("anchor", slice_of, F.col("id").alias("most")).groupBy("anchor", "slice").agg(F.max("most").alias("most"))
-    needed = (found.select("id", "start", F.explode("anchors").alias("anchor")).join(where, "anchor")
-              .where("most > id").select("slice", "id", "start").distinct())
-    null_id = F.lit(None).cast("long").alias("doc_id")
-    compiled = needed.join(found, ["id", "start"]).select(
-        "slice", F.lit(0).alias("kind"), "id", null_id, F.col("passage").alias("data"))
-    streamed = candidates.select(slice_of, F.lit(1).alias("kind"), "id", "doc_id", F.col("packed").alias("data"))
+    drawn = F.pmod(F.xxhash64("row", F.monotonically_increasing_id()), F.lit(slices))
+    candidates = stored(packed(docs).join(of, "row").withColumn("slice", drawn), "candidates")
+    # recurring windows, as passages of their first document, and the slices that have them
+    recurring = stored(recurring_windows(candidates, window, gram), "recurring")
+    found = passages(recurring, candidates, window, piece)
+    needed = (recurring.where("last > id")
+              .select("slice", "id", F.floor(F.col("at") / F.lit(piece)).cast("long").alias("piece")).distinct())
+    return candidates, needed.join(found, ["id", "piece"]).select("slice", "id", "passage")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, the id that orders it, text, and a hash of both that stands for the row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.xxhash64(doc_id, text).alias("row"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"),
+                       doc_id.alias("doc_id"), text.alias("text"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, slice_anchors: int = SLICE_ANCHORS,
+                   keep_text: bool = False, piece: int = PIECE) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and the
+    kept text with ``keep_text``)."""
+    docs = numbered(docs)
+    candidates, needed = dealt_out(docs, window, gram, slice_anchors, piece)
+    # 3. each slice's passages, then its documents
+    compiled = needed.select("slice", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("doc_id"), F.col("passage").alias("data"))
+    streamed = candidates.select("slice", F.lit(1).alias("kind"), "id", "doc_id", F.col("packed").alias("data"))
     done = slice_stream(compiled.unionByName(streamed), window, keep_text)
-    rest = untouched(docs, keep_text).join(of.select("id"), "id", "left_anti").drop("id")
+    rest = untouched(docs, keep_text).join(candidates.select("row").distinct(), "row", "left_anti").drop("row")
     return done.unionByName(rest)
 
 
