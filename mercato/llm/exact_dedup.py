@@ -27,9 +27,17 @@ from pyspark.sql import Window as W
 from .common import SPACE, first_row, keyed, own_name, same_row, stored, table, text_or_empty
 
 MIN_CHARS, MAX_CHARS = 256, 2048
-# A chunk ends after one of these pairs: about one place in a hundred in
-# prose of Latin letters. A text without them is cut at ``max_chars``.
-DIVISOR = "(?:[es] [a-d]|[nt] [lm]|r [oq]|[.!?][ ])"
+# A chunk ends at a place that the characters around it choose, about one in a
+# hundred. Latin letters: after one of a few pairs. Other scripts with spaces:
+# after a word of two letters between others. Scripts without spaces: after a
+# character whose last byte is in a small range (a rule over the blocks of
+# Han, kana and Hangul; one letter each of Thai, Lao, Burmese and Khmer). A
+# text without such places (a run of one character) is cut at ``max_chars``.
+LATIN = "[es] [a-d]|[nt] [lm]|r [oq]|[.!?][ ]"
+SPACED = r"[^\x00-\x7F] [^\x00-\x7F]{2} (?=[^\x00-\x7F])"
+UNSPACED = "[" + "\u0e18\u0e98\u1018\u1798" + "".join(
+    f"{chr(block << 8 | 0x60)}-{chr(block << 8 | 0x62)}" for block in range(0x30, 0xD7)) + "]"
+DIVISOR = rf"(?:{LATIN}|(?=[^\x00-\x7F])(?:{SPACED}|{UNSPACED}))"
 
 
 def normalised(text: Column) -> Column:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from mercato.llm import exact_dedup as op
@@ -62,3 +63,24 @@ def test_empty_table(spark):
 def test_plan_has_no_python(spark):
     plan = op.exact_groups(hard.frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("script", ["latin", "cyrillic", "greek", "arabic", "han", "kana", "hangul", "thai"])
+def test_chunks_survive_an_insertion_in_any_script(spark, script):
+    """A text with characters put in front, and one changed in its middle,
+    share most chunks with the text."""
+    rng = random.Random(script)
+    first, last, spaced = {"latin": (0x61, 0x7A, True), "cyrillic": (0x430, 0x44F, True), "greek": (0x3B1, 0x3C9, True),
+                           "arabic": (0x627, 0x64A, True), "han": (0x4E00, 0x9FA5, False), "kana": (0x3041, 0x3093, False),
+                           "hangul": (0xAC00, 0xD7A3, False), "thai": (0xE01, 0xE2E, False)}[script]
+    letters = [chr(c) for c in range(first, last + 1)]
+    text = (" " if spaced else "").join("".join(rng.choices(letters, k=rng.choice([1, 2, 2, 3, 4, 5, 6, 7, 8, 9])))
+                                        for _ in range(6000))
+    half = len(text) // 2
+    texts = [text, letters[0] * 3 + text, text[:half] + letters[1] + text[half:]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(op.chunks_of(F.col("text"))).collect()]
+    assert ["".join(c) for c in got] == texts
+    assert max(map(len, got[0][:-1])) <= op.MAX_CHARS + 8 and len(got[0]) >= 20
+    for other in got[1:]:
+        assert len(set(got[0]) & set(other)) > 0.6 * len(got[0])
