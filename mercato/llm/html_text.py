@@ -9,8 +9,8 @@ their mark and indent, table cells aligned in columns, preformatted text as
 it is, other white space collapsed.
 
 Cases: a null or empty page has an empty text; broken markup is read as far
-as it goes and never fails; length is not limited and the walk does not recurse; below
-``MAX_DEPTH`` elements stand side by side; cell lines over ``MAX_PAD`` do not
+as it goes and never fails; length and depth are not limited and the walk does not
+recurse; beyond ``MAX_INDENT`` lists and quotes inside each other are not indented further; cell lines over ``MAX_PAD`` do not
 widen their column;
 repeated rows are rendered alike; an empty table gives an empty result.
 Other columns are not read.
@@ -63,8 +63,9 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-MAX_PAD, MAX_SPAN = 60, 1000
-MAX_DEPTH = 512  # elements below are kept, side by side, as browsers do
+MAX_PAD = 60
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}  # fixed values of HTML
+MAX_INDENT = 100  # of marks and quotes around a line
 
 
 class Node:
@@ -85,18 +86,22 @@ def parse(source: str) -> Node:
     """The tree of a page; text is ``str`` among the children."""
     root = Node("#root", {})
     stack, at, n = [root], 0, len(source)
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
 
     def say(text: str) -> None:
         if text:
             stack[-1].inside.append(html.unescape(text))
 
     def close(ended: set, fence: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ended:
-                del stack[i:]
-                return
-            if stack[i].tag in fence:
-                return
+        """End the innermost open element of ``ended`` if none of ``fence`` is
+        inside it; steps grow with the tags that are open, not with depth."""
+        first = max((places[t][-1] for t in ended if t in places), default=0)
+        if first and first > max((at[-1] for t, at in places.items() if t in fence), default=0):
+            for node in stack[first:]:
+                places[node.tag].pop()
+                if not places[node.tag]:
+                    del places[node.tag]
+            del stack[first:]
 
     last = source.rfind(">")  # nothing after it is a tag
     while at < n:
@@ -132,7 +137,8 @@ def parse(source: str) -> Node:
             if raw:
                 node.inside.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end()
-        elif tag not in VOID and len(stack) < MAX_DEPTH and not (m["attrs"].endswith("/") and tag in ("path", "circle", "rect", "use")):
+        elif tag not in VOID and not (m["attrs"].endswith("/") and tag in ("path", "circle", "rect", "use")):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -159,9 +165,9 @@ class Flow:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            lead = "".join(self.indent)
+            lead = "".join(self.indent[:MAX_INDENT])
             if self.mark:
-                lead = lead[:len(lead) - len(self.mark)] + self.mark
+                lead = (lead[:len(lead) - len(self.mark)] if len(self.indent) <= MAX_INDENT else lead) + self.mark
                 self.mark = ""
             self.line.append(lead)
             self.space = False
@@ -255,7 +261,7 @@ class Grid:
 
 def _span(node: Node, name: str) -> int:
     value = node.attrs.get(name, "1")
-    return min(MAX_SPAN, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+    return min(MAX_SPAN[name], max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
 def render(root: Node) -> str:

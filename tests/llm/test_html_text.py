@@ -64,6 +64,19 @@ def test_broken_and_hostile_pages():
     assert time.time() - started < 60
 
 
+def test_deep_pages_are_read_like_flat_ones():
+    """Hidden text, tables and lists below any depth of elements."""
+    for depth in (600, 20_000):
+        for shell in ("<div>", "<b>", "<span><i>"):
+            for page in ["<div style='display:none'>no<p>no</div>yes", "<table><tr><td>1<td>22<tr><td>333<td>4</table>",
+                         "<p>see<script>no</script>n<ul><li>a<li>b</ul>"]:
+                assert op.extract(shell * depth + page)[1] == op.extract(page)[1], (depth, shell, page)
+    quotes = op.extract("<blockquote>" * 20_000 + "x<ul><li>y</ul>")[1].split("\n")
+    assert quotes == ["  " * op.MAX_INDENT + "x", "", "  " * op.MAX_INDENT + "- y"]
+    tall = op.extract("<table><tr><td rowspan=3000>r<td>1" + "<tr><td>2" * 2999 + "</table>")[1].split("\n")
+    assert tall[0] == "r  1" and set(tall[1:]) == {"   2"} and len(tall) == 3000
+
+
 def test_awkward_rows(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, None, None, "t", "x"), (2, "u", "", "t", "x"), (None, None, "<p>a", "t", "x"), (None, None, "<p>a", "t", "x")]
