@@ -47,8 +47,13 @@ def normalised(text: Column) -> Column:
 def chunks_of(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
               divisor: str = DIVISOR) -> Column:
     """The text cut into chunks, in order; joined they are the text again."""
-    cut = f"(?s).{{{min_chars},{max_chars}}}?{divisor}|.{{1,{max_chars}}}"
-    return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
+    def cut(ends: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{{min_chars},{max_chars}}}?{ends}|.{{1,{max_chars}}}"), F.lit(0))
+
+    if divisor != DIVISOR:
+        return cut(divisor)
+    # a text of ASCII alone has no other places than Latin ones; the search for those is cheaper
+    return F.when(F.octet_length(text) == F.char_length(text), cut(f"(?:{LATIN})")).otherwise(cut(divisor))
 
 
 def distinct_chunks(chunked: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
