@@ -72,3 +72,41 @@ def test_no_validation_rows_and_weights(spark):
     train = frame(spark, 200, 6, True).withColumn("weight", F.when(F.col("label") == 1, 2.0).otherwise(0.5))
     made = B.boost(train, train.drop("weight").limit(0), classifier=True, rounds=3, depth=2, leaf_rows=5, chunk=2)
     assert made.model.getNumTrees == 3 and made.history == []
+
+
+def test_a_tree_is_mllibs_tree(spark):
+    """One round at step 1: the splits, values and importances of MLlib's own
+    tree on the same bag, with numeric and nominal features."""
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from mercato.ml import trees as T
+    rng = random.Random(7)
+    rows = []
+    for _ in range(500):
+        c, x = rng.randrange(40), rng.choice([0.0, 1.0, 2.0, 3.0])
+        rows.append((str(c), x, (c * 7 % 11) + x * x + rng.gauss(0, 0.1)))
+    df = spark.createDataFrame(rows, "c string, x double, label double").coalesce(1)
+    df = Pipeline(stages=[StringIndexer(inputCol="c", outputCol="i", handleInvalid="keep"),
+                          VectorAssembler(inputCols=["x", "i"], outputCol="features", handleInvalid="keep")]).fit(df).transform(df)
+    train = df.select("features", "label")
+    made = B.boost(train, train.limit(0), rounds=2, step=0.5, depth=3, leaf_rows=5)
+    kept = [r for r, k in zip(train.collect(), T.in_bag(np.arange(500), 42)) if k]  # half of twice the residual
+    mean = sum(r["label"] for r in train.collect()) / 500
+    bag = spark.createDataFrame([(r["features"], r["label"] - mean) for r in kept], train.schema)
+    want = DecisionTreeRegressor(maxDepth=3, maxBins=64, minInstancesPerNode=5).fit(bag)
+    got = made.model.transform(train).select(F.col("prediction") - mean).collect()
+    assert [r[0] for r in got] == pytest.approx([r["prediction"] for r in want.transform(train).collect()])
+    assert made.model.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray())
+
+
+def test_bins_come_once_and_do_not_grow_with_the_categories(spark):
+    """Numeric features keep their bins beside a feature of many categories,
+    and the table isn't read again for them in each round."""
+    from pyspark.ml.feature import StringIndexer
+    df = spark.range(4000).select(F.col("id").cast("string").alias("c"), F.rand(1).alias("x"), F.rand(2).alias("label"))
+    df = StringIndexer(inputCol="c", outputCol="i").fit(df).transform(df)
+    bins = B.bins_of(VectorAssembler(inputCols=["x", "i"], outputCol="features").transform(df), 256)
+    assert bins.sizes[1] == 4000 and 200 < bins.sizes[0] <= 256 and bins.thresholds[1] is None
