@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null text, an empty one and one without letters go. Each row is judged
     by its own text, so repeated rows and rows with a null doc_id stay or go
     alike. A null lang is not learned from; where no row can be learned from,
-    all texts with letters stay. An empty table stays empty."""
+    no language is recognised. An empty table stays empty."""
     ship(spark)
     return language_id.keep_identified(docs)
 

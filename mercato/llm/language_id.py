@@ -177,13 +177,15 @@ def prose(text: str) -> str:
     return left if any(c.isalpha() for c in left) else text
 
 
-def recognised(has: pa.Array, text: pa.Array, known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which texts have letters and the n-grams of one of the languages."""
-    letters = np.asarray(has.to_pylist(), bool)
-    out = np.zeros(len(letters), bool)
-    if len(bounds) and letters.any():
-        rows = presence([prose(t) for t, has in zip(text.to_pylist(), letters) if has]).astype(np.float32)
-        out[letters] = (rows @ known / rows.sum(1, keepdims=True) >= bounds).any(1)
+def recognised(has: pa.Array, text: pa.Array, weights: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts have letters and the n-grams of the language that the
+    kernel's regression gives them."""
+    pred, _ = best_of(has, text, weights)
+    out = pred >= 0
+    if out.any():
+        rows = presence([prose(t) for t, p in zip(text.to_pylist(), pred) if p >= 0]).astype(np.float32)
+        of = pred[out]
+        out[out] = (rows @ known / rows.sum(1, keepdims=True))[np.arange(len(of)), of] >= bounds[of]
     return out
 
 
@@ -217,12 +219,14 @@ def predictions(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LA
 
 
 def keep_identified(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised: a letter at least,
-    and as large a share of the n-grams of one language as its labelled rows
-    have. The score says which language is best, not whether one is: its
-    values depend on the number of languages."""
+    """The rows of ``docs`` whose language is recognised: the kernel's
+    prediction, as in ``predictions``, and a check that the text has as large
+    a share of the n-grams of that language as its labelled rows have. The
+    score says which language is best, not whether one is: its values depend
+    on the number of languages."""
     sample = train_rows(docs, max_train)
-    model = docs.sparkSession.sparkContext.broadcast(known_places(sample))
+    weights = fit(sample)[1] if sample else np.zeros((DIM, 0), np.float32)
+    model = docs.sparkSession.sparkContext.broadcast((weights, *known_places(sample)))
     text, letters = docs.columns.index("text"), len(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

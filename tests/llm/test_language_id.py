@@ -138,3 +138,17 @@ def test_whole_table_against_plain_kernel_ridge(spark):
     plain = {r["doc_id"]: names[v.argmax()] for (r, _), v in zip(lettered, values)}
     assert all(got[r["doc_id"]] == "und" for r in docs if r["doc_id"] not in plain)
     assert np.mean([got[i] == n for i, n in plain.items()]) >= 0.995
+
+
+def test_the_kept_rows_are_those_of_the_predicted_language():
+    """A text goes by the language that the kernel gives it: where the
+    regression is turned round, the share of another language doesn't keep it."""
+    import pyarrow as pa
+    texts = ["the cat and the dog", "the house of the man", "der hund und die katze", "das haus von dem mann"]
+    sample = sorted((n, np.packbits(op.presence([t]), axis=1).tobytes(), i) for i, (n, t) in enumerate(zip(["en", "en", "de", "de"], texts)))
+    _, weights = op.fit(sample)
+    known, bounds = op.known_places(sample)[0], np.array([0.9, 0.9])
+    has, text = pa.array([True] * 4 + [False]), pa.array([*texts, None])
+    assert op.recognised(has, text, weights, known, bounds).tolist() == [True] * 4 + [False]
+    assert not op.recognised(has, text, -weights, known, bounds).any()
+    assert not op.recognised(has, text, weights[:, :0], known[:, :0], bounds[:0]).any()
