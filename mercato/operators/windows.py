@@ -78,9 +78,12 @@ def with_group_median(df: DataFrame, key: str, col: str, name: str) -> DataFrame
     group, so the planner knows its size and broadcasts it under its
     threshold instead of shuffling the rows on ``key``. Rows with a null key
     get a null median."""
+    return df.join(group_medians(df, key, col, name), key, "left")
+
+
+def group_medians(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
     from .prefix import group_percentile
-    med = stored(group_percentile(df.where(F.col(key).isNotNull()), col, 0.5, [key], name), "medians")
-    return df.join(med, key, "left")
+    return stored(group_percentile(df.where(F.col(key).isNotNull()), col, 0.5, [key], name), "medians")
 
 
 # W5 -------------------------------------------------------------------------

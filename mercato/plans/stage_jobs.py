@@ -86,10 +86,17 @@ class Stages:
         return self._stage("demand_predictions", build, KEY)
 
     def labelled(self) -> DataFrame:
-        return RT.labelled_transactions(self.transactions(), self.inputs.articles(), self.inputs.customers())
+        return RT.labelled_transactions(self.transactions(), self.inputs.articles(), self.inputs.customers(),
+                                        cols=[KEY, "t_dat", "age", *P.RETURN_CAT_FEATURES])
 
     def return_predictions(self) -> DataFrame:
-        return self._stage("return_predictions", lambda: RT.article_risk(self.labelled(), self.val_end), KEY)
+        """Medians of all transactions; labels and risk of the test period."""
+        def build():
+            articles, customers = self.inputs.articles(), self.inputs.customers()
+            medians = RT.price_medians(self.transactions(), articles, customers)
+            test = RT.joined_transactions(self.transactions().where(F.col("t_dat") > F.lit(self.val_end).cast("date")), articles, customers)
+            return RT.article_risk(RT.labels(test.join(medians, "product_group_name", "left")), self.val_end)
+        return self._stage("return_predictions", build, KEY)
 
     # models ------------------------------------------------------------------------
     def demand_features(self) -> DataFrame:

@@ -29,29 +29,31 @@ def _second_word(c):
     return F.element_at(F.split(F.col(c), " ", -1), 2)
 
 
-def transactions(spark: SparkSession, sf_dir: str, with_customer: bool = False) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, with_customer: bool = False, customers: DataFrame | None = None) -> DataFrame:
     """One row per sale: t_dat, article_id, price, returned, tx_key (+ customer_id).
 
     The orders join is only planned when the customer is asked for, so the
-    demand jobs scan lineitem alone.
+    demand jobs scan lineitem alone. It moves the raw columns; keys become
+    text behind it. The columns of ``customers`` are joined to the orders,
+    of which there are fewer than sales.
     """
-    li = table(spark, sf_dir, "lineitem")
-    tx = li.select(
+    rows, more = table(spark, sf_dir, "lineitem"), []
+    if with_customer:
+        orders = table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("l_orderkey"),
+            F.col("o_custkey").cast("string").alias("customer_id"))
+        if customers is not None:
+            orders = orders.join(customers, "customer_id", "left")
+        more = [c for c in orders.columns if c != "l_orderkey"]
+        rows = rows.join(orders, "l_orderkey", "inner")
+    return rows.select(
         F.col("l_shipdate").cast("date").alias("t_dat"),
         normalize_key("l_partkey").alias("article_id"),
         (F.col("l_extendedprice") / F.lit(P.STANDIN_PRICE_DIVISOR)).alias("price"),
         (F.col("l_returnflag") == F.lit("R")).cast("int").alias("returned"),
         F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                     F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
-                    ).alias("tx_key"),
-        F.col("l_orderkey"),
-    )
-    if with_customer:
-        orders = table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("l_orderkey"),
-            F.col("o_custkey").cast("string").alias("customer_id"))
-        tx = tx.join(orders, "l_orderkey", "inner")
-    return tx.drop("l_orderkey")
+                    ).alias("tx_key"), *more)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,10 @@ class Inputs:
     def transactions(self, with_customer: bool = False) -> DataFrame:
         return transactions(self.spark, self.sf_dir, with_customer)
 
+    def customer_transactions(self) -> DataFrame:
+        """The transactions with the columns of their customer."""
+        return transactions(self.spark, self.sf_dir, True, self.customers())
+
     def articles(self) -> DataFrame:
         return articles(self.spark, self.sf_dir)
 
