@@ -117,7 +117,7 @@ def q_returns_model_article_risk(spark, sf_dir):
 
 def _vecs(spark, sf_dir):
     vecs, _ = style_vectors(Inputs(spark, sf_dir).articles(), STYLE_COLS)
-    return vecs.select("article_id", "features", *STYLE_COLS).cache()
+    return vecs.select("article_id", "features", *STYLE_COLS)
 
 
 @query("k_sweep")
@@ -146,7 +146,7 @@ def q_style_cluster_profile(spark, sf_dir):
 @query("pca_projection")
 def q_pca_projection(spark, sf_dir):
     """2-D PCA of the style vectors with explained variance."""
-    proj, var = CL.pca2(_vecs(spark, sf_dir))
+    proj, var = CL.pca2(_vecs(spark, sf_dir).cache())
     return proj.withColumn("explained_var_1", F.lit(var[0])).withColumn("explained_var_2", F.lit(var[1]))
 
 
