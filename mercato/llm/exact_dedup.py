@@ -57,8 +57,10 @@ def chunks_of(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHA
 
 
 def distinct_chunks(chunked: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
-    """(h, chunk): each distinct chunk once, with its hash."""
-    return (chunked.select(F.explode("_chunks").alias("_chunk"))
+    """(h, chunk): each distinct chunk once, with its hash. The plain ``explode``
+    would have the planner put a filter for empty lists below the cut, where
+    the text is normalised and cut a second time."""
+    return (chunked.select(F.explode_outer("_chunks").alias("_chunk")).where(F.col("_chunk").isNotNull())
             .select(chunk_hash(F.col("_chunk")).alias("_h"), "_chunk").distinct())
 
 
@@ -80,7 +82,7 @@ def chunk_recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xx
     rank = F.row_number().over(W.partitionBy("_h").orderBy("_chunk")).cast("long")
     ranks = stored(distinct.join(shared, "_h", "left_semi").withColumn("_rank", rank), "ranks")
     pieces = (chunked.select(F.sha2(F.col("_text"), 256).alias("text_sha256"), "_chunks").distinct()
-              .select("text_sha256", F.posexplode("_chunks").alias("_pos", "_chunk"))
+              .select("text_sha256", F.posexplode_outer("_chunks").alias("_pos", "_chunk")).where(F.col("_chunk").isNotNull())
               .withColumn("_h", chunk_hash(F.col("_chunk"))))
     ties = (pieces.join(ranks, ["_h", "_chunk"]).groupBy("text_sha256")
             .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").cast("long").alias("_at"), "_rank"))).alias("_t"))

@@ -84,3 +84,11 @@ def test_chunks_survive_an_insertion_in_any_script(spark, script):
     assert max(map(len, got[0][:-1])) <= op.MAX_CHARS + 8 and len(got[0]) >= 20
     for other in got[1:]:
         assert len(set(got[0]) & set(other)) > 0.6 * len(got[0])
+
+
+def test_texts_are_normalised_and_cut_once(spark):
+    """No filter below the cut repeats it for every text."""
+    text = hard.frame(spark).select("doc_id", op.normalised(op.text_or_empty()).alias("_text"))
+    chunked = text.select("doc_id", "_text", op.chunks_of(F.col("_text")).alias("_chunks"))
+    plan = op.distinct_chunks(chunked, F.xxhash64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "Filter (size" not in plan
