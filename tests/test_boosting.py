@@ -110,3 +110,34 @@ def test_bins_come_once_and_do_not_grow_with_the_categories(spark):
     df = StringIndexer(inputCol="c", outputCol="i").fit(df).transform(df)
     bins = B.bins_of(VectorAssembler(inputCols=["x", "i"], outputCol="features").transform(df), 256)
     assert bins.sizes[1] == 4000 and 200 < bins.sizes[0] <= 256 and bins.thresholds[1] is None
+
+
+def test_blocks_hold_what_a_level_must_read(spark):
+    """Bins of up to 256 take a byte, weights of 1 and consecutive row numbers
+    are not stored; the sums by bin are those of whole blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    from mercato.ml import trees as T
+    rng = np.random.default_rng(1)
+    n, bins = 300, T.Bins([np.array([0.3, 0.6]), None], [3, 40])
+    x, label = np.stack([rng.random(n), rng.integers(0, 40, n).astype(float)], axis=1), rng.random(n)
+    margin = rng.random(n)
+
+    def sums(weight, row, weighted):
+        batch = pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(label), pa.array(weight), pa.array(row)],
+                                           ["x", "label", "weight", "row"])
+        stored = next(T.packed(bins)(iter([batch]))).to_pylist()[0]
+        tree = T.Tree((0.0, 0.0, 0.0))
+        return stored, list(T.histograms([(*T.unpacked(bins)(stored), margin)], tree, [0], bins.sizes, T.squared_gradient, 5, weighted))
+
+    ones, rows = np.ones(n), np.arange(n) + 7
+    lean, got = sums(ones, rows, True)
+    assert [len(lean[c]) for c in ("bins", "label", "weight", "row")] == [2 * n, 8 * n, 0, 8]
+    keep = T.in_bag(rows, 5)
+    want = np.bincount(x[keep, 1].astype(int), 2 * (label - margin)[keep], 40)
+    assert np.allclose(got[1][1][2], want) and (got[1][1][0] == got[1][1][1]).all() and got[1][1][0].sum() == keep.sum()
+    back, other = sums(ones * 2, rows[::-1].copy(), True)  # numbers and weights that must be stored
+    assert [len(back[c]) for c in ("weight", "row")] == [8 * n, 8 * n]
+    keep = T.in_bag(rows[::-1], 5)
+    assert np.allclose(other[1][1][2], 2 * np.bincount(x[keep, 1].astype(int), 2 * (label - margin)[keep], 40))
