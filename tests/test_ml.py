@@ -108,3 +108,30 @@ def test_rare_categories_are_counted_inside_the_fold(spark, tmp_path):
     data = df.withColumn("x", F.rand(3)).withColumn("units_sold", F.lit(2.0) + F.col("x"))
     prep = ML._prep(cfg, data.where("block <= 0"), ["x"], ["c"])
     assert prep.stages[0].getOrDefault("frequent") == {"c": ["old"]}
+
+
+def test_families_share_folds_and_trees_take_nominal_columns(spark, monkeypatch):
+    """Each training set's categories, medians and indexes are read once for
+    all families; a tree has one column per attribute, in a piece per core."""
+    rows = [(f"c{i % 5}", f"d{i % 3}", float(i % 7), i % 12, float(1 + (i % 5 == 2) * 4 + i % 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "c string, d string, x double, w int, units_sold double").selectExpr(
+        "*", "date_add(date'2020-01-06', w * 7) week").repartition(40).cache()
+    plain = ML._prep
+    monkeypatch.setattr(ML, "_prep", lambda cfg, train, num=None, cat=None, *a, **how: plain(cfg, train, ["x"], ["c", "d"], *a, **how))
+    fitted, fit = [], ML.RareCategories._fit
+    monkeypatch.setattr(ML.RareCategories, "_fit", lambda self, data: fitted.append(1) or fit(self, data))
+    sizes, make = [], ML._estimator
+    monkeypatch.setattr(ML, "_estimator", lambda kind, params, label, categories: sizes.append(categories) or make(kind, params, label, categories))
+    configs = [ML.ModelConfig("Dummy", "dummy"), ML.ModelConfig("Ridge", "ridge", [{"regParam": a} for a in (0.1, 1.0)], True),
+               ML.ModelConfig("RandomForest", "forest", [{"numTrees": 3, "maxDepth": d} for d in (2, 4)], True),
+               ML.ModelConfig("GBT", "gbt", [{"maxIter": 2, "maxDepth": 3, "stepSize": s} for s in (0.3, 1.0)])]
+    got = {r.model: r for r in ML.compare_models(configs, df.where("w < 10"), df.where("w >= 10")).collect()}
+    assert len(fitted) == 4  # three folds and the whole
+    assert set(sizes) == {6} and len(sizes) == 14  # five and the unknown; 2 points x 3 folds and a refit, twice
+    assert got["RandomForest"].test_wape < got["Dummy"].test_wape and got["GBT"].test_wape < got["Dummy"].test_wape
+    assert got["RandomForest"].best_params == str(configs[2].grid[1])
+
+    tree = plain(configs[3], df, ["x"], ["c", "d"]).transform(df)
+    assert len(tree.first().features) == 3
+    assert len(plain(configs[1], df, ["x"], ["c", "d"]).transform(df).first().features) == 1 + 6 + 4
+    assert ML._pieces(tree, 1200).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
