@@ -141,3 +141,52 @@ def test_blocks_hold_what_a_level_must_read(spark):
     assert [len(back[c]) for c in ("weight", "row")] == [8 * n, 8 * n]
     keep = T.in_bag(rows[::-1], 5)
     assert np.allclose(other[1][1][2], 2 * np.bincount(x[keep, 1].astype(int), 2 * (label - margin)[keep], 40))
+
+
+def test_rounds_in_one_task_sums_on_the_driver_and_shuffled_sums_agree(spark, monkeypatch):
+    """A small table runs a chunk of rounds in one job; pieces send their sums
+    to the driver, or by feature where those would be many. All are one model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+    rng = random.Random(11)
+    rows = [(str(i % 9), rng.random(), float(i % 9 * 7 % 5) + rng.gauss(0, 0.2)) for i in range(900)]
+    df = spark.createDataFrame(rows, "c string, x double, label double").repartition(6).cache()
+    df = Pipeline(stages=[StringIndexer(inputCol="c", outputCol="i", handleInvalid="keep"),
+                          VectorAssembler(inputCols=["x", "i"], outputCol="features", handleInvalid="keep")]).fit(df).transform(df)
+    train = df.select("features", "label").cache()
+    assert train.count() == 900
+    sc, jobs, made = spark.sparkContext, [], []
+    for name, here, sent in (("here", 1 << 19, 1 << 26), ("driver", 0, 1 << 26), ("shuffled", 0, 0)):
+        monkeypatch.setattr(B, "HERE_ROWS", here)
+        monkeypatch.setattr(B, "SENT_BYTES", sent)
+        monkeypatch.setattr(B, "LEAST_PIECE", 300)
+        sc.setJobGroup(f"boost-{name}", name)
+        made.append(B.boost(train, train, rounds=10, step=0.5, depth=4, leaf_rows=5))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"boost-{name}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert made[1].history == pytest.approx(made[0].history) and made[2].history == pytest.approx(made[0].history)
+    assert jobs[1] - jobs[0] >= 9 * 4 - 1  # nine trees of four levels, in one job here
+    for other in made[1:]:
+        assert other.model.toDebugString.count("If") == made[0].model.toDebugString.count("If")
+        assert other.model.featureImportances.toArray() == pytest.approx(made[0].model.featureImportances.toArray())
+
+
+def test_of_two_siblings_only_the_smaller_is_summed():
+    import numpy as np
+
+    from mercato.ml import trees as T
+    rng = np.random.default_rng(2)
+    bins, n = T.Bins([np.linspace(0, 1, 15)[1:-1], None], [14, 6]), 4000
+    x = np.stack([rng.random(n), rng.integers(0, 6, n)], axis=1)
+    block = (bins.of(x), x[:, 0] ** 2 + (x[:, 1] % 3), np.zeros(0), np.array([0]), np.zeros(n))
+    asked = []
+
+    def sums_of(tree, nodes):
+        asked.append(sum(tree.totals[i][0] for i in nodes))
+        return T.joined([s for _, s in T.histograms([block], tree, nodes, bins.sizes, T.squared_gradient, None, False)], len(nodes))
+    tree, _, _ = T.grown(T.Looks(sums_of, bins, 10), 10, depth=4)
+    assert max(asked[1:]) <= n / 2 and len(tree.totals) > 20
+    at = tree.walk(block[0])
+    for node in set(at.tolist()):  # what is left of the parent is what its rows sum to
+        assert tree.totals[node][0] == (at == node).sum()
+        assert tree.totals[node][2] == pytest.approx(2 * block[1][at == node].sum())
