@@ -190,3 +190,69 @@ def test_of_two_siblings_only_the_smaller_is_summed():
     for node in set(at.tolist()):  # what is left of the parent is what its rows sum to
         assert tree.totals[node][0] == (at == node).sum()
         assert tree.totals[node][2] == pytest.approx(2 * block[1][at == node].sum())
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 31])
+def test_leaves_are_split_in_the_order_of_their_gains(leaves):
+    """The tree of so many leaves is the one that splits a leaf at a time, the
+    one of the largest gain, though its looks are fewer than its splits."""
+    import numpy as np
+
+    from mercato.ml import trees as T
+    rng = np.random.default_rng(leaves)
+    n, l2, least = 3000, 0.5, 8
+    bins = T.Bins([np.linspace(0, 1, 20)[1:-1], np.linspace(0, 1, 9)[1:-1]], [19, 8])
+    x = rng.random((n, 2))
+    cells, y = bins.of(x).astype(int), np.sin(9 * x[:, 0]) * (x[:, 1] > 0.4) + rng.normal(size=n) * 0.1
+
+    def best(rows):
+        s, w, out = y[rows].sum(), len(rows), (0.0, None, None)
+        for f in (0, 1):
+            for cut in range(bins.sizes[f] - 1):
+                left = cells[f][rows] <= cut
+                k = left.sum()
+                if min(k, w - k) < least:
+                    continue
+                a, b = y[rows][left].sum(), y[rows][~left].sum()
+                gain = a * a / (k + l2) + b * b / (w - k + l2) - s * s / (w + l2)
+                if gain > out[0] + 1e-9:
+                    out = (gain, rows[left], rows[~left])
+        return out
+
+    want = [(best(np.arange(n)), np.arange(n))]
+    while len(want) < leaves:
+        i = max(range(len(want)), key=lambda j: want[j][0][0])
+        (gain, a, b), _ = want.pop(i)
+        assert gain > 0
+        want += [(best(a), a), (best(b), b)]
+    looks = []
+    held = T.Held([(bins.of(x), y, np.zeros(0), np.array([0]), np.zeros(n))], bins, T.residual)
+    plain = T.Looks.__call__
+    try:
+        T.Looks.__call__ = lambda self, tree, nodes: looks.append(1) or plain(self, tree, nodes)
+        tree = held.round(None, 0.3, least, leaves=leaves, l2=l2)
+    finally:
+        T.Looks.__call__ = plain
+    at = tree.walk(bins.of(x))
+    assert {tuple(np.flatnonzero(at == node)) for node in set(at.tolist())} == {tuple(rows) for _, rows in want}
+    for _, rows in want:
+        assert held.blocks[0][4][rows] == pytest.approx(0.3 * y[rows].sum() / (len(rows) + l2))
+    assert len(looks) <= leaves
+
+
+def test_points_of_a_grid_in_tasks_of_their_own_or_in_pieces(spark, monkeypatch):
+    train, val = frame(spark, 900, 21).repartition(5).cache(), frame(spark, 300, 22)
+    assert train.count() == 900
+    points = [dict(rounds=12, step=0.3, depth=3, leaf_rows=1, l2=1.0), dict(rounds=12, step=0.1, leaves=6, leaf_rows=20)]
+    here = B.boosters(train, points)
+    monkeypatch.setattr(B, "POINT_ROWS", 0)
+    monkeypatch.setattr(B, "LEAST_PIECE", 300)
+    pieces = B.boosters(train, points)
+    assert [len(f) for f in here.fits] == [len(f) for f in pieces.fits] == [12, 12]
+    assert max(len(t.totals) for t in here.fits[1]) == 11  # six leaves
+    assert here.wapes(val) == pytest.approx(pieces.wapes(val))
+    for i, wape in enumerate(here.wapes(val)):  # the ensemble that is kept predicts what was judged
+        scored = here.model(spark, i).transform(val).withColumn("p", F.greatest(F.col("prediction"), F.lit(0.0)))
+        got = scored.agg(F.sum(F.abs(F.col("label") - F.col("p"))) / F.sum(F.abs("label"))).first()[0]
+        assert wape == pytest.approx(got)
+    assert here.wapes(val)[0] < 0.5

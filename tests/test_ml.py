@@ -135,3 +135,32 @@ def test_families_share_folds_and_trees_take_nominal_columns(spark, monkeypatch)
     assert len(tree.first().features) == 3
     assert len(plain(configs[1], df, ["x"], ["c", "d"]).transform(df).first().features) == 1 + 6 + 4
     assert ML._pieces(tree, 1200).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_the_registered_comparison_is_the_whole_study(spark, monkeypatch):
+    """Five families, 100 trees of depth 10 and 20, two boosters of 200 rounds
+    with four points each, fitted on all training rows."""
+    seen = []
+    monkeypatch.setattr(ML, "compare_models", lambda configs, train, test: seen.append((configs, train.count())) or train)
+    E.queries()["model_comparison"](spark, SF_SMALL)
+    (configs, rows), = seen
+    grids = {c.name: [{**c.fixed, **p} for p in c.grid] for c in configs}
+    assert list(grids) == ["Dummy", "Ridge", "RandomForest", "XGBoost", "LightGBM"] and rows > 0
+    assert [p["regParam"] for p in grids["Ridge"]] == [0.1, 1.0, 10.0]
+    assert [(p["numTrees"], p["maxDepth"]) for p in grids["RandomForest"]] == [(100, 10), (100, 20)]
+    assert [(p["rounds"], p["depth"], p["step"]) for p in grids["XGBoost"]] == [(200, d, s) for d in (6, 8) for s in (0.05, 0.1)]
+    assert [(p["rounds"], p["leaves"], p["step"]) for p in grids["LightGBM"]] == [(200, n, s) for n in (31, 63) for s in (0.05, 0.1)]
+
+
+def test_boosters_in_a_comparison(spark, monkeypatch):
+    """Chosen by their folds, refitted and scored in units."""
+    rows = [(f"c{i % 5}", float(i % 7), i % 12, float(1 + (i % 5 == 2) * 4 + i % 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "c string, x double, w int, units_sold double").selectExpr("*", "date_add(date'2020-01-06', w * 7) week").cache()
+    plain = ML._prep
+    monkeypatch.setattr(ML, "_prep", lambda cfg, train, num=None, cat=None, *a, **how: plain(cfg, train, ["x"], ["c"], *a, **how))
+    configs = [ML.ModelConfig("Dummy", "dummy"),
+               ML.ModelConfig("XGBoost", "boosted", [{"depth": 2, "step": s} for s in (0.01, 0.5)], fixed={"rounds": 8, "leaf_rows": 1, "l2": 1.0}),
+               ML.ModelConfig("LightGBM", "boosted", [{"leaves": n, "step": 0.5} for n in (3, 4)], fixed={"rounds": 8, "leaf_rows": 20})]
+    got = {r.model: r for r in ML.compare_models(configs, df.where("w < 10"), df.where("w >= 10")).collect()}
+    assert got["XGBoost"].best_params == str({"depth": 2, "step": 0.5})
+    assert all(got[m].test_wape < 0.5 * got["Dummy"].test_wape for m in ("XGBoost", "LightGBM"))
