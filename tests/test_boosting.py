@@ -256,3 +256,27 @@ def test_points_of_a_grid_in_tasks_of_their_own_or_in_pieces(spark, monkeypatch)
         got = scored.agg(F.sum(F.abs(F.col("label") - F.col("p"))) / F.sum(F.abs("label"))).first()[0]
         assert wape == pytest.approx(got)
     assert here.wapes(val)[0] < 0.5
+
+
+def test_features_are_counted_in_bundles():
+    """Rows are counted once for a bundle of features, not once for each, and
+    a feature's sums are those of its own."""
+    import numpy as np
+
+    from mercato.ml import trees as T
+    sizes, n = [4, 300, 7, 12, 5, 2], 2000
+    assert [sorted(b) for b in T.bundles(tuple(sizes), 1200)] == [[0, 1], [2, 3, 4, 5]]
+    assert [f for b in T.bundles(tuple(sizes), 1) for f in b] == [1, 3, 2, 4, 0, 5]  # one by one
+    rng = np.random.default_rng(4)
+    bins = np.stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint16)
+    slot, target, w = rng.integers(0, 3, n), rng.normal(size=n), rng.random(n)
+    chosen = np.flatnonzero(rng.random(n) < 0.7)
+    sums = T.Sums(sizes, 3, True)
+    assert len(sums.bundles) < len(sizes)
+    sums.add(bins, slot[chosen], chosen, target[chosen], w[chosen])
+    sums.add(bins, slot, None, target, None)
+    for f, got in enumerate(sums.by_feature()):
+        cell = slot * sizes[f] + bins[f]
+        for row, first, second in ((0, np.ones(n), np.ones(n)), (1, w, np.ones(n)), (2, target, target)):
+            want = np.bincount(cell[chosen], first[chosen], 3 * sizes[f]) + np.bincount(cell, second, 3 * sizes[f])
+            assert got[row] == pytest.approx(want)
