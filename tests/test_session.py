@@ -13,3 +13,25 @@ def test_sized_conf_scales_with_input():
 
 def test_checkpoint_dir_local_fallback(spark):
     assert checkpoint_dir(spark)
+
+
+def test_threads_wait_for_the_package(monkeypatch):
+    """It is added once, and no thread goes on before it is there."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+    from types import SimpleNamespace
+
+    from mercato import session
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    added = []
+
+    def add(path):
+        time.sleep(0.2)
+        added.append(path)
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="app", addPyFile=add))
+
+    def start(_):
+        session.ship(spark)
+        return len(added)
+    with ThreadPoolExecutor(8) as ex:
+        assert list(ex.map(start, range(8))) == [1] * 8
